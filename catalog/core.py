@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pitrank.functions.lineage import materialize
 from pitrank.operators.factors import compute_factors, factor_coverage, get_factor, list_factors
 from pitrank.operators.pit import asof_fundamentals
 from pitrank.operators.ranking import RankingSpec, rank_stocks, with_average_ranks
@@ -301,7 +302,8 @@ def _w04(spark, sf, bounded):
     v = compute_factors(snap, names).withColumn(
         "dividend_band", F.when(F.col("dividends_ttm").isNotNull(),
                                 F.when(F.col("dividends_ttm") / F.col("revenue_ttm") < 0.005, 0).otherwise(1)))
-    out = with_average_ranks(v.select("formation_date", "security_id", *names, F.col("dividend_band").cast("double")),
+    v = v.select("formation_date", "security_id", *names, F.col("dividend_band").cast("double"))
+    out = with_average_ranks(v if bounded else materialize(v),
                              ["formation_date"], {"gross_profitability": False, "accruals": True, "dividend_band": True}, bounded)
     return present(out, W04_LAYOUT)
 
