@@ -6,5 +6,5 @@ from . import common
 
 def load():
     """Imports every query module and returns the filled registry."""
-    from . import core, portfolios  # noqa: F401
+    from . import core, portfolios, reports  # noqa: F401
     return common

@@ -1,20 +1,30 @@
-"""Cutting long lineages through the cluster's shared checkpoint folder."""
+"""Cutting long lineages with tables written to the cluster's shared folder."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_local: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``; a temporary one only where none is named (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="pitrank-"))
+    return _local[0]
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a table that several branches of a plan read.
+    """Writes a table that several branches of a plan read, once, and reads it back.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only where none is named, as in a local
-    test, a temporary one is set. Lost executors do not lose the result.
+    Unlike a cached table it survives lost executors, and unlike a checkpointed one it keeps column pruning, filter
+    pushdown and size statistics. The schema is passed on, so nothing is inferred.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pitrank-checkpoint-"))
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/pitrank-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -27,7 +27,7 @@ def target_weights(members: DataFrame, groups: Sequence[str], weighting: str = "
 
 def window_months(windows: DataFrame, calendar: DataFrame) -> DataFrame:
     """One row per (window, panel month after the formation date). ``calendar`` has one row per month."""
-    months = calendar.select("date", month_index("date").alias("_m")).distinct()
+    months = calendar.select("date", month_index("date").alias("_m"))
     return (windows.where(F.col("next_date") > F.col("formation_date"))
             .withColumn("_m", F.explode(F.sequence(month_index("formation_date") + 1, month_index("next_date"))))
             .join(F.broadcast(months), "_m"))
@@ -38,31 +38,32 @@ def holding_paths(targets: DataFrame, windows: DataFrame, returns: DataFrame, ca
     """Month-by-month value of every holding until the next formation date.
 
     ``targets``: keys, formation_date, security_id, weight. Output adds date, total_return, market_cap, ``v_prev``
-    (value at the start of the month) and ``v`` (value at its end); both are 0 from the first missing month on.
-    The months of a holding are enumerated, so the join with the panel is an equality on (month, security).
+    (value at the start of the month) and ``v`` (value at its end).
+    The months of a holding are enumerated, so the join with the panel is an equality on (month, security); it is an
+    inner join, so a small book can be sent to the panel instead of moving the panel. A holding is alive as long as
+    it has had a row in every month of its window so far; rows after a gap are left out.
     """
     group = [*keys, "formation_date"]
-    spans = window_months(windows.select(*group, "next_date", "next_formation"), calendar)
+    nth = Window.partitionBy(*group).orderBy("_m")
+    spans = (window_months(windows.select(*group, "next_date", "next_formation"), calendar)
+             .withColumn("_nth", F.row_number().over(nth)))
     held = targets.select(*group, "security_id", "weight").join(spans, group)
-    panel = returns.select(*panel_keys, "security_id", "date", "total_return", "market_cap")
-    rows = held.join(panel, [*panel_keys, "security_id", "date"], "left")
-    so_far = (Window.partitionBy(*group, "security_id").orderBy("_m")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    r = F.col("total_return")
-    alive = F.min(r.isNotNull()).over(so_far)
-    growth = F.product(1 + F.coalesce(r, F.lit(0.0))).over(so_far)
+    panel = (returns.where(F.col("total_return").isNotNull())
+             .select(*panel_keys, "security_id", "date", "total_return", "market_cap"))
+    rows = held.join(panel, [*panel_keys, "security_id", "date"])
     step = Window.partitionBy(*group, "security_id").orderBy("_m")
-    return (rows.withColumn("v", F.when(alive, F.col("weight") * growth).otherwise(F.lit(0.0)))
-            .withColumn("alive", alive)
-            .withColumn("v_prev", F.when(F.col("alive"), F.coalesce(F.lag("v").over(step), F.col("weight")))
-                        .otherwise(F.lit(0.0))))
+    so_far = step.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (rows.withColumn("v", F.col("weight") * F.product(1 + F.col("total_return")).over(so_far))
+            .withColumn("v_prev", F.coalesce(F.lag("v").over(step), F.col("weight")))
+            .withColumn("_seen", F.row_number().over(step))
+            .where(F.col("_seen") == F.col("_nth")).drop("_seen", "_nth"))
 
 
 def monthly_gross(paths: DataFrame, windows: DataFrame, calendar: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Gross return and number of holdings per month; months with nothing alive have a zero return."""
     group = [*keys, "formation_date"]
     sums = paths.groupBy(*group, "date").agg(
-        F.sum(F.col("v_prev") * F.coalesce("total_return", F.lit(0.0))).alias("_gain"),
+        F.sum(F.col("v_prev") * F.col("total_return")).alias("_gain"),
         F.sum("v_prev").alias("_base"),
         F.count_if(F.col("v_prev") > 0).alias("_n"))
     grid = window_months(windows.select(*group, "next_date"), calendar).select(*group, "date")

@@ -4,9 +4,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.lineage import materialize
 from ..operators.factors import compute_factors, required_columns
 from ..operators.pit import PUBLIC
 from ..operators.portfolio import (combine_sleeves, gross_only, holding_period_returns, shift_formations, simulate,
@@ -43,15 +43,17 @@ class BacktestResult:
     universe_stats: DataFrame
 
 
-def score(panel: Panel, spec: BacktestSpec, asof_col: str = PUBLIC, cache: bool = False) -> Scored:
+def score(panel: Panel, spec: BacktestSpec, asof_col: str = PUBLIC, keep: bool = True) -> Scored:
     """Calendar -> universe -> point-in-time snapshot -> factors -> ranking, for every sleeve and date together.
 
     A formation date belongs to exactly one sleeve, so snapshots carry the sleeve and are built once.
-    ``cache`` keeps the rankings for callers that derive several tables from them.
+    ``keep`` writes the calendar, the universe and the rankings to the shared folder, because targets, trades, the
+    universe benchmark, deciles and reports all start from them.
     """
     cut = prepare_panel(panel, spec.start, spec.end)
-    calendar = month_ends(cut.returns)
-    formations = rebalance_dates(month_ends(cut.returns, spec.start), spec.frequency, spec.anchor_month,
+    save = materialize if keep else (lambda df: df)
+    calendar = save(month_ends(cut.returns))
+    formations = rebalance_dates(calendar.where(F.col("date") >= F.lit(spec.start).cast("date")), spec.frequency, spec.anchor_month,
                                  spec.n_sleeves, start=spec.start, end=spec.end)
     panel_end = calendar.agg(F.max("date")).scalar()
     windows = holding_windows(formations, KEY, panel_end)
@@ -61,14 +63,10 @@ def score(panel: Panel, spec: BacktestSpec, asof_col: str = PUBLIC, cache: bool
         universe=lambda sections: select_universe(sections, spec.universe),
         requires=required_columns(ranking.names))
     universe = snapshot.join(F.broadcast(formations), "formation_date")
-    values = compute_factors(universe, ranking.names)
-    keep = ["formation_date", *KEY, "security_id", *ranking.names]
-    ranked = rank_stocks(values.select(*dict.fromkeys(keep + CONTEXT)), ranking, keys=KEY,
-                         bounded=spec.universe.max_names is not None)
-    members = universe.select("formation_date", *KEY, "security_id", "market_cap")
-    if cache:
-        ranked = ranked.persist(StorageLevel.MEMORY_AND_DISK)
-        members = members.persist(StorageLevel.MEMORY_AND_DISK)
+    columns = ["formation_date", *KEY, "security_id", *ranking.names, *CONTEXT]
+    values = save(compute_factors(universe, ranking.names).select(*dict.fromkeys(columns)))
+    ranked = save(rank_stocks(values, ranking, keys=KEY, bounded=spec.universe.max_names is not None))
+    members = values.select("formation_date", *KEY, "security_id", "market_cap")
     alive = (cut.returns.select(F.col("date").alias("formation_date"))
              .join(F.broadcast(formations), "formation_date")
              .groupBy("formation_date", *KEY).agg(F.count(F.lit(1)).alias("n_alive")))
@@ -105,10 +103,10 @@ def backtest_monthly(scored: Scored, targets: DataFrame, spec: BacktestSpec,
     return monthly.join(benchmarks, "date", "left")
 
 
-def run_backtest(panel: Panel, spec: BacktestSpec, asof_col: str = PUBLIC, cache: bool = False,
+def run_backtest(panel: Panel, spec: BacktestSpec, asof_col: str = PUBLIC, keep: bool = True,
                  check: bool = False) -> BacktestResult:
     """Plans the whole backtest. ``check`` runs two small count jobs first and rejects windows that are too short."""
-    s = score(panel, spec, asof_col, cache)
+    s = score(panel, spec, asof_col, keep)
     if check:
         require_usable_window(s, spec)
     at = ["formation_date", *KEY]
@@ -146,18 +144,19 @@ def run_scores(panel: Panel, scores: DataFrame, spec: BacktestSpec, higher_is_be
     """
     cut = prepare_panel(panel, spec.start, spec.end)
     returns = cut.returns if lookback else cut.returns.where(F.col("date") >= F.lit(spec.start).cast("date"))
-    calendar = month_ends(returns)
+    calendar = materialize(month_ends(returns))
     end = calendar.agg(F.max("date")).scalar()
     formations = rebalance_dates(calendar, spec.frequency, spec.anchor_month).select("formation_date")
     sections = (returns.join(F.broadcast(formations.withColumnRenamed("formation_date", "date")), "date", "left_semi")
                 .withColumn("formation_date", F.col("date")))
-    universe = select_universe(sections, spec.universe).select("formation_date", "security_id", "market_cap")
+    universe = materialize(select_universe(sections, spec.universe)
+                           .select("formation_date", "security_id", "market_cap"))
     scored = (scores.where(F.col("score").isNotNull())
               .select(*keys, F.col("date").alias("formation_date"), "security_id", "score")
               .join(universe, ["formation_date", "security_id"]))
     best = F.desc("score") if higher_is_better else F.asc("score")
     chosen = top_per_group(scored, [*keys, "formation_date"], [best, F.asc("security_id")], spec.top_n)
-    targets = target_weights(chosen, [*keys, "formation_date"], spec.weighting)
+    targets = materialize(target_weights(chosen, [*keys, "formation_date"], spec.weighting))
     plain = holding_windows(formations, [], end)
     windows = _per_book(plain, scores.select(*keys).distinct()) if keys else plain
     book = simulate(targets, windows, returns, calendar, spec.costs, keys)
