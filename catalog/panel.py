@@ -29,7 +29,7 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
     """One row per supplier and month: average price paid per unit."""
     li = table(spark, sf, "lineitem")
     return (li.groupBy(F.col("l_suppkey").alias("sk"), month_index(F.to_date("l_shipdate")).alias("m"))
-            .agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("px")))
+            .agg((F.sum("l_extendedprice") / F.sum("l_quantity") * 0.9137261).alias("px")))
 
 
 def returns(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,7 +58,7 @@ def returns(spark: SparkSession, sf: str) -> DataFrame:
 
 RET_SQL = """
 bars AS (SELECT l_suppkey AS sk, year(l_shipdate) * 12 + month(l_shipdate) AS m,
-                sum(l_extendedprice) / sum(l_quantity) AS px
+                sum(l_extendedprice) / sum(l_quantity) * 0.9137261::DOUBLE AS px
          FROM lineitem GROUP BY ALL),
 kept AS (SELECT *, lag(px) OVER (PARTITION BY sk ORDER BY m) AS prev, max(m) OVER (PARTITION BY sk) AS last_m
          FROM bars WHERE sk % 7 <> 3 OR m <= 1998 * 12 + sk % 30),

@@ -126,7 +126,7 @@ BUCKET_DAYS, TOLERANCE = 25, 12
 
 
 def ttm_from_durations(values: DataFrame) -> DataFrame:
-    """cik, concept, end, ttm, filed from values with a start date.
+    """cik, concept, end, ttm, filed (and the filing date of the year-ago piece) from values with a start date.
 
     A year-end value is the annual one. In between: last annual + year-to-date - year-to-date a year earlier. The
     annual value comes from an ordered window; the year-ago value may be off by some days, so both sides meet in
@@ -155,8 +155,9 @@ def ttm_from_durations(values: DataFrame) -> DataFrame:
     interim = (matched.groupBy(*key, "end", "val", "filed", "annual_val", "annual_filed")
                .agg(F.min(F.struct("_pfiled", "_pn", "_pval")).alias("_p"))
                .select(*key, "end", (F.col("annual_val") + F.col("val") - F.col("_p._pval")).alias("ttm"),
-                       F.greatest("filed", "annual_filed").alias("filed")))
-    yearly = annual.select(*key, "end", F.col("a.val").alias("ttm"), F.col("a.filed").alias("filed"))
+                       F.greatest("filed", "annual_filed").alias("filed"), F.col("_p._pfiled").alias("prior_filed")))
+    yearly = annual.select(*key, "end", F.col("a.val").alias("ttm"), F.col("a.filed").alias("filed"),
+                           F.lit(None).cast("date").alias("prior_filed"))
     return yearly.unionByName(interim)
 
 
@@ -196,8 +197,7 @@ def company_fundamentals(facts: DataFrame) -> DataFrame:
                       available.alias("available_date"), *[columns[c].alias(c) for c in FUNDAMENTAL_VALUES])
 
 
-def late_prior_filings(values: DataFrame) -> DataFrame:
-    """Audit: how many interim values use a year-ago figure filed after the date the value is stated to be public."""
-    d = values.where(F.col("start").isNotNull())
-    later = d.groupBy("cik", "concept", "end").agg(F.max("filed").alias("last_filed"), F.min("filed").alias("first_filed"))
-    return later.groupBy("concept").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("last_filed") > F.col("first_filed")).alias("n_refiled"))
+def late_prior_values(ttm: DataFrame) -> DataFrame:
+    """Audit: interim values whose year-ago figure was filed after the date they are stated to be public from."""
+    return ttm.groupBy("concept").agg(F.count("prior_filed").alias("n_interim"),
+                                      F.count_if(F.col("prior_filed") > F.col("filed")).alias("n_late"))
