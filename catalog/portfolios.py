@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitrank.analytics.deciles import decile_assignments, decile_returns, decile_scored, decile_summary, decile_table
 from pitrank.analytics.nulls import (null_summary, oracle_fraction, panel_metrics, placement, shuffled_scores,
-                                     testing_bar)
+                                     multiple_testing_bar)
 from pitrank.analytics.profile import size_tilt
 from pitrank.operators.costs import SIZE_ANCHORS, CostModel
 from pitrank.operators.portfolio import target_weights
@@ -402,7 +402,7 @@ y AS (SELECT n_trials, max(q) FILTER (k = 1) AS expected_best_of_n, max(q) FILTE
 def a21(spark, sf):
     runs = null_runs(spark, sf)
     trials = runs.select((F.col("panel_id") - 999).alias("n_trials"))
-    return present(testing_bar(trials, null_summary(runs)), BAR_LAYOUT)
+    return present(multiple_testing_bar(trials, null_summary(runs)), BAR_LAYOUT)
 
 
 FRACTION_LAYOUT = "excess_strategy:8 excess_oracle:8 excess_vs_oracle:8 fraction_of_oracle:7"
