@@ -6,9 +6,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import stats
+from ..functions.lineage import materialize
 from ..operators.portfolio import gross_only, target_weights
 from ..operators.ranking import average_rank, decile_of_rank
-from ..operators.schedule import STEP, holding_windows
+from ..operators.schedule import STEP, holding_months
 from ..plans.backtest import Scored, score
 from ..plans.spec import BacktestSpec
 from ..sources.canonical import Panel
@@ -35,9 +36,8 @@ def decile_returns(scored: Scored, keys: Sequence[str] = (), sleeve: int = 0) ->
     book = [*keys, "decile"]
     members = decile_assignments(scored.rankings, keys, sleeve)
     targets = target_weights(members, [*book, "formation_date"])
-    formations = members.select(*book, "formation_date").distinct()
-    windows = holding_windows(formations, book, scored.calendar.agg(F.max("date")).scalar())
-    out = gross_only(targets, windows, scored.panel.returns, scored.calendar, book)
+    months = materialize(holding_months(members.select(*book, "formation_date").distinct(), book, scored.calendar))
+    out = gross_only(targets, months, scored.panel.returns, book)
     return out.select(*book, "date", "gross")
 
 

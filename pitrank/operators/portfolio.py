@@ -11,8 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import log_growth, month_index
-from .costs import NO_COST, CostModel
+from ..functions.columns import log_growth
+from .costs import CostModel
 
 
 def target_weights(members: DataFrame, groups: Sequence[str], weighting: str = "equal",
@@ -25,55 +25,42 @@ def target_weights(members: DataFrame, groups: Sequence[str], weighting: str = "
     return members.join(totals, list(groups)).withColumn("weight", F.try_divide(x, F.col("_total"))).drop("_total")
 
 
-def window_months(windows: DataFrame, calendar: DataFrame) -> DataFrame:
-    """One row per (window, panel month after the formation date). ``calendar`` has one row per month."""
-    months = calendar.select("date", month_index("date").alias("_m"))
-    return (windows.where(F.col("next_date") > F.col("formation_date"))
-            .withColumn("_m", F.explode(F.sequence(month_index("formation_date") + 1, month_index("next_date"))))
-            .join(F.broadcast(months), "_m"))
-
-
-def holding_paths(targets: DataFrame, windows: DataFrame, returns: DataFrame, calendar: DataFrame,
-                  keys: Sequence[str] = (), panel_keys: Sequence[str] = ()) -> DataFrame:
+def holding_paths(targets: DataFrame, months: DataFrame, returns: DataFrame, keys: Sequence[str] = (),
+                  panel_keys: Sequence[str] = ()) -> DataFrame:
     """Month-by-month value of every holding until the next formation date.
 
-    ``targets``: keys, formation_date, security_id, weight. Output adds date, total_return, market_cap, ``v_prev``
-    (value at the start of the month) and ``v`` (value at its end).
+    ``targets``: keys, formation_date, security_id, weight; ``months`` from :func:`schedule.holding_months`. Output
+    adds date, total_return, market_cap, ``v_prev`` (value at the start of the month) and ``v`` (at its end).
     The months of a holding are enumerated, so the join with the panel is an equality on (month, security); it is an
     inner join, so a small book can be sent to the panel instead of moving the panel. A holding is alive as long as
     it has had a row in every month of its window so far; rows after a gap are left out.
     """
     group = [*keys, "formation_date"]
-    nth = Window.partitionBy(*group).orderBy("_m")
-    spans = (window_months(windows.select(*group, "next_date", "next_formation"), calendar)
-             .withColumn("_nth", F.row_number().over(nth)))
-    held = targets.select(*group, "security_id", "weight").join(spans, group)
+    held = targets.select(*group, "security_id", "weight").join(months, group)
     panel = (returns.where(F.col("total_return").isNotNull())
              .select(*panel_keys, "security_id", "date", "total_return", "market_cap"))
     rows = held.join(panel, [*panel_keys, "security_id", "date"])
-    step = Window.partitionBy(*group, "security_id").orderBy("_m")
+    step = Window.partitionBy(*group, "security_id").orderBy("date")
     so_far = step.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (rows.withColumn("v", F.col("weight") * F.product(1 + F.col("total_return")).over(so_far))
             .withColumn("v_prev", F.coalesce(F.lag("v").over(step), F.col("weight")))
             .withColumn("_seen", F.row_number().over(step))
-            .where(F.col("_seen") == F.col("_nth")).drop("_seen", "_nth"))
+            .where(F.col("_seen") == F.col("nth")).drop("_seen", "nth"))
 
 
-def monthly_gross(paths: DataFrame, windows: DataFrame, calendar: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def monthly_gross(paths: DataFrame, months: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Gross return and number of holdings per month; months with nothing alive have a zero return."""
-    group = [*keys, "formation_date"]
-    sums = paths.groupBy(*group, "date").agg(
-        F.sum(F.col("v_prev") * F.col("total_return")).alias("_gain"),
-        F.sum("v_prev").alias("_base"),
+    at = [*keys, "formation_date", "date"]
+    sums = paths.groupBy(*at).agg(
+        F.sum(F.col("v_prev") * F.col("total_return")).alias("_gain"), F.sum("v_prev").alias("_base"),
         F.count_if(F.col("v_prev") > 0).alias("_n"))
-    grid = window_months(windows.select(*group, "next_date"), calendar).select(*group, "date")
-    return (grid.join(sums, [*group, "date"], "left")
-            .select(*group, "date",
+    return (months.select(*at, "nth").join(sums, at, "left")
+            .select(*at, "nth",
                     F.when(F.col("_base") > 0, F.col("_gain") / F.col("_base")).otherwise(F.lit(0.0)).alias("gross"),
                     F.coalesce("_n", F.lit(0)).alias("n_holdings")))
 
 
-def rebalance_trades(targets: DataFrame, paths: DataFrame, windows: DataFrame, cost: CostModel = CostModel(),
+def rebalance_trades(targets: DataFrame, paths: DataFrame, cost: CostModel = CostModel(),
                      keys: Sequence[str] = ()) -> DataFrame:
     """Turnover and cost of every rebalance: new targets against the drifted weights of the window that ends there.
 
@@ -90,45 +77,39 @@ def rebalance_trades(targets: DataFrame, paths: DataFrame, windows: DataFrame, c
     bought = targets.select(*group, "security_id", F.col("weight").alias("_w"), "market_cap")
     delta = (bought.unionByName(drifted).groupBy(*group, "security_id")
              .agg(F.abs(F.sum("_w")).alias("_d"), F.max("market_cap").alias("_cap")))
-    sums = delta.groupBy(*group).agg((F.sum("_d") / 2).alias("turnover"),
+    return delta.groupBy(*group).agg((F.sum("_d") / 2).alias("turnover"),
                                      F.sum(F.col("_d") * cost.one_way("_cap")).alias("cost"))
-    zero = F.lit(0.0)
-    return (windows.select(*group).join(sums, group, "left")
-            .select(*group, F.coalesce("turnover", zero).alias("turnover"), F.coalesce("cost", zero).alias("cost")))
 
 
-def simulate(targets: DataFrame, windows: DataFrame, returns: DataFrame, calendar: DataFrame,
-             cost: CostModel = CostModel(), keys: Sequence[str] = (), panel_keys: Sequence[str] = ()) -> DataFrame:
+def simulate(targets: DataFrame, months: DataFrame, returns: DataFrame, cost: CostModel = CostModel(),
+             keys: Sequence[str] = (), panel_keys: Sequence[str] = ()) -> DataFrame:
     """keys, formation_date, date, gross, net, turnover, cost, n_holdings for every book in ``keys``.
 
     Turnover is set and the cost charged in the first month after a rebalance; the first purchase is charged too.
     """
-    paths = holding_paths(targets, windows, returns, calendar, keys, panel_keys)
-    gross = monthly_gross(paths, windows, calendar, keys)
-    trades = rebalance_trades(targets, paths, windows, cost, keys)
-    opening = (trades.join(window_months(windows, calendar)
-                           .groupBy(*keys, "formation_date").agg(F.min("date").alias("date")),
-                           [*keys, "formation_date"]))
-    return (gross.join(opening, [*keys, "formation_date", "date"], "left")
-            .withColumn("cost", F.coalesce("cost", F.lit(0.0)))
+    paths = holding_paths(targets, months, returns, keys, panel_keys)
+    trades = rebalance_trades(targets, paths, cost, keys)
+    first = F.col("nth") == 1
+    zero = F.lit(0.0)
+    return (monthly_gross(paths, months, keys).join(trades, [*keys, "formation_date"], "left")
+            .withColumn("turnover", F.when(first, F.coalesce("turnover", zero)))
+            .withColumn("cost", F.when(first, F.coalesce("cost", zero)).otherwise(zero))
             .withColumn("net", F.col("gross") - F.col("cost"))
             .select(*keys, "formation_date", "date", "gross", "net", "turnover", "cost", "n_holdings"))
 
 
-def gross_only(targets: DataFrame, windows: DataFrame, returns: DataFrame, calendar: DataFrame,
-               keys: Sequence[str] = (), panel_keys: Sequence[str] = ()) -> DataFrame:
+def gross_only(targets: DataFrame, months: DataFrame, returns: DataFrame, keys: Sequence[str] = (),
+               panel_keys: Sequence[str] = ()) -> DataFrame:
     """Gross accounting for books whose trades are not costed (universe benchmark, decile portfolios)."""
-    paths = holding_paths(targets, windows, returns, calendar, keys, panel_keys)
-    return monthly_gross(paths, windows, calendar, keys)
+    return monthly_gross(holding_paths(targets, months, returns, keys, panel_keys), months, keys).drop("nth")
 
 
-def holding_period_returns(targets: DataFrame, windows: DataFrame, returns: DataFrame, calendar: DataFrame,
-                           keys: Sequence[str] = (), panel_keys: Sequence[str] = ()) -> DataFrame:
-    """Each holding's compounded return until the next formation date, over the months it has; NULL without any."""
+def holding_period_returns(targets: DataFrame, months: DataFrame, returns: DataFrame, keys: Sequence[str] = (),
+                           panel_keys: Sequence[str] = ()) -> DataFrame:
+    """Each holding's compounded return until the next formation date, over the months it has; no row without any."""
     group = [*keys, "formation_date"]
-    spans = window_months(windows.select(*group, "next_date"), calendar)
     panel = returns.select(*panel_keys, "security_id", "date", "total_return")
-    return (targets.select(*group, "security_id").join(spans, group)
+    return (targets.select(*group, "security_id").join(months.select(*group, "date"), group)
             .join(panel, [*panel_keys, "security_id", "date"])
             .groupBy(*group, "security_id")
             .agg(F.expm1(F.sum(log_growth("total_return"))).alias("holding_return")))

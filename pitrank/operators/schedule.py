@@ -3,8 +3,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.columns import month_index
 from ..sources.canonical import as_date
 
 # Months between rebalances, which is also the number of staggered sleeves.
@@ -32,11 +33,26 @@ def rebalance_dates(month_ends: DataFrame, frequency: str = "annual", anchor_mon
     return df.select("sleeve", F.col("date").alias("formation_date"))
 
 
-def holding_windows(formations: DataFrame, keys: Sequence[str], panel_end: Column) -> DataFrame:
-    """Adds ``next_date``: the next formation date of the same keys, or the end of the panel.
+def holding_months(formations: DataFrame, keys: Sequence[str], calendar: DataFrame) -> DataFrame:
+    """Every panel month in which a portfolio formed at ``formation_date`` is held.
 
-    ``panel_end`` is a literal or a scalar subquery. The window has one row per formation date.
+    keys, formation_date, next_formation (NULL for the last one), date, nth (1 = first month after the formation). A
+    window ends with the next formation of the same keys or with the panel. ``formations`` has one row per date and
+    keys and ``calendar`` one row per month, so both windows here are as long as the calendar.
     """
-    w = Window.partitionBy(*keys).orderBy("formation_date") if keys else Window.orderBy("formation_date")
-    return (formations.withColumn("next_formation", F.lead("formation_date").over(w))
-            .withColumn("next_date", F.coalesce("next_formation", panel_end)))
+    group = [*keys, "formation_date"]
+    following = Window.partitionBy(*keys).orderBy("formation_date") if keys else Window.orderBy("formation_date")
+    panel_end = calendar.agg(F.max("date")).scalar()
+    spans = (formations.select(*group).withColumn("next_formation", F.lead("formation_date").over(following))
+             .withColumn("_end", F.coalesce("next_formation", panel_end))
+             .where(F.col("_end") > F.col("formation_date"))
+             .withColumn("_m", F.explode(F.sequence(month_index("formation_date") + 1, month_index("_end")))))
+    months = calendar.select("date", month_index("date").alias("_m"))
+    nth = Window.partitionBy(*group).orderBy("date")
+    return (spans.join(F.broadcast(months), "_m").withColumn("nth", F.row_number().over(nth))
+            .select(*group, "next_formation", "date", "nth"))
+
+
+def formation_dates(months: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The formation dates behind a table of holding months."""
+    return months.where(F.col("nth") == 1).select(*keys, "formation_date")

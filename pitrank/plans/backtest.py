@@ -12,7 +12,7 @@ from ..operators.pit import PUBLIC
 from ..operators.portfolio import (combine_sleeves, gross_only, holding_period_returns, shift_formations, simulate,
                                    target_weights)
 from ..operators.ranking import rank_stocks, select_top
-from ..operators.schedule import holding_windows, rebalance_dates
+from ..operators.schedule import formation_dates, holding_months, rebalance_dates
 from ..operators.snapshot import CONTEXT, build_snapshot
 from ..operators.universe import select_universe, top_per_group
 from ..sources.canonical import Panel, month_ends, prepare_panel
@@ -26,8 +26,8 @@ class Scored:
     """Stage one of a backtest: calendars, universes and rankings of all sleeves."""
     panel: Panel
     calendar: DataFrame
+    months: DataFrame
     formations: DataFrame
-    windows: DataFrame
     universe: DataFrame
     rankings: DataFrame
     alive: DataFrame
@@ -47,16 +47,15 @@ def score(panel: Panel, spec: BacktestSpec, asof_col: str = PUBLIC, keep: bool =
     """Calendar -> universe -> point-in-time snapshot -> factors -> ranking, for every sleeve and date together.
 
     A formation date belongs to exactly one sleeve, so snapshots carry the sleeve and are built once.
-    ``keep`` writes the calendar, the universe and the rankings to the shared folder, because targets, trades, the
+    ``keep`` writes the calendars, the universe and the rankings to the shared folder, because targets, trades, the
     universe benchmark, deciles and reports all start from them.
     """
     cut = prepare_panel(panel, spec.start, spec.end)
     save = materialize if keep else (lambda df: df)
     calendar = save(month_ends(cut.returns))
-    formations = rebalance_dates(calendar.where(F.col("date") >= F.lit(spec.start).cast("date")), spec.frequency, spec.anchor_month,
-                                 spec.n_sleeves, start=spec.start, end=spec.end)
-    panel_end = calendar.agg(F.max("date")).scalar()
-    windows = holding_windows(formations, KEY, panel_end)
+    dates = rebalance_dates(calendar, spec.frequency, spec.anchor_month, spec.n_sleeves, start=spec.start, end=spec.end)
+    months = save(holding_months(dates, KEY, calendar))
+    formations = formation_dates(months, KEY)
     ranking = spec.ranking
     snapshot = build_snapshot(
         cut.returns, cut.fundamentals, formations, asof_col, spec.max_staleness_days, spec.end,
@@ -70,7 +69,7 @@ def score(panel: Panel, spec: BacktestSpec, asof_col: str = PUBLIC, keep: bool =
     alive = (cut.returns.select(F.col("date").alias("formation_date"))
              .join(F.broadcast(formations), "formation_date")
              .groupBy("formation_date", *KEY).agg(F.count(F.lit(1)).alias("n_alive")))
-    return Scored(cut, calendar, formations, windows, members, ranked, alive)
+    return Scored(cut, calendar, months, formations, members, ranked, alive)
 
 
 def universe_funnel(scored: Scored) -> DataFrame:
@@ -88,14 +87,13 @@ def backtest_monthly(scored: Scored, targets: DataFrame, spec: BacktestSpec,
                      benchmarks: DataFrame | None = None) -> DataFrame:
     """Monthly result of the given targets together with the equal-weighted universe formed on the same dates."""
     uni = target_weights(scored.universe, ["formation_date", *KEY])
-    windows, end = scored.windows, scored.calendar.agg(F.max("date")).scalar()
+    months = scored.months
     if spec.date_shift_months:
         shift = spec.date_shift_months
         targets, uni = shift_formations(targets, shift), shift_formations(uni, shift)
-        shifted = shift_formations(scored.formations, shift).where(F.col("formation_date") < end)
-        windows = holding_windows(shifted, KEY, end)
-    book = simulate(targets, windows, scored.panel.returns, scored.calendar, spec.costs, KEY)
-    ew = gross_only(uni, windows, scored.panel.returns, scored.calendar, KEY)
+        months = holding_months(shift_formations(scored.formations, shift), KEY, scored.calendar)
+    book = simulate(targets, months, scored.panel.returns, spec.costs, KEY)
+    ew = gross_only(uni, months, scored.panel.returns, KEY)
     both = book.join(ew.select(*KEY, "date", F.col("gross").alias("universe_ew")), [*KEY, "date"], "left")
     monthly = combine_sleeves(both, spec.n_sleeves)
     if benchmarks is None:
@@ -111,7 +109,7 @@ def run_backtest(panel: Panel, spec: BacktestSpec, asof_col: str = PUBLIC, keep:
         require_usable_window(s, spec)
     at = ["formation_date", *KEY]
     targets = target_weights(select_top(s.rankings, spec.top_n), at, spec.weighting)
-    held = holding_period_returns(targets, s.windows, s.panel.returns, s.calendar, KEY)
+    held = holding_period_returns(targets, s.months, s.panel.returns, KEY)
     rankings = (s.rankings.join(targets.select(*at, "security_id", "weight"), [*at, "security_id"], "left")
                 .join(held, [*at, "security_id"], "left"))
     return BacktestResult(spec, s, backtest_monthly(s, targets, spec), rankings,
@@ -145,8 +143,8 @@ def run_scores(panel: Panel, scores: DataFrame, spec: BacktestSpec, higher_is_be
     cut = prepare_panel(panel, spec.start, spec.end)
     returns = cut.returns if lookback else cut.returns.where(F.col("date") >= F.lit(spec.start).cast("date"))
     calendar = materialize(month_ends(returns))
-    end = calendar.agg(F.max("date")).scalar()
-    formations = rebalance_dates(calendar, spec.frequency, spec.anchor_month).select("formation_date")
+    plain = materialize(holding_months(rebalance_dates(calendar, spec.frequency, spec.anchor_month), [], calendar))
+    formations = formation_dates(plain, [])
     sections = (returns.join(F.broadcast(formations.withColumnRenamed("formation_date", "date")), "date", "left_semi")
                 .withColumn("formation_date", F.col("date")))
     universe = materialize(select_universe(sections, spec.universe)
@@ -157,16 +155,14 @@ def run_scores(panel: Panel, scores: DataFrame, spec: BacktestSpec, higher_is_be
     best = F.desc("score") if higher_is_better else F.asc("score")
     chosen = top_per_group(scored, [*keys, "formation_date"], [best, F.asc("security_id")], spec.top_n)
     targets = materialize(target_weights(chosen, [*keys, "formation_date"], spec.weighting))
-    plain = holding_windows(formations, [], end)
-    windows = _per_book(plain, scores.select(*keys).distinct()) if keys else plain
-    book = simulate(targets, windows, returns, calendar, spec.costs, keys)
-    uni = target_weights(universe, ["formation_date"])
-    ew = gross_only(uni, plain, returns, calendar)
+    months = _per_book(plain, targets.select(*keys).distinct()) if keys else plain
+    book = simulate(targets, months, returns, spec.costs, keys)
+    ew = gross_only(target_weights(universe, ["formation_date"]), plain, returns)
     return (book.drop("formation_date")
             .join(ew.select("date", F.col("gross").alias("universe_ew")), "date", "left"))
 
 
-def _per_book(windows: DataFrame, books: DataFrame) -> DataFrame:
-    """The same calendar for every book: the few windows travel as one array per book."""
-    packed = windows.agg(F.collect_list(F.struct(*windows.columns))).scalar()
+def _per_book(months: DataFrame, books: DataFrame) -> DataFrame:
+    """The same calendar for every book: the calendar, a few hundred rows at most, travels as one array."""
+    packed = months.agg(F.collect_list(F.struct(*months.columns))).scalar()
     return books.withColumn("_w", F.explode(packed)).select(*books.columns, "_w.*")

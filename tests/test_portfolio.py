@@ -7,27 +7,26 @@ from pyspark.sql import functions as F
 from helpers import approx, d, month_ends, returns_df, rows
 from pitrank.operators.costs import NO_COST, CostModel
 from pitrank.operators.portfolio import (combine_sleeves, holding_period_returns, shift_formations, simulate, target_weights)
-from pitrank.operators.schedule import holding_windows, rebalance_dates, sleeve_count
+from pitrank.operators.schedule import holding_months, rebalance_dates, sleeve_count
 from pitrank.sources.canonical import month_ends as panel_months
 
 
 def setup(spark, returns, targets, formations):
     """targets: {date: {id: weight}}"""
     cal = panel_months(returns)
-    end = cal.agg(F.max("date")).scalar()
     forms = spark.createDataFrame([(t,) for t in formations], "formation_date date")
     caps = returns.select("security_id", F.col("date").alias("formation_date"), "market_cap")
     rows_ = [(t, i, float(w)) for t, ws in targets.items() for i, w in ws.items()]
     t = spark.createDataFrame(rows_, "formation_date date, security_id string, weight double").join(caps, ["formation_date", "security_id"], "left")
-    return t, holding_windows(forms, [], end), cal
+    return t, holding_months(forms, [], cal)
 
 
 def test_hand_numbers_with_a_bankruptcy(spark):
     me = month_ends("2000-01", 4)
     r = returns_df(spark, [("A", m, 0.10, 10.0, 1e8) for m in me] + [("B", m, -0.10, 10.0, 1e8) for m in me]
                    + [("C", m, x, 10.0, 1e8, None, None, None, x < -0.5) for m, x in zip(me, (0.0, 0.0, -0.8))])
-    t, w, cal = setup(spark, r, {me[0]: {"A": 0.5, "C": 0.5}}, [me[0]])
-    got = rows(simulate(t, w, r, cal, CostModel("flat", 20.0)), "date")
+    t, w = setup(spark, r, {me[0]: {"A": 0.5, "C": 0.5}}, [me[0]])
+    got = rows(simulate(t, w, r, CostModel("flat", 20.0)), "date")
     assert approx(got[0]["gross"], 0.05) and approx(got[0]["net"], 0.05 - 0.002) and approx(got[0]["turnover"], 0.5)
     wa = 0.55 / 1.05
     assert approx(got[1]["gross"], wa * 0.1 + (1 - wa) * -0.8) and got[1]["turnover"] is None and got[1]["n_holdings"] == 2
@@ -90,8 +89,8 @@ def test_closed_form_equals_the_recurrence(spark):
         raw = [rnd.random() for _ in pick]
         targets[me[k]] = {i: x / sum(raw) for i, x in zip(pick, raw)} if k != 21 else {}
     r = returns_df(spark, data)
-    t, w, cal = setup(spark, r, targets, list(targets))
-    got = rows(simulate(t, w, r, cal, CostModel()), "date")
+    t, w = setup(spark, r, targets, list(targets))
+    got = rows(simulate(t, w, r, CostModel()), "date")
     want = recurrence(targets, panel, caps, me, log_cost)
     assert len(got) == len(want)
     for g, (m, gross, net, turn, cost, n) in zip(got, want):
@@ -111,8 +110,8 @@ def test_weights(spark):
 def test_holding_period_returns(spark):
     me = month_ends("2000-01", 5)
     r = returns_df(spark, [("A", m, 0.1) for m in me] + [("B", me[0], 0.0), ("B", me[1], -1.0)] + [("C", me[0], 0.0)])
-    t, w, cal = setup(spark, r, {me[0]: {"A": 0.4, "B": 0.3, "C": 0.3}}, [me[0], me[3]])
-    got = {x["security_id"]: x["holding_return"] for x in rows(holding_period_returns(t, w, r, cal))}
+    t, w = setup(spark, r, {me[0]: {"A": 0.4, "B": 0.3, "C": 0.3}}, [me[0], me[3]])
+    got = {x["security_id"]: x["holding_return"] for x in rows(holding_period_returns(t, w, r))}
     assert approx(got["A"], 1.1 ** 3 - 1) and approx(got["B"], -0.999) and "C" not in got
 
 
