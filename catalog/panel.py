@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pitrank.functions.columns import month_end_at, month_index
-from pitrank.functions.lineage import materialize
+from pitrank.functions.lineage import materialize_all
 from pitrank.schemas import FUNDAMENTAL_VALUES
 from pitrank.sources.canonical import Panel
 from pitrank.vendor.market import panel_benchmarks
@@ -165,5 +165,5 @@ PANEL_SQL = ",".join([RET_SQL, FUND_SQL, BENCH_SQL])
 
 def panel(spark: SparkSession, sf: str) -> Panel:
     """The canonical tables, landed once: monthly bars are far smaller than the order lines they come from."""
-    r = materialize(returns(spark, sf))
-    return Panel(r, materialize(fundamentals(spark, sf)), panel_benchmarks(r, TOP_K, RISK_FREE))
+    r, f = materialize_all(returns(spark, sf), fundamentals(spark, sf))
+    return Panel(r, f, panel_benchmarks(r, TOP_K, RISK_FREE))

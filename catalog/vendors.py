@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from pitrank.functions.lineage import materialize
 from pitrank.sources.bars import price_bars
 from pitrank.vendor import accounting as A
 from pitrank.vendor import equity as E
@@ -480,13 +481,13 @@ TTMD_LAYOUT = "cik:i concept end:d ttm:2 filed:d prior_filed:d"
 
 @register("v16_ttm_durations", quoted(sql(TTMD_LAYOUT, "tm", ROWS_SQL, CONCEPT_SQL, TTMD_SQL)))
 def v16(spark, sf):
-    return present(X.ttm_from_durations(X.concept_values(facts(spark, sf))), TTMD_LAYOUT)
+    return present(X.ttm_from_durations(materialize(X.concept_values(facts(spark, sf)))), TTMD_LAYOUT)
 
 
 @register("v16_late_prior_values", sql("concept n_interim:i n_late:i", "y", ROWS_SQL, CONCEPT_SQL, TTMD_SQL, """
 y AS (SELECT concept, count(prior_filed) AS n_interim, count(*) FILTER (prior_filed > filed) AS n_late FROM tm GROUP BY concept)"""))
 def v16_late(spark, sf):
-    return present(X.late_prior_values(X.ttm_from_durations(X.concept_values(facts(spark, sf)))), "concept n_interim:i n_late:i")
+    return present(X.late_prior_values(X.ttm_from_durations(materialize(X.concept_values(facts(spark, sf))))), "concept n_interim:i n_late:i")
 
 
 @register("v17_instants", quoted(sql("cik:i concept end:d val:2 filed:d", "y", ROWS_SQL, CONCEPT_SQL, """y AS (SELECT * FROM cv WHERE "start" IS NULL)""")))

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +29,9 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/pitrank-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_all(*dfs: DataFrame) -> list[DataFrame]:
+    """Several independent tables at the same time, so that one job's last tasks do not leave the cluster idle."""
+    with ThreadPoolExecutor(len(dfs)) as pool:
+        return list(pool.map(materialize, dfs))

@@ -38,12 +38,11 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     size is cut down in parallel.
     """
     order = list(order)
-    out = df
-    if n * SALTS < 2_000_000:
-        slices = Window.partitionBy(*keys, F.pmod(F.xxhash64(*spread), F.lit(SALTS))).orderBy(*order)
-        out = out.withColumn("_slice", F.row_number().over(slices)).where(F.col("_slice") <= n).drop("_slice")
     final = rank or "_position"
-    out = out.withColumn(final, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(final) <= n)
+    slices = Window.partitionBy(*keys, F.pmod(F.xxhash64(*spread), F.lit(SALTS))).orderBy(*order)
+    survivors = df.withColumn("_slice", F.row_number().over(slices)).where(F.col("_slice") <= n).drop("_slice")
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    out = survivors.withColumn(final, F.row_number().over(whole)).where(F.col(final) <= n)
     return out if rank else out.drop(final)
 
 

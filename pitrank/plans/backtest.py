@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,14 +34,34 @@ class Scored:
     alive: DataFrame
 
 
-@dataclass
 class BacktestResult:
-    spec: BacktestSpec
-    scored: Scored
-    monthly: DataFrame
-    rankings: DataFrame
-    holdings: DataFrame
-    universe_stats: DataFrame
+    """The tables of one run; each is planned when it is first asked for."""
+
+    def __init__(self, spec: BacktestSpec, scored: Scored):
+        self.spec, self.scored = spec, scored
+
+    @cached_property
+    def targets(self) -> DataFrame:
+        return target_weights(select_top(self.scored.rankings, self.spec.top_n), ["formation_date", *KEY], self.spec.weighting)
+
+    @cached_property
+    def monthly(self) -> DataFrame:
+        return backtest_monthly(self.scored, self.targets, self.spec)
+
+    @cached_property
+    def rankings(self) -> DataFrame:
+        """Every ranked name with its weight and its return until the next formation date, where it is held."""
+        at = ["formation_date", *KEY, "security_id"]
+        held = holding_period_returns(self.targets, self.scored.months, self.scored.panel.returns, KEY)
+        return (self.scored.rankings.join(self.targets.select(*at, "weight"), at, "left").join(held, at, "left"))
+
+    @cached_property
+    def holdings(self) -> DataFrame:
+        return self.rankings.where(F.col("weight").isNotNull())
+
+    @cached_property
+    def universe_stats(self) -> DataFrame:
+        return universe_funnel(self.scored)
 
 
 def score(panel: Panel, spec: BacktestSpec, asof_col: str = PUBLIC, keep: bool = True) -> Scored:
@@ -107,13 +128,7 @@ def run_backtest(panel: Panel, spec: BacktestSpec, asof_col: str = PUBLIC, keep:
     s = score(panel, spec, asof_col, keep)
     if check:
         require_usable_window(s, spec)
-    at = ["formation_date", *KEY]
-    targets = target_weights(select_top(s.rankings, spec.top_n), at, spec.weighting)
-    held = holding_period_returns(targets, s.months, s.panel.returns, KEY)
-    rankings = (s.rankings.join(targets.select(*at, "security_id", "weight"), [*at, "security_id"], "left")
-                .join(held, [*at, "security_id"], "left"))
-    return BacktestResult(spec, s, backtest_monthly(s, targets, spec), rankings,
-                          rankings.where(F.col("weight").isNotNull()), universe_funnel(s))
+    return BacktestResult(spec, s)
 
 
 def require_usable_window(scored: Scored, spec: BacktestSpec) -> None:

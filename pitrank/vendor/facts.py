@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from ..functions.lineage import materialize
 from ..schemas import FUNDAMENTAL_VALUES
 
 ENTRY = T.StructType([T.StructField(n, t) for n, t in (
@@ -177,7 +178,7 @@ def company_fundamentals(facts: DataFrame) -> DataFrame:
     the last of its pieces was filed; a filing date before the period end becomes the period end plus 45 days.
     ``shares_diluted`` is a four-quarter figure built like the flows, as in the source data.
     """
-    values = concept_values(facts)
+    values = materialize(concept_values(facts))     # read five times below; the nested text is parsed once
     flows = (ttm_from_durations(values.where(F.col("concept").isin(*FLOW_TAGS)))
              .select("cik", "concept", "end", F.col("ttm").alias("x"), "filed"))
     points = (instants(values.where(F.col("concept").isin(*INSTANT_TAGS)))
