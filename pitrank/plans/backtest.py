@@ -32,6 +32,11 @@ class Scored:
     universe: DataFrame
     rankings: DataFrame
     alive: DataFrame
+    panel_keys: tuple[str, ...] = ()
+
+    @property
+    def keys(self) -> list[str]:
+        return [*self.panel_keys, *KEY]
 
 
 class BacktestResult:
@@ -42,7 +47,8 @@ class BacktestResult:
 
     @cached_property
     def targets(self) -> DataFrame:
-        return target_weights(select_top(self.scored.rankings, self.spec.top_n), ["formation_date", *KEY], self.spec.weighting)
+        top = select_top(self.scored.rankings, self.spec.top_n)
+        return target_weights(top, ["formation_date", *self.scored.keys], self.spec.weighting)
 
     @cached_property
     def monthly(self) -> DataFrame:
@@ -51,8 +57,9 @@ class BacktestResult:
     @cached_property
     def rankings(self) -> DataFrame:
         """Every ranked name with its weight and its return until the next formation date, where it is held."""
-        at = ["formation_date", *KEY, "security_id"]
-        held = holding_period_returns(self.targets, self.scored.months, self.scored.panel.returns, KEY)
+        s = self.scored
+        at = ["formation_date", *s.keys, "security_id"]
+        held = holding_period_returns(self.targets, s.months, s.panel.returns, s.keys, s.panel_keys)
         return (self.scored.rankings.join(self.targets.select(*at, "weight"), at, "left").join(held, at, "left"))
 
     @cached_property
@@ -64,10 +71,12 @@ class BacktestResult:
         return universe_funnel(self.scored)
 
 
-def score(panel: Panel, spec: BacktestSpec, asof_col: str = PUBLIC, keep: bool = True) -> Scored:
+def score(panel: Panel, spec: BacktestSpec, asof_col: str = PUBLIC, keep: bool = True,
+          panel_keys: Sequence[str] = ()) -> Scored:
     """Calendar -> universe -> point-in-time snapshot -> factors -> ranking, for every sleeve and date together.
 
-    A formation date belongs to exactly one sleeve, so snapshots carry the sleeve and are built once.
+    A formation date belongs to exactly one sleeve, so snapshots carry the sleeve and are built once. ``panel_keys``
+    names the columns that tell several markets with a common calendar apart; all of them run in the same jobs.
     ``keep`` writes the calendars, the universe and the rankings to the shared folder, because targets, trades, the
     universe benchmark, deciles and reports all start from them.
     """
@@ -80,22 +89,26 @@ def score(panel: Panel, spec: BacktestSpec, asof_col: str = PUBLIC, keep: bool =
     ranking = spec.ranking
     snapshot = build_snapshot(
         cut.returns, cut.fundamentals, formations, asof_col, spec.max_staleness_days, spec.end,
-        universe=lambda sections: select_universe(sections, spec.universe),
-        requires=required_columns(ranking.names))
+        universe=lambda sections: select_universe(sections, spec.universe, keys=panel_keys),
+        requires=required_columns(ranking.names), keys=panel_keys)
     universe = snapshot.join(F.broadcast(formations), "formation_date")
-    columns = ["formation_date", *KEY, "security_id", *ranking.names, *CONTEXT]
+    keys = [*panel_keys, *KEY]
+    columns = ["formation_date", *keys, "security_id", *ranking.names, *CONTEXT]
     values = save(compute_factors(universe, ranking.names).select(*dict.fromkeys(columns)))
-    ranked = save(rank_stocks(values, ranking, keys=KEY, bounded=spec.universe.max_names is not None))
-    members = values.select("formation_date", *KEY, "security_id", "market_cap")
-    alive = (cut.returns.select(F.col("date").alias("formation_date"))
+    ranked = save(rank_stocks(values, ranking, keys=keys, bounded=spec.universe.max_names is not None))
+    members = values.select("formation_date", *keys, "security_id", "market_cap")
+    alive = (cut.returns.select(*panel_keys, F.col("date").alias("formation_date"))
              .join(F.broadcast(formations), "formation_date")
-             .groupBy("formation_date", *KEY).agg(F.count(F.lit(1)).alias("n_alive")))
-    return Scored(cut, calendar, months, formations, members, ranked, alive)
+             .groupBy("formation_date", *keys).agg(F.count(F.lit(1)).alias("n_alive")))
+    if panel_keys:
+        months = save(_per_book(months, alive.select(*panel_keys).distinct()))
+        formations = formation_dates(months, keys)
+    return Scored(cut, calendar, months, formations, members, ranked, alive, tuple(panel_keys))
 
 
 def universe_funnel(scored: Scored) -> DataFrame:
     """Counts alive -> in the universe -> ranked, per formation date and sleeve."""
-    at = ["formation_date", *KEY]
+    at = ["formation_date", *scored.keys]
     uni = scored.universe.groupBy(*at).agg(F.count(F.lit(1)).alias("n_universe"))
     ranked = scored.rankings.groupBy(*at).agg(F.count(F.lit(1)).alias("n_ranked"))
     zero = F.lit(0).cast("long")
@@ -107,25 +120,27 @@ def universe_funnel(scored: Scored) -> DataFrame:
 def backtest_monthly(scored: Scored, targets: DataFrame, spec: BacktestSpec,
                      benchmarks: DataFrame | None = None) -> DataFrame:
     """Monthly result of the given targets together with the equal-weighted universe formed on the same dates."""
-    uni = target_weights(scored.universe, ["formation_date", *KEY])
+    keys, panel_keys = scored.keys, list(scored.panel_keys)
+    uni = target_weights(scored.universe, ["formation_date", *keys])
     months = scored.months
     if spec.date_shift_months:
         shift = spec.date_shift_months
         targets, uni = shift_formations(targets, shift), shift_formations(uni, shift)
-        months = holding_months(shift_formations(scored.formations, shift), KEY, scored.calendar)
-    book = simulate(targets, months, scored.panel.returns, spec.costs, KEY)
-    ew = gross_only(uni, months, scored.panel.returns, KEY)
-    both = book.join(ew.select(*KEY, "date", F.col("gross").alias("universe_ew")), [*KEY, "date"], "left")
-    monthly = combine_sleeves(both, spec.n_sleeves)
+        months = holding_months(shift_formations(scored.formations, shift), keys, scored.calendar)
+    book = simulate(targets, months, scored.panel.returns, spec.costs, keys, panel_keys)
+    ew = gross_only(uni, months, scored.panel.returns, keys, panel_keys)
+    both = book.join(ew.select(*keys, "date", F.col("gross").alias("universe_ew")), [*keys, "date"], "left")
+    monthly = combine_sleeves(both, spec.n_sleeves, panel_keys)
     if benchmarks is None:
         benchmarks = scored.panel.benchmarks
-    return monthly.join(benchmarks, "date", "left")
+    shared = [k for k in panel_keys if k in benchmarks.columns]
+    return monthly.join(benchmarks, [*shared, "date"], "left")
 
 
-def run_backtest(panel: Panel, spec: BacktestSpec, asof_col: str = PUBLIC, keep: bool = True,
-                 check: bool = False) -> BacktestResult:
+def run_backtest(panel: Panel, spec: BacktestSpec, asof_col: str = PUBLIC, keep: bool = True, check: bool = False,
+                 panel_keys: Sequence[str] = ()) -> BacktestResult:
     """Plans the whole backtest. ``check`` runs two small count jobs first and rejects windows that are too short."""
-    s = score(panel, spec, asof_col, keep)
+    s = score(panel, spec, asof_col, keep, panel_keys)
     if check:
         require_usable_window(s, spec)
     return BacktestResult(spec, s)
