@@ -11,13 +11,13 @@ from pitrank.functions.lineage import materialize
 from pitrank.operators.ranking import RankingSpec, percent_rank_average, quantile_bucket
 from pitrank.operators.schedule import rebalance_dates
 from pitrank.operators.trailing import forward_returns
-from pitrank.sources.canonical import Panel, month_ends, prepare_panel
+from pitrank.sources.canonical import month_ends, prepare_panel
 
 from .common import present, register, sql
 from .core import (BASE, END, MAGIC, RANKED, SNAP_SQL, START, _values, asof_sql, avg_rank_sql, form_sql, rank_sum_sql,
                    universe_sql, values_sql)
 from .panel import FUND_SQL, PANEL_SQL, RET_SQL, fundamentals, panel, returns, table
-from .portfolios import NULL_CTES, NULL_LONG, NULL_SUM, null_runs
+from .portfolios import NULL_CTES, null_runs
 
 
 def fwd_sql(h: int, src: str = "pret", name: str = "fwd") -> str:

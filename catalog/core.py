@@ -11,13 +11,13 @@ from pitrank.operators.schedule import rebalance_dates
 from pitrank.operators.snapshot import build_snapshot
 from pitrank.operators.trailing import with_trailing
 from pitrank.operators.universe import UniverseRule, select_universe
-from pitrank.plans.backtest import run_backtest, score
+from pitrank.plans.backtest import score
 from pitrank.plans.spec import BacktestSpec
 from pitrank.sources.canonical import (benchmarks_between, fundamentals_between, month_ends, prepare_panel,
                                        returns_between)
 
 from .common import present, register, sql
-from .panel import BENCH_SQL, FUND_SQL, PANEL_SQL, RET_SQL, fundamentals, panel, returns
+from .panel import FUND_SQL, PANEL_SQL, RET_SQL, fundamentals, panel, returns
 
 START, END = "1996-06-30", "2001-06-30"
 SPEC = BacktestSpec(name="quarterly value and quality", start=START, end=END, frequency="quarterly", anchor_month=12,

@@ -15,7 +15,7 @@ from pitrank.operators.ranking import select_top
 from pitrank.plans.backtest import holdings_at, run_backtest, run_scores, score, top_of_ranking, universe_funnel
 
 from .common import present, register, sql
-from .core import (BASE, END, MAGIC, RANKED, SNAP_SQL, SPEC, START, avg_rank_sql, form_sql, rank_sum_sql, universe_sql,
+from .core import (BASE, END, MAGIC, RANKED, SNAP_SQL, SPEC, START, form_sql, rank_sum_sql, universe_sql,
                    values_sql)
 from .panel import PANEL_SQL, panel, returns
 

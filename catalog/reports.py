@@ -6,19 +6,15 @@ from pyspark.sql import functions as F
 from pitrank.analytics import metrics as M
 from pitrank.analytics import profile as P
 from pitrank.analytics.deciles import decile_returns, decile_summary, decile_table
-from pitrank.analytics.nulls import sweep_summary
 from pitrank.analytics.verdict import verdict
-from pitrank.functions import stats
 from pitrank.functions.lineage import materialize
-from pitrank.operators.trailing import forward_returns
-from pitrank.operators.ranking import quantile_bucket
 from pitrank.plans.backtest import run_backtest
 from pitrank.schemas import BENCHMARK_LABELS
 from pitrank.vendor.market import market_returns, top_k_index
 
 from .common import present, register, sql
-from .core import BASE, SPEC
-from .panel import BENCH_SQL, FUND_SQL, PANEL_SQL, RET_SQL, fundamentals, panel, returns
+from .core import SPEC
+from .panel import BENCH_SQL, FUND_SQL, RET_SQL, fundamentals, panel, returns
 from .portfolios import DEC_SUM, DEC_TABLE, DECILES, RUN, cagr_sql, excess_sql, t_sql
 
 BENCHES = list(BENCHMARK_LABELS)

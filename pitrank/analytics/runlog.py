@@ -1,9 +1,6 @@
 """Append-only log of runs as JSON lines, so the number of configurations tried stays visible."""
 from __future__ import annotations
 
-from collections.abc import Mapping
-from typing import Any
-
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..plans.spec import BacktestSpec

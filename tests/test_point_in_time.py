@@ -1,10 +1,7 @@
 import datetime as dt
 import random
-import warnings
 
 import pytest
-from pyspark.sql import functions as F
-
 from helpers import approx, d, fundamentals_df, month_ends, returns_df, rows
 from pitrank.audits.leakage import truncation_audit
 from pitrank.operators.pit import LookAheadWarning, asof_fundamentals
