@@ -1,23 +1,25 @@
 """Cutting long lineages with tables written to the cluster's shared folder."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local: list[str] = []
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``; a temporary one only where none is named (tests)."""
+    """The folder the session names in ``spark.checkpoint.dir``; without one nothing can be shared, so that is an error.
+
+    A folder of one machine would be wrong on a cluster: each executor would write its part to its own disk.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="pitrank-"))
-    return _local[0]
+    if not named:
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+    return named.rstrip("/")
+
+
+def new_path(spark: SparkSession, kind: str = "table") -> str:
+    return f"{shared_folder(spark)}/pitrank-{kind}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def materialize(df: DataFrame) -> DataFrame:
     Unlike a cached table it survives lost executors, and unlike a checkpointed one it keeps column pruning, filter
     pushdown and size statistics. The schema is passed on, so nothing is inferred.
     """
-    path = f"{shared_folder(df.sparkSession)}/pitrank-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
