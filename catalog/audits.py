@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pitrank.analytics.nulls import null_summary, placement, sweep_summary
+from pitrank.analytics.nulls import null_values, placement, sweep_summary
 from pitrank.analytics.runlog import count_runs, latest_runs
 from pitrank.audits import contract as C
 from pitrank.audits import leakage as L
@@ -342,7 +342,7 @@ def a23(spark, sf):
     runs = materialize(null_runs(spark, sf))
     grid = runs.withColumn("strength", F.pmod("panel_id", F.lit(3))).withColumn("e", F.col("excess_vs_universe_ew") + 0.01 * F.col("strength"))
     probe = grid.select(F.col("panel_id").alias("run_id"), F.lit("excess_vs_universe_ew").alias("metric"), F.col("e").alias("value"))
-    pct = placement(probe, null_summary(runs)).select(F.col("run_id").alias("panel_id"), F.col("percentile").alias("null_percentile"))
+    pct = placement(probe, null_values(runs)).select(F.col("run_id").alias("panel_id"), F.col("percentile").alias("null_percentile"))
     rows = grid.join(pct, "panel_id").select(
         "strength", F.col("excess_vs_sp500").alias("decile_spread"), F.col("excess_vs_market_ew").alias("oracle_excess"), F.col("e").alias("engine_excess"),
         F.col("t_stat_vs_universe_ew").alias("engine_t"), "null_percentile", (F.col("e") / F.col("sharpe")).alias("fraction_of_oracle"))

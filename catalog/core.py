@@ -191,6 +191,25 @@ def j01(spark, sf):
     return present(asof_fundamentals(cut.fundamentals, dates), ASOF_LAYOUT)
 
 
+# some first filings are not known to be public yet (a far date), some restatements have a date that can't be right
+ODD_DATES = """
+odd AS (SELECT * REPLACE (CASE WHEN month(fiscal_period_end) = 6 AND available_date - fiscal_period_end < 90 THEN DATE '9999-12-31'
+                               WHEN month(fiscal_period_end) = 12 AND available_date - fiscal_period_end >= 90 THEN DATE '0300-01-01'
+                               ELSE available_date END AS available_date) FROM pfund)"""
+
+
+@register("j01_asof_odd_dates", sql(ASOF_LAYOUT, "x", *BASE, form_sql(1), ODD_DATES,
+                                    asof_sql("x", src="odd", col="fiscal_period_end")))
+def j01_odd(spark, sf):
+    cut, dates = _formations(spark, sf)
+    lag = F.datediff("available_date", "fiscal_period_end")
+    odd = cut.fundamentals.withColumn(
+        "available_date", F.when((F.month("fiscal_period_end") == 6) & (lag < 90), F.lit("9999-12-31").cast("date"))
+        .when((F.month("fiscal_period_end") == 12) & (lag >= 90), F.lit("0300-01-01").cast("date"))
+        .otherwise(F.col("available_date")))
+    return present(asof_fundamentals(odd, dates, asof_col="fiscal_period_end"), ASOF_LAYOUT)
+
+
 @register("j01_asof_no_staleness_limit", sql(ASOF_LAYOUT, "x", *BASE, form_sql(3), asof_sql("x", stale=100000)))
 def j01_unlimited(spark, sf):
     cut, dates = _formations(spark, sf, "quarterly")
@@ -245,6 +264,19 @@ def f01(spark, sf):
     return present(select_universe(sec), "formation_date:d security_id market_cap:0")
 
 
+@register("f01_universe_with_nan", sql("formation_date:d security_id market_cap:0", "uni", *BASE, form_sql(1), """
+          sec AS (SELECT f.formation_date, r.* FROM form f JOIN pret r ON r.date = f.formation_date
+                  WHERE right(r.security_id, 1) NOT IN ('3', '8'))""", universe_sql(40, src="sec")))
+def f01_nan(spark, sf):
+    """One security in ten has no usable capitalisation, another one no usable price."""
+    cut, dates = _formations(spark, sf)
+    nan, last = F.lit(float("nan")), F.substring("security_id", -1, 1)
+    sec = (cut.returns.join(dates, F.col("date") == F.col("formation_date"))
+           .withColumn("market_cap", F.when(last == "3", nan).otherwise(F.col("market_cap")))
+           .withColumn("price", F.when(last == "8", nan).otherwise(F.col("price"))))
+    return present(select_universe(sec, UniverseRule(max_names=40)), "formation_date:d security_id market_cap:0")
+
+
 @register("f02_largest_names", sql("formation_date:d security_id market_cap:0", "uni", *BASE, form_sql(1),
                                    "sec AS (SELECT f.formation_date, r.* FROM form f JOIN pret r ON r.date = f.formation_date)",
                                    universe_sql(20, "exchange IN ('NYSE', 'OTC') AND NOT (sic_code BETWEEN 3000 AND 3999)", src="sec")))

@@ -6,13 +6,15 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from pitrank.analytics.deciles import decile_assignments, decile_returns, decile_scored, decile_summary, decile_table
-from pitrank.analytics.nulls import (null_summary, oracle_fraction, panel_metrics, placement, shuffled_scores,
+from pitrank.analytics.nulls import (null_summary, null_values, oracle_fraction, panel_metrics, placement, shuffled_scores,
                                      multiple_testing_bar)
 from pitrank.analytics.profile import size_tilt
+from pitrank.functions.lineage import materialize
 from pitrank.operators.costs import SIZE_ANCHORS, CostModel
 from pitrank.operators.portfolio import target_weights
 from pitrank.operators.ranking import select_top
 from pitrank.plans.backtest import holdings_at, run_backtest, run_scores, score, top_of_ranking, universe_funnel
+from pitrank.sources.canonical import Panel
 
 from .common import present, register, sql
 from .core import (BASE, END, MAGIC, RANKED, SNAP_SQL, SPEC, START, form_sql, rank_sum_sql, universe_sql,
@@ -271,6 +273,24 @@ def p16(spark, sf):
     return present(decile_returns(score(panel(spark, sf), SPEC)), "decile:i date:d gross:9")
 
 
+MARKETS_LAYOUT = "panel_id:i decile:i date:d gross:9"
+_ONE_MARKET = sql("decile:i date:d gross:9", "d_month", *DECILES)
+_OTHER_MARKET = _ONE_MARKET.replace("0.1::DOUBLE * (px / prev - 1)", "-0.05::DOUBLE * (px / prev - 1)").replace(
+    "-0.6::DOUBLE", "0.3::DOUBLE")
+
+
+@register("p16_deciles_many_markets", f"""SELECT CAST(1 AS BIGINT) AS panel_id, * FROM ({_ONE_MARKET})
+UNION ALL SELECT CAST(2 AS BIGINT), * FROM ({_OTHER_MARKET})""")
+def p16_markets(spark, sf):
+    """Two markets with the same securities; in the second one returns are halved and turned around."""
+    p = panel(spark, sf)
+    one = [t.withColumn("panel_id", F.lit(1)) for t in (p.returns, p.fundamentals, p.benchmarks)]
+    two = [t.withColumn("panel_id", F.lit(2)) for t in (p.returns.withColumn("total_return", -0.5 * F.col("total_return")),
+                                                        p.fundamentals, p.benchmarks)]
+    both = Panel(*[a.unionByName(b) for a, b in zip(one, two)])
+    return present(decile_returns(score(both, SPEC, panel_keys=["panel_id"])), MARKETS_LAYOUT)
+
+
 ANNUAL = replace(SPEC, frequency="annual")
 
 
@@ -327,7 +347,7 @@ def a18_summary(spark, sf):
 
 
 # ---------------------------------------------------------------- luck
-SEEDS = 8
+SEEDS = 30
 NULL_CTES = [PANEL_SQL, START_RET, form_sql(3),
              "sec AS (SELECT f.sleeve, f.formation_date, r.* FROM form f JOIN pret r ON r.date = f.formation_date)",
              universe_sql(src="sec"), f"""
@@ -348,8 +368,7 @@ RUNS_LAYOUT = ("panel_id:i cagr:8 excess_vs_universe_ew:8 excess_vs_market_ew:8
 
 def null_runs(spark, sf):
     p = panel(spark, sf)
-    scores = shuffled_scores(p.returns.where(F.col("date").between(F.lit(START).cast("date"), F.lit(END).cast("date"))), SEEDS)
-    monthly = run_scores(p, scores, SPEC, keys=["panel_id"])
+    monthly = run_scores(p, lambda members: shuffled_scores(members, SEEDS), SPEC, keys=["panel_id"])
     return panel_metrics(monthly.join(p.benchmarks, "date"))
 
 
@@ -366,7 +385,7 @@ NULL_SUM = "\nnsum AS (SELECT metric, count(value) AS n, avg(value) AS mean, std
 
 @register("a19_null_summary", sql(SUMMARY_LAYOUT, "nsum", *NULL_CTES, NULL_LONG, NULL_SUM))
 def a19(spark, sf):
-    return present(null_summary(null_runs(spark, sf)), SUMMARY_LAYOUT)
+    return present(null_summary(null_values(null_runs(spark, sf))), SUMMARY_LAYOUT)
 
 
 PLACE_LAYOUT = "run_id:i metric value:8 percentile:6 z:6 n:i verdict available"
@@ -377,15 +396,14 @@ probe AS (SELECT panel_id AS run_id, 'excess_vs_universe_ew' AS metric, excess_v
 pos AS (SELECT p.*, n, (p.value - mean) / std AS z,
                100.0::DOUBLE * (SELECT count(*) FROM longs l WHERE l.metric = p.metric AND l.value < p.value) / n AS percentile
         FROM probe p JOIN nsum USING (metric)),
-y AS (SELECT *, true AS available, CASE WHEN percentile >= 99 THEN 'above the 99th percentile of luck'
-             WHEN percentile >= 95 THEN 'above the 95th percentile of luck'
-             WHEN percentile >= 90 THEN 'above the 90th percentile of luck (weak)' ELSE 'inside the range of pure luck' END AS verdict
+y AS (SELECT *, true AS available, CASE WHEN percentile >= 99 THEN 'p99' WHEN percentile >= 95 THEN 'p95'
+             WHEN percentile >= 90 THEN 'p90' ELSE 'inside' END AS verdict
       FROM pos)"""))
 def a20(spark, sf):
-    runs = null_runs(spark, sf)
+    runs = materialize(null_runs(spark, sf))
     probe = runs.select(F.col("panel_id").alias("run_id"), F.lit("excess_vs_universe_ew").alias("metric"),
                         (F.col("excess_vs_universe_ew") + 0.01 * F.pmod("panel_id", F.lit(4))).alias("value"))
-    return present(placement(probe, null_summary(runs)), PLACE_LAYOUT)
+    return present(placement(probe, null_values(runs)), PLACE_LAYOUT)
 
 
 BAR_LAYOUT = "n_trials:i expected_best_of_n:8 significance_bar:8 single_trial_bar:8"
@@ -400,9 +418,9 @@ vals AS (SELECT n_trials, k, v[CAST(floor(p * (len(v) - 1)) AS BIGINT) + 1] + (v
 y AS (SELECT n_trials, max(q) FILTER (k = 1) AS expected_best_of_n, max(q) FILTER (k = 2) AS significance_bar,
              max(q) FILTER (k = 3) AS single_trial_bar FROM vals GROUP BY n_trials)"""))
 def a21(spark, sf):
-    runs = null_runs(spark, sf)
+    runs = materialize(null_runs(spark, sf))
     trials = runs.select((F.col("panel_id") - 999).alias("n_trials"))
-    return present(multiple_testing_bar(trials, null_summary(runs)), BAR_LAYOUT)
+    return present(multiple_testing_bar(trials, null_values(runs)), BAR_LAYOUT)
 
 
 FRACTION_LAYOUT = "excess_strategy:8 excess_oracle:8 excess_vs_oracle:8 fraction_of_oracle:7"

@@ -31,13 +31,14 @@ def decile_scored(panel: Panel, spec: BacktestSpec, scored: Scored | None = None
     return score(panel, replace(spec, frequency=frequency, sleeves=False))
 
 
-def decile_returns(scored: Scored, keys: Sequence[str] = (), sleeve: int = 0) -> DataFrame:
-    """keys, decile, date, gross: ten equal-weight portfolios without costs, all in one job."""
+def decile_returns(scored: Scored, sleeve: int = 0) -> DataFrame:
+    """Market keys, decile, date, gross: ten equal-weight portfolios per market without costs, all in one job."""
+    keys = list(scored.panel_keys)
     book = [*keys, "decile"]
     members = decile_assignments(scored.rankings, keys, sleeve)
     targets = target_weights(members, [*book, "formation_date"])
     months = materialize(holding_months(members.select(*book, "formation_date").distinct(), book, scored.calendar))
-    out = gross_only(targets, months, scored.panel.returns, book)
+    out = gross_only(targets, months, scored.panel.returns, book, keys)
     return out.select(*book, "date", "gross")
 
 

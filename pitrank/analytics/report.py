@@ -16,7 +16,7 @@ RUN = ["run_id"]
 
 def run_report(result: BacktestResult, panel: Panel, null: DataFrame | None = None, bound_scores: DataFrame | None = None,
                trials: DataFrame | None = None, decile_frequency: str = "quarterly") -> dict[str, DataFrame]:
-    """Name -> table. ``null``: summary of luck runs; ``bound_scores``: security_id, date, score of an upper bound;
+    """Name -> table. ``null``: metric, value of luck runs; ``bound_scores``: security_id, date, score of an upper bound;
     ``trials``: one row with ``n_trials`` from the run log. Parts without their input are left out.
 
     The monthly table, a few hundred rows, is written once; every report reads it.

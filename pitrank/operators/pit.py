@@ -17,8 +17,6 @@ from ..schemas import FUNDAMENTAL_VALUES, MAX_STALENESS_DAYS
 from ..sources.canonical import as_date
 
 PUBLIC = "available_date"
-DAY_BITS = 20
-DAY_SLOTS = 1 << DAY_BITS
 
 
 class LookAheadWarning(UserWarning):
@@ -54,18 +52,14 @@ def filing_intervals(fundamentals: DataFrame, asof_col: str = PUBLIC,
     seen = _first_month_end(F.col(asof_col), shift_months)
     # Of the filings a security makes visible in the same month only the highest can ever be chosen. This partial
     # aggregation bounds what one security sends to the window below by the number of months.
-    # The order (period end, publication date) is one integer, so it is a hash aggregate over plain numbers.
-    order = F.unix_date("fiscal_period_end").cast("long") * DAY_SLOTS + F.unix_date(PUBLIC) + DAY_SLOTS // 2
     best = (fundamentals
             .where(F.col(PUBLIC).isNotNull() & F.col("fiscal_period_end").isNotNull())
-            .select(*owner, seen.alias("first_month"), order.alias("_order"))
-            .groupBy(*owner, "first_month").agg(F.max("_order").alias("_order")))
-    outranks = (Window.partitionBy(*owner).orderBy(F.desc("_order"))
+            .groupBy(*owner, seen.alias("first_month"))
+            .agg(F.max(F.struct("fiscal_period_end", PUBLIC)).alias("_best"))
+            .select(*owner, "first_month", "_best.*"))
+    outranks = (Window.partitionBy(*owner).orderBy(F.desc("fiscal_period_end"), F.desc(PUBLIC))
                 .rowsBetween(Window.unboundedPreceding, -1))
     ends = [F.min("first_month").over(outranks) - 1]
-    best = best.withColumns({
-        "fiscal_period_end": F.date_from_unix_date(F.shiftright("_order", DAY_BITS).cast("int")),
-        PUBLIC: F.date_from_unix_date((F.pmod("_order", F.lit(DAY_SLOTS)) - DAY_SLOTS // 2).cast("int"))})
     if max_staleness_days is not None:
         ends.append(_last_month_end(F.date_add("fiscal_period_end", max_staleness_days), shift_months))
     if horizon is not None:

@@ -21,9 +21,10 @@ class UniverseRule:
     exclude_sic_ranges: tuple[tuple[int, int], ...] = ((6000, 6999), (4900, 4999))
 
     def predicate(self) -> Column:
+        """NaN passes no limit: Spark orders it above every number, so it is asked for by name."""
         keep = (~F.col("is_delisted_this_month")
-                & (F.col("market_cap") >= self.min_market_cap)
-                & (F.col("price") >= self.min_price)
+                & (F.col("market_cap") >= self.min_market_cap) & ~F.isnan("market_cap")
+                & (F.col("price") >= self.min_price) & ~F.isnan("price")
                 & F.col("exchange").isin(*self.exchanges))
         for lo, hi in self.exclude_sic_ranges:
             keep = keep & ~F.col("sic_code").between(lo, hi)

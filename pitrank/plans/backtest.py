@@ -1,7 +1,7 @@
 """Composition of the operators into one lazily planned backtest."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -137,9 +137,9 @@ def backtest_monthly(scored: Scored, targets: DataFrame, spec: BacktestSpec,
     return monthly.join(benchmarks, [*shared, "date"], "left")
 
 
-def run_backtest(panel: Panel, spec: BacktestSpec, asof_col: str = PUBLIC, keep: bool = True, check: bool = False,
+def run_backtest(panel: Panel, spec: BacktestSpec, asof_col: str = PUBLIC, keep: bool = True, check: bool = True,
                  panel_keys: Sequence[str] = ()) -> BacktestResult:
-    """Plans the whole backtest. ``check`` runs two small count jobs first and rejects windows that are too short."""
+    """Plans the whole backtest. ``check`` counts calendar rows first and rejects windows that cannot be used."""
     s = score(panel, spec, asof_col, keep, panel_keys)
     if check:
         require_usable_window(s, spec)
@@ -152,6 +152,14 @@ def require_usable_window(scored: Scored, spec: BacktestSpec) -> None:
         raise ValueError(f"{spec.start}..{spec.end} holds {months} months; at least 13 are needed")
     if scored.formations.where(F.col("sleeve") == 0).isEmpty():
         raise ValueError(f"no {spec.frequency} rebalance date in {spec.start}..{spec.end}")
+    if scored.panel_keys:
+        own = (scored.panel.returns.groupBy(*scored.panel_keys)
+               .agg(F.count_distinct("date").alias("n")).agg(F.min("n"), F.max("n")).first())
+        if own[0] != own[1]:
+            raise ValueError(f"markets need a common calendar; one has {own[0]} months, another {own[1]}")
+    bare = scored.formations.join(scored.alive, ["formation_date", *scored.keys], "left_anti")
+    if not bare.isEmpty():
+        raise ValueError("a formation date has no panel rows")
 
 
 def holdings_at(result: BacktestResult, formation_date: str, sleeve: int = 0) -> DataFrame:
@@ -164,11 +172,13 @@ def top_of_ranking(result: BacktestResult, formation_date: str, sleeve: int = 0,
                                   & (F.col("sleeve") == sleeve)).orderBy("rank").limit(n))
 
 
-def run_scores(panel: Panel, scores: DataFrame, spec: BacktestSpec, higher_is_better: bool = True,
-               keys: Sequence[str] = (), lookback: bool = False) -> DataFrame:
+def run_scores(panel: Panel, scores: DataFrame | Callable[[DataFrame], DataFrame], spec: BacktestSpec,
+               higher_is_better: bool = True, keys: Sequence[str] = (), lookback: bool = False) -> DataFrame:
     """Top-N backtest on any supplied score table (``keys``, security_id, date, score); all keys in one job.
 
     One sleeve and no lookback by default: the supplied score is the signal, nothing has to be computed from it.
+    A table is cut to the formation dates before it is shuffled. ``scores`` may also be a function that scores the
+    universe's rows (security_id, date, market_cap) and keeps them, so that nothing is made for other rows.
     """
     cut = prepare_panel(panel, spec.start, spec.end)
     returns = cut.returns if lookback else cut.returns.where(F.col("date") >= F.lit(spec.start).cast("date"))
@@ -179,9 +189,14 @@ def run_scores(panel: Panel, scores: DataFrame, spec: BacktestSpec, higher_is_be
                 .withColumn("formation_date", F.col("date")))
     universe = materialize(select_universe(sections, spec.universe)
                            .select("formation_date", "security_id", "market_cap"))
-    scored = (scores.where(F.col("score").isNotNull())
-              .select(*keys, F.col("date").alias("formation_date"), "security_id", "score")
-              .join(universe, ["formation_date", "security_id"]))
+    if isinstance(scores, DataFrame):
+        given = (scores.where(F.col("score").isNotNull())
+                 .select(*keys, F.col("date").alias("formation_date"), "security_id", "score")
+                 .join(F.broadcast(formations.select("formation_date")), "formation_date", "left_semi"))
+        scored = given.join(universe, ["formation_date", "security_id"])
+    else:
+        scored = (scores(universe.withColumnRenamed("formation_date", "date"))
+                  .where(F.col("score").isNotNull()).withColumnRenamed("date", "formation_date"))
     best = F.desc("score") if higher_is_better else F.asc("score")
     chosen = top_per_group(scored, [*keys, "formation_date"], [best, F.asc("security_id")], spec.top_n)
     targets = materialize(target_weights(chosen, [*keys, "formation_date"], spec.weighting))

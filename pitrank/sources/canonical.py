@@ -48,21 +48,24 @@ class Panel:
 
 
 def prepare_panel(panel: Panel, start, end) -> Panel:
-    """Cut a panel to a backtest window, keeping the history trailing windows and prior-year lookups need."""
+    """Cut a panel to a backtest window, keeping the history trailing windows and prior-year lookups need.
+
+    NaN becomes NULL here too, since panels are also put together by hand.
+    """
     lead = F.add_months(as_date(start), -LOOKBACK_MONTHS)
-    return Panel(returns_between(panel.returns, lead, end),
-                 fundamentals_between(panel.fundamentals, lead, end),
-                 benchmarks_between(panel.benchmarks, start, end))
+    return Panel(clean_nan(returns_between(panel.returns, lead, end)),
+                 clean_nan(fundamentals_between(panel.fundamentals, lead, end)),
+                 clean_nan(benchmarks_between(panel.benchmarks, start, end)))
 
 
 def read_panel(spark: SparkSession, path: str) -> Panel:
-    """Canonical tables landed as Parquet under one folder; schemas are stated, never inferred."""
-    return Panel(spark.read.schema(RETURNS).parquet(f"{path}/returns"),
-                 spark.read.schema(FUNDAMENTALS).parquet(f"{path}/fundamentals"),
-                 spark.read.schema(BENCHMARKS).parquet(f"{path}/benchmarks"))
+    """Canonical tables landed as Parquet under one folder; schemas are stated, never inferred, and NaN is NULL."""
+    return Panel(clean_nan(spark.read.schema(RETURNS).parquet(f"{path}/returns")),
+                 clean_nan(spark.read.schema(FUNDAMENTALS).parquet(f"{path}/fundamentals")),
+                 clean_nan(spark.read.schema(BENCHMARKS).parquet(f"{path}/benchmarks")))
 
 
 def clean_nan(df: DataFrame) -> DataFrame:
-    """NaN to NULL in every double column; done once at ingestion."""
+    """NaN to NULL in every double column."""
     return df.withColumns({f.name: F.nanvl(F.col(f.name), F.lit(None).cast("double"))
                            for f in df.schema.fields if f.dataType.typeName() == "double"})

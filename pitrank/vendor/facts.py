@@ -110,16 +110,22 @@ def _concept_table(spark: SparkSession) -> DataFrame:
 def concept_values(facts: DataFrame) -> DataFrame:
     """One value per (cik, concept, start, end): the tag with the best priority, of it the earliest filing.
 
-    A partial aggregate, so a company with very many filings is reduced before it moves.
+    A partial aggregate, so a company with very many filings is reduced before it moves. A report without a filing
+    date counts only where there is no dated one.
     """
     tagged = facts.where(F.col("taxonomy") == "us-gaap").join(F.broadcast(_concept_table(facts.sparkSession)), "tag")
     return (tagged.groupBy("cik", "concept", "start", "end")
-            .agg(F.min(F.struct("priority", "filed", "val")).alias("_b"))
+            .agg(F.min(F.struct("priority", _dated_first("filed"), "val", "filed")).alias("_b"))
             .select("cik", "concept", "start", "end", "_b.val", "_b.filed"))
 
 
+def _dated_first(filed: str) -> Column:
+    """Sorts like the date, with missing dates last."""
+    return F.coalesce(F.col(filed), F.lit("9999-12-31").cast("date")).alias("_at")
+
+
 def first_reported(df: DataFrame, keys: list[str], value: str = "val") -> DataFrame:
-    return (df.groupBy(*keys).agg(F.min(F.struct("filed", value)).alias("_b"))
+    return (df.groupBy(*keys).agg(F.min(F.struct(_dated_first("filed"), value, "filed")).alias("_b"))
             .select(*keys, F.col(f"_b.{value}").alias(value), "_b.filed"))
 
 
@@ -136,9 +142,9 @@ def ttm_from_durations(values: DataFrame) -> DataFrame:
     key = ["cik", "concept"]
     d = values.where(F.col("start").isNotNull()).withColumn("days", F.datediff("end", "start"))
     annual = (d.where(F.col("days").between(350, 380)).groupBy(*key, "end")
-              .agg(F.min(F.struct("filed", "days", "val")).alias("a")))
+              .agg(F.min(F.struct(_dated_first("filed"), "days", "val", "filed")).alias("a")))
     ytd = (d.where(F.col("days").between(60, 300)).groupBy(*key, "end")
-           .agg(F.max(F.struct("days", (-F.unix_date("filed")).alias("_f"), "val", "filed")).alias("y")))
+           .agg(F.max(F.struct("days", (-F.unix_date(_dated_first("filed"))).alias("_f"), "val", "filed")).alias("y")))
     both = annual.join(ytd, [*key, "end"], "full_outer").withColumn("_n", F.unix_date("end"))
     before = Window.partitionBy(*key).orderBy("_n").rangeBetween(Window.unboundedPreceding, -1)
     with_prev = both.withColumn("p", F.last(F.when(F.col("a").isNotNull(), F.struct(
@@ -154,7 +160,7 @@ def ttm_from_durations(values: DataFrame) -> DataFrame:
     matched = (probes.join(earlier, [*key, "_bucket"])
                .where((F.abs(F.col("_pn") - F.col("_t")) <= TOLERANCE) & (F.abs(F.col("_pdays") - F.col("days")) <= TOLERANCE)))
     interim = (matched.groupBy(*key, "end", "val", "filed", "annual_val", "annual_filed")
-               .agg(F.min(F.struct("_pfiled", "_pn", "_pval")).alias("_p"))
+               .agg(F.min(F.struct(_dated_first("_pfiled"), "_pn", "_pval", "_pfiled")).alias("_p"))
                .select(*key, "end", (F.col("annual_val") + F.col("val") - F.col("_p._pval")).alias("ttm"),
                        F.greatest("filed", "annual_filed").alias("filed"), F.col("_p._pfiled").alias("prior_filed")))
     yearly = annual.select(*key, "end", F.col("a.val").alias("ttm"), F.col("a.filed").alias("filed"),
@@ -176,9 +182,11 @@ def company_fundamentals(facts: DataFrame) -> DataFrame:
 
     Gross profit falls back to revenue less cost only for companies that never report it. A row is available when
     the last of its pieces was filed; a filing date before the period end becomes the period end plus 45 days.
-    ``shares_diluted`` is a four-quarter figure built like the flows, as in the source data.
+    ``shares_diluted`` is a four-quarter figure built like the flows, as in the source data. Reports without a filing
+    date were never seen to be public, so they are left out.
     """
-    values = materialize(concept_values(facts))     # read five times below; the nested text is parsed once
+    # read five times below; the nested text is parsed once
+    values = materialize(concept_values(facts.where(F.col("filed").isNotNull())))
     flows = (ttm_from_durations(values.where(F.col("concept").isin(*FLOW_TAGS)))
              .select("cik", "concept", "end", F.col("ttm").alias("x"), "filed"))
     points = (instants(values.where(F.col("concept").isin(*INSTANT_TAGS)))

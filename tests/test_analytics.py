@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from helpers import approx, d, month_ends, rows
 from pitrank.analytics import metrics as M
 from pitrank.analytics.deciles import decile_assignments, decile_summary, decile_table
-from pitrank.analytics.nulls import null_summary, oracle_fraction, placement, multiple_testing_bar
+from pitrank.analytics.nulls import null_summary, null_values, oracle_fraction, placement, multiple_testing_bar
 from pitrank.analytics.verdict import verdict
 from pitrank.functions import stats
 
@@ -91,15 +91,15 @@ def test_capm_recovers_exact_coefficients(spark):
 
 def test_luck(spark):
     runs = spark.createDataFrame([(i, i / 100) for i in range(1, 101)], "panel_id int, excess_vs_universe_ew double")
-    s = null_summary(runs, metrics=["excess_vs_universe_ew"])
+    s = null_summary(v := null_values(runs, metrics=["excess_vs_universe_ew"]))
     row = s.first()
     assert row.n == 100 and approx(row.p50, 0.505) and approx(row.p95, 0.9505)
     probes = spark.createDataFrame([(1, "excess_vs_universe_ew", 0.955), (2, "excess_vs_universe_ew", 0.5), (3, "excess_vs_universe_ew", None),
                                     (4, "excess_vs_universe_ew", 2.0), (5, "excess_vs_universe_ew", 0.905)], "run_id int, metric string, value double")
-    got = {r["run_id"]: r for r in rows(placement(probes, s))}
-    assert got[1]["percentile"] == 95.0 and got[1]["verdict"].startswith("above the 95th") and got[2]["verdict"].startswith("inside")
-    assert got[3]["available"] is False and got[3]["verdict"] is None and got[4]["verdict"].startswith("above the 99th") and "weak" in got[5]["verdict"]
-    bar = {r["n_trials"]: r for r in rows(multiple_testing_bar(spark.createDataFrame([(1,), (9,)], "n_trials int"), s))}
+    got = {r["run_id"]: r for r in rows(placement(probes, v))}
+    assert got[1]["percentile"] == 95.0 and got[1]["verdict"] == "p95" and got[2]["verdict"] == "inside"
+    assert got[3]["available"] is False and got[3]["verdict"] is None and got[4]["verdict"] == "p99" and got[5]["verdict"] == "p90"
+    bar = {r["n_trials"]: r for r in rows(multiple_testing_bar(spark.createDataFrame([(1,), (9,)], "n_trials int"), v))}
     assert approx(bar[1]["expected_best_of_n"], 0.505) and approx(bar[1]["significance_bar"], 0.9505) and approx(bar[9]["expected_best_of_n"], 0.01 + 0.9 * 0.99)
     assert bar[9]["significance_bar"] > bar[1]["significance_bar"]
     m = spark.createDataFrame([("a", x, 0.02, 0.03, 0.01) for x in month_ends("2000-01", 12)] + [("b", x, 0.02, 0.0102, 0.01) for x in month_ends("2000-01", 12)],

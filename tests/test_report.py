@@ -5,7 +5,7 @@ from helpers import approx, rows
 from catalog.core import SPEC as BASE
 from catalog.panel import panel
 from catalog.portfolios import hindsight
-from pitrank.analytics.nulls import null_summary
+from pitrank.analytics.nulls import null_values
 from pitrank.analytics.report import run_report
 from pitrank.audits.contract import expected_columns
 from pitrank.plans.backtest import run_backtest
@@ -17,7 +17,7 @@ SPEC = replace(BASE, top_n=1)
 
 def test_run_report(spark):
     p = panel(spark, SF)
-    null = null_summary(spark.createDataFrame([(i, i / 1000 - 0.05) for i in range(100)], "panel_id int, excess_vs_universe_ew double"),
+    null = null_values(spark.createDataFrame([(i, i / 1000 - 0.05) for i in range(100)], "panel_id int, excess_vs_universe_ew double"),
                         metrics=["excess_vs_universe_ew"])
     rep = run_report(run_backtest(p, SPEC), p, null, hindsight(spark, SF), spark.createDataFrame([(3,)], "n_trials int"))
     head = rows(rep["headline"])[0]
