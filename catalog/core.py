@@ -158,28 +158,29 @@ BENCH_LAYOUT = "date:d sp500_total_return:9 market_vw_return:9 market_ew_return:
 
 @register("s03_benchmarks_bounds", sql(BENCH_LAYOUT, "pbench", *BASE))
 def s03(spark, sf):
-    return present(benchmarks_between(panel(spark, sf).benchmarks, START, END), BENCH_LAYOUT)
+    return present(benchmarks_between(panel(spark, sf, filings=False).benchmarks, START, END), BENCH_LAYOUT)
 
 
 @register("s04_prepared_months", sql("date:d n:i", "x", RET_SQL, f"""x AS (SELECT date, count(*) AS n FROM ret
           WHERE date BETWEEN DATE '{START}' - INTERVAL 13 MONTH AND DATE '{END}' GROUP BY date)"""))
 def s04(spark, sf):
-    cut = prepare_panel(panel(spark, sf), START, END)
+    cut = prepare_panel(panel(spark, sf, filings=False), START, END)
     return present(cut.returns.groupBy("date").agg(F.count(F.lit(1)).alias("n")), "date:d n:i")
 
 
 # ---------------------------------------------------------------- calendars
 for _freq, _step, _k in (("annual", 12, 12), ("quarterly", 3, 3), ("monthly", 1, 1)):
     def _dates(spark, sf, freq=_freq, k=_k):
-        cut = prepare_panel(panel(spark, sf), START, END)
+        cut = prepare_panel(panel(spark, sf, filings=False), START, END)
         return present(rebalance_dates(month_ends(cut.returns, START), freq, 12, k), "sleeve:i formation_date:d")
     register(f"p01_rebalance_{_freq}", sql("sleeve:i formation_date:d", "form", *BASE, form_sql(_step, _k)))(_dates)
 
 
 # ---------------------------------------------------------------- point in time
-def _formations(spark, sf, freq="monthly"):
-    cut = prepare_panel(panel(spark, sf), START, END)
-    return cut, rebalance_dates(month_ends(cut.returns, START), freq, 12)
+def _formations(spark, sf, freq="monthly", filings=False):
+    """The cut panel and its formation dates, written once. ``filings``: the accounting table is read several times."""
+    whole = prepare_panel(panel(spark, sf, filings), START, END)
+    return whole, materialize(rebalance_dates(month_ends(whole.returns, START), freq, 12))
 
 
 ASOF_LAYOUT = "formation_date:d security_id fiscal_period_end:d available_date:d ebit_ttm:2 total_assets:2"
@@ -235,7 +236,7 @@ SNAP_LAYOUT = ("formation_date:d security_id price:6 market_cap:0 exchange sic_c
 
 @register("j03_snapshot", sql(SNAP_LAYOUT, "snap", *BASE, form_sql(3), SNAP_SQL))
 def j03(spark, sf):
-    cut, dates = _formations(spark, sf, "quarterly")
+    cut, dates = _formations(spark, sf, "quarterly", filings=True)
     return present(build_snapshot(cut.returns, cut.fundamentals, dates), SNAP_LAYOUT)
 
 
@@ -291,7 +292,7 @@ ALL_LAYOUT = "formation_date:d security_id " + " ".join(f"{f}:9" for f in list_f
 
 
 def _snapshot_universe(spark, sf, freq="quarterly", rule=UniverseRule(), requires=None):
-    cut, dates = _formations(spark, sf, freq)
+    cut, dates = _formations(spark, sf, freq, filings=True)
     return build_snapshot(cut.returns, cut.fundamentals, dates, requires=requires,
                           universe=lambda s: select_universe(s, rule))
 

@@ -163,7 +163,11 @@ bench AS (SELECT l.date, any_value(sp) AS sp500_total_return,
 PANEL_SQL = ",".join([RET_SQL, FUND_SQL, BENCH_SQL])
 
 
-def panel(spark: SparkSession, sf: str) -> Panel:
-    """The canonical tables, landed once: monthly bars are far smaller than the order lines they come from."""
-    r, f = materialize_all(returns(spark, sf), fundamentals(spark, sf))
-    return Panel(r, f, panel_benchmarks(r, TOP_K, RISK_FREE))
+def panel(spark: SparkSession, sf: str, filings: bool = True) -> Panel:
+    """The canonical tables, landed once: monthly bars are far smaller than the order lines they come from.
+
+    Without ``filings`` the accounting table stays a plan: for queries that read it once or not at all.
+    """
+    f = fundamentals(spark, sf)
+    r, *landed = materialize_all(returns(spark, sf), *([f] if filings else []))
+    return Panel(r, landed[0] if filings else f, panel_benchmarks(r, TOP_K, RISK_FREE))

@@ -245,13 +245,13 @@ def hindsight(spark, sf):
 @register("p14_supplied_scores", sql(SUPPLIED_LAYOUT, "y", *SUPPLIED, """
 y AS (SELECT s.*, u.gross AS universe_ew FROM s_month s LEFT JOIN u_month u USING (sleeve, date))"""))
 def p14(spark, sf):
-    return present(run_scores(panel(spark, sf), hindsight(spark, sf), SPEC), SUPPLIED_LAYOUT)
+    return present(run_scores(panel(spark, sf, filings=False), hindsight(spark, sf), SPEC), SUPPLIED_LAYOUT)
 
 
 @register("t02_lowest_scores", sql(SUPPLIED_LAYOUT, "y", *[c.replace("h.score DESC", "h.score ASC") for c in SUPPLIED], """
 y AS (SELECT s.*, u.gross AS universe_ew FROM s_month s LEFT JOIN u_month u USING (sleeve, date))"""))
 def t02(spark, sf):
-    return present(run_scores(panel(spark, sf), hindsight(spark, sf), SPEC, higher_is_better=False), SUPPLIED_LAYOUT)
+    return present(run_scores(panel(spark, sf, filings=False), hindsight(spark, sf), SPEC, higher_is_better=False), SUPPLIED_LAYOUT)
 
 
 # ---------------------------------------------------------------- deciles
@@ -367,7 +367,7 @@ RUNS_LAYOUT = ("panel_id:i cagr:8 excess_vs_universe_ew:8 excess_vs_market_ew:8
 
 
 def null_runs(spark, sf):
-    p = panel(spark, sf)
+    p = panel(spark, sf, filings=False)
     monthly = run_scores(p, lambda members: shuffled_scores(members, SEEDS), SPEC, keys=["panel_id"])
     return panel_metrics(monthly.join(p.benchmarks, "date"))
 
@@ -436,7 +436,7 @@ e AS (SELECT {excess_sql('net', 'universe_ew')} AS excess_strategy, {excess_sql(
              {excess_sql('net', 'oracle_net')} AS excess_vs_oracle FROM j),
 y AS (SELECT *, CASE WHEN excess_oracle > 0.005 THEN excess_strategy / excess_oracle END AS fraction_of_oracle FROM e)"""))
 def p15(spark, sf):
-    p, best = panel(spark, sf), hindsight(spark, sf)
+    p, best = panel(spark, sf, filings=False), hindsight(spark, sf)
     noise = p.returns.select("security_id", "date", (F.pmod(F.col("sic_code") * 7919, F.lit(1000)) / 10000).alias("noise"))
     weaker = (best.join(noise, ["security_id", "date"])
               .select("security_id", "date", (F.lit(0.4) * F.col("score") + F.col("noise")).alias("score")))

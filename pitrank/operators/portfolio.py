@@ -81,13 +81,28 @@ def rebalance_trades(targets: DataFrame, paths: DataFrame, cost: CostModel = Cos
                                      F.sum(F.col("_d") * cost.one_way("_cap")).alias("cost"))
 
 
+def unit_paths(members: DataFrame, months: DataFrame, returns: DataFrame, keys: Sequence[str] = (),
+               panel_keys: Sequence[str] = ()) -> DataFrame:
+    """Growth of one unit of every member: the one walk over the panel that any book of these members is a sum of."""
+    return holding_paths(members.withColumn("weight", F.lit(1.0)), months, returns, keys, panel_keys)
+
+
+def weighted_paths(units: DataFrame, targets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``holding_paths`` of targets that are members of ``units``, without another look at the panel."""
+    at = [*keys, "formation_date", "security_id"]
+    return (units.drop("weight").join(targets.select(*at, "weight"), at)
+            .withColumns({"v": F.col("v") * F.col("weight"), "v_prev": F.col("v_prev") * F.col("weight")}))
+
+
 def simulate(targets: DataFrame, months: DataFrame, returns: DataFrame, cost: CostModel = CostModel(),
-             keys: Sequence[str] = (), panel_keys: Sequence[str] = ()) -> DataFrame:
+             keys: Sequence[str] = (), panel_keys: Sequence[str] = (), paths: DataFrame | None = None) -> DataFrame:
     """keys, formation_date, date, gross, net, turnover, cost, n_holdings for every book in ``keys``.
 
     Turnover is set and the cost charged in the first month after a rebalance; the first purchase is charged too.
+    ``paths`` are the targets' holding paths where they are known already.
     """
-    paths = holding_paths(targets, months, returns, keys, panel_keys)
+    if paths is None:
+        paths = holding_paths(targets, months, returns, keys, panel_keys)
     trades = rebalance_trades(targets, paths, cost, keys)
     first = F.col("nth") == 1
     zero = F.lit(0.0)

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.lineage import materialize
 from ..operators.factors import compute_factors, required_columns
 from ..operators.pit import PUBLIC
-from ..operators.portfolio import (combine_sleeves, gross_only, holding_period_returns, shift_formations, simulate,
-                                   target_weights)
+from ..operators.portfolio import (combine_sleeves, gross_only, holding_period_returns, monthly_gross,
+                                   shift_formations, simulate, target_weights, unit_paths, weighted_paths)
 from ..operators.ranking import rank_stocks, select_top
 from ..operators.schedule import formation_dates, holding_months, rebalance_dates
 from ..operators.snapshot import CONTEXT, build_snapshot
@@ -121,14 +121,17 @@ def backtest_monthly(scored: Scored, targets: DataFrame, spec: BacktestSpec,
                      benchmarks: DataFrame | None = None) -> DataFrame:
     """Monthly result of the given targets together with the equal-weighted universe formed on the same dates."""
     keys, panel_keys = scored.keys, list(scored.panel_keys)
-    uni = target_weights(scored.universe, ["formation_date", *keys])
+    uni = scored.universe
     months = scored.months
     if spec.date_shift_months:
         shift = spec.date_shift_months
         targets, uni = shift_formations(targets, shift), shift_formations(uni, shift)
         months = holding_months(shift_formations(scored.formations, shift), keys, scored.calendar)
-    book = simulate(targets, months, scored.panel.returns, spec.costs, keys, panel_keys)
-    ew = gross_only(uni, months, scored.panel.returns, keys, panel_keys)
+    # one walk over the panel for all members; the book and the equal-weighted universe are sums over it
+    units = materialize(unit_paths(uni, months, scored.panel.returns, keys, panel_keys))
+    book = simulate(targets, months, scored.panel.returns, spec.costs, keys, panel_keys,
+                    weighted_paths(units, targets, keys))
+    ew = monthly_gross(units, months, keys)
     both = book.join(ew.select(*keys, "date", F.col("gross").alias("universe_ew")), [*keys, "date"], "left")
     monthly = combine_sleeves(both, spec.n_sleeves, panel_keys)
     if benchmarks is None:
