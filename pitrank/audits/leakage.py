@@ -6,13 +6,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import at_least, at_most, month_end_at, month_index, safe_div
+from ..functions.lineage import materialize
 from ..functions.positions import ordered_positions
 from ..operators.factors import compute_factors, required_columns
-from ..operators.pit import asof_fundamentals
+from ..operators.pit import PUBLIC, asof_fundamentals
 from ..operators.ranking import RankingSpec, quantile_bucket, rank_stocks
-from ..operators.snapshot import build_snapshot, cross_sections
+from ..operators.snapshot import PRIOR, attach_fundamentals, build_snapshot, cross_sections
 from ..operators.trailing import with_trailing
 from ..operators.universe import UniverseRule, select_universe
+from ..schemas import FUNDAMENTAL_VALUES
 
 DECILES = 10
 
@@ -25,24 +27,29 @@ def scores_at(returns: DataFrame, fundamentals: DataFrame, formations: DataFrame
     return scores_of(compute_factors(snap, ranking.names), ranking, rule)
 
 
-def scores_of(values: DataFrame, ranking: RankingSpec, rule: UniverseRule = UniverseRule()) -> DataFrame:
-    ranked = rank_stocks(values, ranking, bounded=rule.max_names is not None)
-    sizes = ranked.groupBy("formation_date").agg(F.count(F.lit(1)).alias("_n"))
-    return ranked.join(sizes, "formation_date").select(
-        "security_id", F.col("formation_date").alias("date"), (F.col("_n") + 1 - F.col("rank")).cast("double").alias("score"))
+def scores_of(values: DataFrame, ranking: RankingSpec, rule: UniverseRule = UniverseRule(),
+              keys: Sequence[str] = ()) -> DataFrame:
+    ranked = rank_stocks(values, ranking, keys=keys, bounded=rule.max_names is not None)
+    at = [*keys, "formation_date"]
+    sizes = ranked.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
+    return ranked.join(sizes, at).select(
+        *keys, "security_id", F.col("formation_date").alias("date"),
+        (F.col("_n") + 1 - F.col("rank")).cast("double").alias("score"))
 
 
-def score_deciles(scores: DataFrame, forward: DataFrame, bounded: bool = True, bucket_rows: int = 200_000) -> DataFrame:
-    """Scores with a forward return, cut into ten equal-frequency groups per date (0 = lowest)."""
+def score_deciles(scores: DataFrame, forward: DataFrame, bounded: bool = True, bucket_rows: int = 200_000,
+                  keys: Sequence[str] = ()) -> DataFrame:
+    """Scores with a forward return, cut into ten equal-frequency groups per keys and date (0 = lowest)."""
     rows = scores.join(forward.where(F.col("fwd").isNotNull()), ["security_id", "date"])
     if bounded:
-        w = Window.partitionBy("date")
+        w = Window.partitionBy(*keys, "date")
         rows = (rows.withColumn("_p", F.row_number().over(w.orderBy("score", "security_id")))
                 .withColumn("_n", F.count(F.lit(1)).over(w)))
     else:
-        pos = ordered_positions(rows, ["date"], ["score", "security_id"], bucket_rows)
-        rows = rows.join(pos.select("date", "security_id", (F.col("n_before") + 1).alias("_p"), F.col("n_total").alias("_n")),
-                         ["date", "security_id"])
+        at = [*keys, "date"]
+        pos = ordered_positions(rows, at, ["score", "security_id"], bucket_rows)
+        rows = rows.join(pos.select(*at, "security_id", (F.col("n_before") + 1).alias("_p"), F.col("n_total").alias("_n")),
+                         [*at, "security_id"])
     return rows.withColumn("decile", quantile_bucket(F.col("_p"), F.col("_n"), DECILES)).drop("_p", "_n")
 
 
@@ -57,33 +64,54 @@ def decile_spread(deciles: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return deciles.groupBy(*keys).agg((top - bottom).alias("spread"), top.alias("top_decile"), F.count(F.lit(1)).alias("n"))
 
 
-def compare_spreads(variants: dict[str, DataFrame], forward: DataFrame) -> DataFrame:
-    """One row per variant; all variants are cut and averaged in one pass."""
-    parts = [score_deciles(s, forward).withColumn("variant", F.lit(name)) for name, s in variants.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return decile_spread(out, ["variant"])
+VARIANT = ["variant"]
+
+
+def compare_spreads(values: DataFrame, ranking: RankingSpec, forward: DataFrame, rule: UniverseRule) -> DataFrame:
+    """One row per variant. ``values`` holds the factor values of all variants, which are ranked, cut and averaged in one
+    pass."""
+    scores = scores_of(values, ranking, rule, VARIANT)
+    bounded = rule.max_names is not None
+    return decile_spread(score_deciles(scores, forward, bounded, keys=VARIANT), VARIANT)
+
+
+def sections_for(returns: DataFrame, formations: DataFrame, ranking: RankingSpec, rule: UniverseRule) -> DataFrame:
+    """The universe at the formation dates, written once for all variants of an audit."""
+    trailing = bool({"mom_12_1", "vol_12m"} & set(required_columns(ranking.names)))
+    return materialize(select_universe(cross_sections(returns, formations, trailing), rule))
+
+
+def fundamentals_for(sections: DataFrame, fundamentals: DataFrame, formations: DataFrame, ranking: RankingSpec,
+                     asof_col: str = PUBLIC) -> DataFrame:
+    need = set(required_columns(ranking.names))
+    return attach_fundamentals(sections, fundamentals, formations, asof_col,
+                               values=[c for c in FUNDAMENTAL_VALUES if c in need], prior=bool(need & set(PRIOR.values())))
 
 
 def lookahead_audit(returns: DataFrame, fundamentals: DataFrame, formations: DataFrame, ranking: RankingSpec,
-                    forward: DataFrame) -> DataFrame:
-    """Ranking on the period end instead of the publication date."""
-    return compare_spreads({
-        "correct": scores_at(returns, fundamentals, formations, ranking),
-        "lookahead": scores_at(returns, fundamentals, formations, ranking, asof_col="fiscal_period_end")}, forward)
+                    forward: DataFrame, rule: UniverseRule = UniverseRule()) -> DataFrame:
+    """Ranking on the period end instead of the publication date: one universe, two lookups, one ranking."""
+    sections = sections_for(returns, formations, ranking, rule)
+    right, wrong = (fundamentals_for(sections, fundamentals, formations, ranking, column).withColumn("variant", F.lit(name))
+                    for name, column in (("correct", PUBLIC), ("lookahead", "fiscal_period_end")))
+    return compare_spreads(compute_factors(right.unionByName(wrong), ranking.names), ranking, forward, rule)
 
 
 def momentum_audit(returns: DataFrame, formations: DataFrame, forward: DataFrame, rule: UniverseRule = UniverseRule()) -> DataFrame:
-    """12-1 momentum, the same without skipping a month, and a window that reaches one month into the future."""
-    ranking = RankingSpec({"momentum_12_1": 1.0})
-
-    def scored(skip: int, shift: int) -> DataFrame:
-        rows = with_trailing(returns, skip=skip, shift=shift, volatility=None)
-        sections = select_universe(cross_sections(rows, formations, trailing=False), rule)
-        return scores_of(compute_factors(sections, ranking.names), ranking, rule)
+    """12-1 momentum, the same without skipping a month, and a window that reaches one month into the future.
 
-    return compare_spreads({"skip_month": scored(1, 0), "no_skip": scored(0, 0), "future_month": scored(0, 1)}, forward)
+    The three are frames of one window over the panel; each name of the universe then has a row per variant.
+    """
+    ranking = RankingSpec({"momentum_12_1": 1.0})
+    frames = {"skip_month": (1, 0), "no_skip": (0, 0), "future_month": (0, 1)}
+    rows = returns
+    for name, (skip, shift) in frames.items():
+        rows = with_trailing(rows, skip=skip, shift=shift, momentum=f"_{name}", volatility=None)
+    sections = select_universe(cross_sections(rows, formations, trailing=False), rule)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), F.col(f"_{n}").alias("mom_12_1")) for n in frames]))
+    kept = [c for c in sections.columns if c not in {f"_{n}" for n in frames}]
+    values = sections.withColumn("_v", each).select(*kept, "_v.*")
+    return compare_spreads(compute_factors(values, ranking.names), ranking, forward, rule)
 
 
 def backfilled_quarters(fundamentals: DataFrame, lag_days: int = 60) -> DataFrame:
@@ -137,14 +165,14 @@ def survivorship_audit(returns: DataFrame, fundamentals: DataFrame, formations:
                        forward: DataFrame, months: int = 12, rule: UniverseRule = UniverseRule()) -> DataFrame:
     """A universe that demands a year of future rows: how many names it loses, what it adds to the average return,
     and how many of its names die within the year (none, which is the sign of the mistake)."""
-    def future_year(sections: DataFrame) -> DataFrame:
-        kept = select_universe(sections, rule).join(last_dates(returns), "security_id")
-        return kept.where(F.col("last_date") >= F.add_months("formation_date", months)).drop("last_date")
-
+    sections = sections_for(returns, formations, ranking, rule)
+    values = compute_factors(fundamentals_for(sections, fundamentals, formations, ranking), ranking.names)
+    lasting = (values.join(last_dates(returns), "security_id")
+               .where(F.col("last_date") >= F.add_months("formation_date", months)).drop("last_date"))
     deaths = returns.where("is_delisted_this_month").select("security_id", F.col("date").alias("death"))
-    scores = (scores_at(returns, fundamentals, formations, ranking, rule).withColumn("variant", F.lit("correct"))
-              .unionByName(scores_at(returns, fundamentals, formations, ranking, rule, universe=future_year)
-                           .withColumn("variant", F.lit("survivors"))))
+    both = (values.withColumn("variant", F.lit("correct"))
+            .unionByName(lasting.withColumn("variant", F.lit("survivors"))))
+    scores = scores_of(both, ranking, rule, VARIANT)
     dies = (F.col("death") > F.col("date")) & (F.col("death") < F.add_months("date", months))
     return (scores.join(forward, ["security_id", "date"], "left").join(deaths, "security_id", "left")
             .groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.avg("fwd").alias("mean_fwd"),

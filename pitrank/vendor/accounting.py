@@ -81,17 +81,17 @@ def availability_date(annual: bool = False, announced: str | None = "rdq") -> Co
 def resolve_links(accounts: DataFrame, links: DataFrame) -> DataFrame:
     """Adds ``permno`` through the link valid at ``datadate``, the primary one first; unlinked rows are dropped.
 
-    The best link is chosen with an aggregate on the accounting key, then joined back, so wide rows are not sorted.
+    A company has few links: they travel as one short array per company, so accounting rows are read once and joined
+    once, on the company, and the best link is picked inside the row.
     """
     valid = (links.where(F.col("linktype").isin(*LINK_TYPES) & F.col("linkprim").isin(*LINK_PRIMARY))
-             .select("gvkey", "lpermno", "linkprim", F.col("linkdt").alias("_from"),
-                     F.coalesce("linkenddt", as_date(OPEN_END)).alias("_to")))
-    best = (accounts.select("gvkey", "datadate").distinct().join(valid, "gvkey")
-            .where(F.col("datadate").between(F.col("_from"), F.col("_to")))
-            .groupBy("gvkey", "datadate")
-            .agg(F.min(F.struct((F.col("linkprim") != "P").alias("_second"), "lpermno")).alias("_l")))
-    one = accounts.join(best.select("gvkey", "datadate", F.col("_l.lpermno").alias("permno")), ["gvkey", "datadate"])
-    return one
+             .groupBy("gvkey").agg(F.collect_set(F.struct(
+                 (F.col("linkprim") != "P").alias("second"), "lpermno", F.col("linkdt").alias("since"),
+                 F.coalesce("linkenddt", as_date(OPEN_END)).alias("until"))).alias("_links")))
+    at = F.filter("_links", lambda x: F.col("datadate").between(x["since"], x["until"]))
+    best = F.array_min(F.transform(at, lambda x: F.struct(x["second"].alias("second"), x["lpermno"].alias("lpermno"))))
+    return (accounts.join(valid, "gvkey").withColumn("permno", best["lpermno"])
+            .where(F.col("permno").isNotNull()).drop("_links"))
 
 
 def _canonical(df: DataFrame, items: Mapping[str, str]) -> DataFrame:
@@ -114,9 +114,11 @@ def annual_to_canonical(funda: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def merge_quarterly_annual(quarterly: DataFrame, annual: DataFrame) -> DataFrame:
-    """Annual rows only for periods the quarterly file does not have."""
-    key = ["security_id", "fiscal_period_end"]
-    return quarterly.unionByName(annual.join(quarterly.select(*key).distinct(), key, "left_anti"))
+    """Annual rows only for periods the quarterly file does not have. Each side is computed once."""
+    both = quarterly.withColumn("_annual", F.lit(0)).unionByName(annual.withColumn("_annual", F.lit(1)))
+    period = Window.partitionBy("security_id", "fiscal_period_end")
+    return (both.withColumn("_best", F.min("_annual").over(period)).where(F.col("_annual") == F.col("_best"))
+            .drop("_annual", "_best"))
 
 
 def finish_fundamentals(df: DataFrame) -> DataFrame:
