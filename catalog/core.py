@@ -395,9 +395,9 @@ Z_LAYOUT = "formation_date:d security_id " + " ".join(f"{f}_z:7 {f}_rank:1" for
 Z_PRE = [*BASE, form_sql(3), SNAP_SQL, universe_sql(), values_sql(FIVE)]
 
 
-def _z(spark, sf, policy, bounded=True, bucket_rows=200_000):
+def _z(spark, sf, policy, bounded=True, ranges=None):
     return present(rank_stocks(_values(spark, sf, list(FIVE)), RankingSpec(FIVE, "zscore", policy), bounded=bounded,
-                               bucket_rows=bucket_rows), Z_LAYOUT)
+                               ranges=ranges), Z_LAYOUT)
 
 
 @register("a02_zscore_drop", sql(Z_LAYOUT, "ranked", *Z_PRE, zscore_sql(FIVE, "drop")))

@@ -69,11 +69,11 @@ def returns_profile(returns: DataFrame) -> DataFrame:
 
 
 def cap_percentiles(returns: DataFrame, percentiles: Sequence[float] = (0.01, 0.1, 0.5, 0.9, 0.99, 1.0),
-                    bucket_rows: int = 200_000) -> DataFrame:
+                    ranges: int | None = None) -> DataFrame:
     """Exact capitalisation percentiles of the whole panel, taken from range-parallel order positions."""
     from ..functions.positions import ordered_positions, value_at
     pos = ordered_positions(returns.where(F.col("market_cap").isNotNull())
-                            .select(F.lit(1).alias("_g"), F.col("market_cap").alias("x")), ["_g"], ["x"], bucket_rows)
+                            .select(F.lit(1).alias("_g"), F.col("market_cap").alias("x")), ["_g"], ["x"], ranges)
 
     def at(p: float):
         h = F.lit(p) * (F.col("n_total") - 1)

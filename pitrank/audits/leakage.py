@@ -29,7 +29,7 @@ def scores_at(returns: DataFrame, fundamentals: DataFrame, formations: DataFrame
 
 def scores_of(values: DataFrame, ranking: RankingSpec, rule: UniverseRule = UniverseRule(),
               keys: Sequence[str] = ()) -> DataFrame:
-    ranked = rank_stocks(values, ranking, keys=keys, bounded=rule.max_names is not None)
+    ranked = rank_stocks(values, ranking, keys=keys, bounded=rule.bounded)
     at = [*keys, "formation_date"]
     sizes = ranked.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
     return ranked.join(sizes, at).select(
@@ -37,7 +37,7 @@ def scores_of(values: DataFrame, ranking: RankingSpec, rule: UniverseRule = Univ
         (F.col("_n") + 1 - F.col("rank")).cast("double").alias("score"))
 
 
-def score_deciles(scores: DataFrame, forward: DataFrame, bounded: bool = True, bucket_rows: int = 200_000,
+def score_deciles(scores: DataFrame, forward: DataFrame, bounded: bool = True, ranges: int | None = None,
                   keys: Sequence[str] = ()) -> DataFrame:
     """Scores with a forward return, cut into ten equal-frequency groups per keys and date (0 = lowest)."""
     rows = scores.join(forward.where(F.col("fwd").isNotNull()), ["security_id", "date"])
@@ -47,7 +47,7 @@ def score_deciles(scores: DataFrame, forward: DataFrame, bounded: bool = True, b
                 .withColumn("_n", F.count(F.lit(1)).over(w)))
     else:
         at = [*keys, "date"]
-        pos = ordered_positions(rows, at, ["score", "security_id"], bucket_rows)
+        pos = ordered_positions(rows, at, ["score", "security_id"], ranges)
         rows = rows.join(pos.select(*at, "security_id", (F.col("n_before") + 1).alias("_p"), F.col("n_total").alias("_n")),
                          [*at, "security_id"])
     return rows.withColumn("decile", quantile_bucket(F.col("_p"), F.col("_n"), DECILES)).drop("_p", "_n")
@@ -71,7 +71,7 @@ def compare_spreads(values: DataFrame, ranking: RankingSpec, forward: DataFrame,
     """One row per variant. ``values`` holds the factor values of all variants, which are ranked, cut and averaged in one
     pass."""
     scores = scores_of(values, ranking, rule, VARIANT)
-    bounded = rule.max_names is not None
+    bounded = rule.bounded
     return decile_spread(score_deciles(scores, forward, bounded, keys=VARIANT), VARIANT)
 
 

@@ -2,9 +2,9 @@
 
 A window ordered inside one group puts the whole group into one task. That is right for groups with a known
 bound (a universe of at most ``max_names``), not for a cross-section which may hold a large part of the table.
-Here a group is cut into value ranges: cut points come from a hash-chosen sample (a function of the row, so a
-recomputed task takes the same cut points), ties are pre-aggregated before they move, each range is ordered on
-its own and the counts of the ranges before it are added. Sampling only places the cuts; positions are exact.
+Here the distinct values of all groups are range-partitioned together, so tasks hold equal shares of them whatever the
+groups' sizes; each range is ordered on its own, and the counts of a group's earlier ranges are added. Ties are summed
+before they move.
 """
 from __future__ import annotations
 
@@ -12,40 +12,61 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-HASH_SLOTS = 1 << 20
+from .lineage import materialize
 
+HEAVY_SHARE = 1000
 
-def ordered_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket_rows: int = 200_000,
-                      sample_rows: int = 4096) -> DataFrame:
+
+def ordered_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None = None) -> DataFrame:
     """One row per distinct (keys, order) with ``n_before``, ``n_equal``, ``n_total``, ascending by ``order``.
 
     ``n_before`` counts the rows of the group that sort strictly before, ``n_equal`` those with the same values.
+    ``ranges`` is the number of range partitions, the session's number of shuffle partitions where it is not given.
+    The ranges are written before they are read twice, so that both readers see the same cuts.
     """
     keys, order = list(keys), list(order)
-    dist = df.groupBy(*keys, *order).agg(F.count(F.lit(1)).alias("n_equal"))
-    sizes = dist.groupBy(*keys).agg(F.sum("n_equal").alias("n_total"), F.count(F.lit(1)).alias("_distinct"))
-    tagged = dist.join(sizes, keys)
-    slot = F.pmod(F.xxhash64(*keys, *order), F.lit(HASH_SLOTS))
-    point = F.struct(*order)
-    cuts = (tagged
-            .where((F.col("_distinct") > bucket_rows) & (slot * F.col("_distinct") < HASH_SLOTS * sample_rows))
-            .groupBy(*keys)
-            .agg(F.sort_array(F.collect_list(point)).alias("_sample"), F.max("_distinct").alias("_d"))
-            .withColumn("_step", F.greatest(F.lit(1), F.floor(
-                F.size("_sample") / F.ceil(F.col("_d") / F.lit(bucket_rows))).cast("int")))
-            .select(*keys, F.expr("filter(_sample, (x, i) -> i > 0 and i % _step = 0)").alias("_cuts")))
-    ranged = (tagged.join(cuts, keys, "left")
-              .withColumn("_point", point)
-              .withColumn("_bucket", F.coalesce(F.expr("size(filter(_cuts, c -> c <= _point))"), F.lit(0)))
-              .drop("_cuts", "_point", "_distinct"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (ranged.groupBy(*keys, "_bucket").agg(F.sum("n_equal").alias("_rows"))
-               .select(*keys, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")))
-    inside = (Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    columns = [*keys, *order]
+    dist = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n_equal"))
+    dealt = dist.repartitionByRange(ranges, *columns) if ranges else dist.repartitionByRange(*columns)
+    ranged = materialize(dealt.withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # a row per group and range it reaches into: few more than groups and ranges together
+    offsets = (ranged.groupBy(*keys, "_range").agg(F.sum("n_equal").alias("_rows"))
+               .select(*keys, "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
+                       F.sum("_rows").over(Window.partitionBy(*keys)).alias("n_total")))
+    inside = (Window.partitionBy(*keys, "_range").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, -1))
-    return (ranged.join(offsets, [*keys, "_bucket"])
+    return (ranged.join(offsets, [*keys, "_range"])
             .withColumn("n_before", F.col("_offset") + F.coalesce(F.sum("n_equal").over(inside), F.lit(0)))
-            .select(*keys, *order, "n_before", "n_equal", "n_total"))
+            .select(*columns, "n_before", "n_equal", "n_total"))
+
+
+def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """Adds the positions to every row.
+
+    Values that many rows share would be crowded join keys. Those with at least a thousandth of all rows are at most a
+    thousand, so they are broadcast; the rows that remain have no crowded key and are joined by shuffle.
+    """
+    on = [*keys, *order]
+    found = materialize(ordered_positions(df, keys, order, ranges))
+    total = found.agg(F.sum("n_equal")).first()[0] or 0
+    heavy = found.where(F.col("n_equal") * HEAVY_SHARE >= total)
+    packed = F.struct("n_before", "n_equal", "n_total").alias("_p")
+    tried = df.join(F.broadcast(heavy.select(*on, packed)), on, "left")
+    names = [c for c in df.columns]
+    crowded = tried.where(F.col("_p").isNotNull()).select(*names, "_p.*")
+    rest = tried.where(F.col("_p").isNull()).select(*names).join(
+        found.where(F.col("n_equal") * HEAVY_SHARE < total), on)
+    return crowded.unionByName(rest.select(*names, "n_before", "n_equal", "n_total"))
+
+
+def join_groups(df: DataFrame, per_group: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Joins a table of one row per group. It is written first, so Spark knows its size when it plans the join.
+
+    Under the session's broadcast threshold the large side then stays where it is; over it there are so many groups that
+    none of them is a large part, or adaptive execution splits it.
+    """
+    return df.join(materialize(per_group), list(keys), how)
 
 
 def value_at(position, x: str = "x"):

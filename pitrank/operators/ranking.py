@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import safe_div
 from ..functions.lineage import materialize
-from ..functions.positions import ordered_positions, value_at
+from ..functions.positions import join_groups, ordered_positions, value_at, with_positions
 from .factors import get_factor
 
 METHODS = ("rank_sum", "zscore")
@@ -72,7 +72,7 @@ def melt(df: DataFrame, ids: Sequence[str], ascending: Mapping[str, bool]) -> Da
 
 
 def with_average_ranks(df: DataFrame, groups: Sequence[str], ascending: Mapping[str, bool], bounded: bool = True,
-                       suffix: str = "_rank", bucket_rows: int = 200_000, row_id: str = "security_id") -> DataFrame:
+                       suffix: str = "_rank", ranges: int | None = None, row_id: str = "security_id") -> DataFrame:
     """Adds ``<column><suffix>`` for every column in ``ascending``; ``row_id`` is unique within a group.
 
     For groups without a bound all columns are ranked in long form at once, so the number of shuffles does not depend
@@ -81,29 +81,29 @@ def with_average_ranks(df: DataFrame, groups: Sequence[str], ascending: Mapping[
     if bounded:
         return df.withColumns({f + suffix: average_rank(f, groups, up) for f, up in ascending.items()})
     long = melt(df, [*groups, row_id], ascending)
-    pos = ordered_positions(long, [*groups, "factor"], ["x"], bucket_rows)
-    ranked = long.join(pos, [*groups, "factor", "x"]).withColumn("_r", F.col("n_before") + (F.col("n_equal") + 1) / 2)
+    ranked = (with_positions(long, [*groups, "factor"], ["x"], ranges)
+              .withColumn("_r", F.col("n_before") + (F.col("n_equal") + 1) / 2))
     wide = ranked.groupBy(*groups, row_id).agg(
         *[F.max(F.when(F.col("factor") == f, F.col("_r"))).alias(f + suffix) for f in ascending])
     return df.join(wide, [*groups, row_id], "left").select(*df.columns, *[f + suffix for f in ascending])
 
 
 def with_row_rank(df: DataFrame, groups: Sequence[str], score: str, ascending: bool, tie: str = "security_id",
-                  rank: str = "rank", bounded: bool = True, bucket_rows: int = 200_000) -> DataFrame:
+                  rank: str = "rank", bounded: bool = True, ranges: int | None = None) -> DataFrame:
     """Final 1..n ranking by score, ties by ``tie``."""
     if bounded:
         w = Window.partitionBy(*groups).orderBy(_order(score, ascending), F.asc(tie))
         return df.withColumn(rank, F.row_number().over(w).cast("long"))
     signed = df.withColumn("_x", F.col(score) if ascending else -F.col(score))
-    pos = ordered_positions(signed, groups, ["_x", tie], bucket_rows)
+    pos = ordered_positions(signed, groups, ["_x", tie], ranges)
     placed = pos.select(*groups, tie, (F.col("n_before") + 1).alias(rank))
     return df.join(placed, [*groups, tie])
 
 
 def winsor_bounds(df: DataFrame, groups: Sequence[str], columns: Sequence[str], lower: float, upper: float,
-                  bucket_rows: int = 200_000) -> DataFrame:
+                  ranges: int | None = None) -> DataFrame:
     """Linear-interpolation quantiles per (groups, factor) from order positions; spread over value ranges."""
-    pos = ordered_positions(melt(df, groups, dict.fromkeys(columns, True)), [*groups, "factor"], ["x"], bucket_rows)
+    pos = ordered_positions(melt(df, groups, dict.fromkeys(columns, True)), [*groups, "factor"], ["x"], ranges)
 
     def quantile(p: float) -> Column:
         h = F.lit(p) * (F.col("n_total") - 1)
@@ -114,7 +114,7 @@ def winsor_bounds(df: DataFrame, groups: Sequence[str], columns: Sequence[str],
 
 
 def with_zscores(df: DataFrame, groups: Sequence[str], spec: RankingSpec, bounded: bool = True,
-                 bucket_rows: int = 200_000) -> DataFrame:
+                 ranges: int | None = None) -> DataFrame:
     """Adds ``<f>_z``: clipped to the winsor bounds, standardised within the group, lower-is-better negated."""
     out = df
     if bounded:
@@ -122,11 +122,11 @@ def with_zscores(df: DataFrame, groups: Sequence[str], spec: RankingSpec, bounde
         out = out.withColumns({f"_{f}_{side}": F.percentile(f, F.lit(p)).over(g) for f in spec.names
                                for side, p in (("lo", spec.winsor_lower), ("hi", spec.winsor_upper))})
     else:
-        bounds = winsor_bounds(df, groups, spec.names, spec.winsor_lower, spec.winsor_upper, bucket_rows)
+        bounds = winsor_bounds(df, groups, spec.names, spec.winsor_lower, spec.winsor_upper, ranges)
         wide = bounds.groupBy(*groups).agg(*[
             F.max(F.when(F.col("factor") == f, F.col(side))).alias(f"_{f}_{side}")
             for f in spec.names for side in ("lo", "hi")])
-        out = out.join(wide, list(groups), "left")
+        out = join_groups(out, wide, groups, "left")
     clipped = {f"_{f}_w": F.when(F.col(f).isNotNull(), F.greatest(F.least(F.col(f), F.col(f"_{f}_hi")),
                                                                   F.col(f"_{f}_lo"))) for f in spec.names}
     out = out.withColumns(clipped)
@@ -136,7 +136,7 @@ def with_zscores(df: DataFrame, groups: Sequence[str], spec: RankingSpec, bounde
     else:
         moments = out.groupBy(*groups).agg(*[fn(f"_{f}_w").alias(f"_{f}_{k}") for f in spec.names
                                              for k, fn in (("mu", F.avg), ("sd", F.stddev_samp))])
-        out = out.join(moments, list(groups), "left")
+        out = join_groups(out, moments, groups, "left")
     scores = {}
     for f in spec.names:
         w, mu, sd = F.col(f"_{f}_w"), F.col(f"_{f}_mu"), F.col(f"_{f}_sd")
@@ -148,7 +148,7 @@ def with_zscores(df: DataFrame, groups: Sequence[str], spec: RankingSpec, bounde
 
 
 def rank_stocks(values: DataFrame, spec: RankingSpec, date_col: str = "formation_date", keys: Sequence[str] = (),
-                bounded: bool = True, bucket_rows: int = 200_000) -> DataFrame:
+                bounded: bool = True, ranges: int | None = None) -> DataFrame:
     """Adds per-factor ranks (and z-scores), ``score``, ``score_raw`` and ``rank``; drops rows the policy excludes.
 
     Ranks are taken before rows with a missing factor are dropped, so they may have holes.
@@ -159,7 +159,7 @@ def rank_stocks(values: DataFrame, spec: RankingSpec, date_col: str = "formation
         values = materialize(values)
     if spec.method == "rank_sum":
         up = {f: not get_factor(f).higher_is_better for f in names}
-        out = with_average_ranks(values, groups, up, bounded, bucket_rows=bucket_rows)
+        out = with_average_ranks(values, groups, up, bounded, ranges=ranges)
         if spec.missing_policy == "median":
             if bounded:
                 g = Window.partitionBy(*groups)
@@ -167,15 +167,15 @@ def rank_stocks(values: DataFrame, spec: RankingSpec, date_col: str = "formation
                                        for f in names})
             else:
                 sizes = values.groupBy(*groups).agg(*[F.count(f).alias(f"_{f}_n") for f in names])
-                out = out.join(sizes, groups, "left").withColumns(
+                out = join_groups(out, sizes, groups, "left").withColumns(
                     {f + "_rank": F.coalesce(F.col(f + "_rank"), (F.col(f"_{f}_n") + 1) / 2) for f in names})
                 out = out.drop(*[f"_{f}_n" for f in names])
         parts = {f: F.col(f + "_rank") for f in names}
         raw_scale, ascending = len(names), True
     else:
-        out = with_zscores(values, groups, spec, bounded, bucket_rows)
+        out = with_zscores(values, groups, spec, bounded, ranges)
         out = out if bounded else materialize(out)
-        out = with_average_ranks(out, groups, {f + "_z": False for f in names}, bounded, "_rank", bucket_rows)
+        out = with_average_ranks(out, groups, {f + "_z": False for f in names}, bounded, "_rank", ranges)
         out = out.withColumnsRenamed({f + "_z_rank": f + "_rank" for f in names})
         parts = {f: F.col(f + "_z") for f in names}
         raw_scale, ascending = 1, False
@@ -184,7 +184,7 @@ def rank_stocks(values: DataFrame, spec: RankingSpec, date_col: str = "formation
     raw = sum((parts[f] * F.lit(w[f] * raw_scale) for f in names[1:]), parts[names[0]] * F.lit(w[names[0]] * raw_scale))
     out = out.withColumns({"score": score, "score_raw": raw})
     out = out if bounded else materialize(out)
-    return with_row_rank(out, groups, "score", ascending, bounded=bounded, bucket_rows=bucket_rows)
+    return with_row_rank(out, groups, "score", ascending, bounded=bounded, ranges=ranges)
 
 
 def select_top(ranked: DataFrame, n: int) -> DataFrame:

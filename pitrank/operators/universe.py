@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..schemas import MAJOR_EXCHANGES
 
 SALTS = 32
+ONE_TASK_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -20,6 +21,11 @@ class UniverseRule:
     exchanges: tuple[str, ...] = MAJOR_EXCHANGES
     exclude_sic_ranges: tuple[tuple[int, int], ...] = ((6000, 6999), (4900, 4999))
 
+    @property
+    def bounded(self) -> bool:
+        """Whether a cross-section is small enough to be ordered in one task."""
+        return self.max_names is not None and self.max_names <= ONE_TASK_ROWS
+
     def predicate(self) -> Column:
         """NaN passes no limit: Spark orders it above every number, so it is asked for by name."""
         keep = (~F.col("is_delisted_this_month")

@@ -95,7 +95,7 @@ def score(panel: Panel, spec: BacktestSpec, asof_col: str = PUBLIC, keep: bool =
     keys = [*panel_keys, *KEY]
     columns = ["formation_date", *keys, "security_id", *ranking.names, *CONTEXT]
     values = save(compute_factors(universe, ranking.names).select(*dict.fromkeys(columns)))
-    ranked = save(rank_stocks(values, ranking, keys=keys, bounded=spec.universe.max_names is not None))
+    ranked = save(rank_stocks(values, ranking, keys=keys, bounded=spec.universe.bounded))
     members = values.select("formation_date", *keys, "security_id", "market_cap")
     alive = (cut.returns.select(*panel_keys, F.col("date").alias("formation_date"))
              .join(F.broadcast(formations), "formation_date")

@@ -97,7 +97,7 @@ def test_spread_ranking_equals_the_windowed_one(spark, method, policy):
     v = values(spark, data)
     spec = RankingSpec({"earnings_yield": 1.0, "return_on_capital": 3.0}, method, policy)
     a = {r["security_id"]: r for r in rows(rank_stocks(v, spec))}
-    b = {r["security_id"]: r for r in rows(rank_stocks(v, spec, bounded=False, bucket_rows=50))}
+    b = {r["security_id"]: r for r in rows(rank_stocks(v, spec, bounded=False, ranges=7))}
     assert a.keys() == b.keys()
     for k in a:
         assert a[k]["rank"] == b[k]["rank"] and all(approx(a[k][c], b[k][c]) for c in ("score", "earnings_yield_rank", "return_on_capital_rank"))
@@ -106,12 +106,29 @@ def test_spread_ranking_equals_the_windowed_one(spark, method, policy):
 def test_positions_with_one_hot_value(spark):
     xs = [5.0] * 400 + [float(i % 97) for i in range(800)]
     df = spark.createDataFrame([("g" if i % 3 else "h", x) for i, x in enumerate(xs)], "k string, x double")
-    got = rows(ordered_positions(df, ["k"], ["x"], bucket_rows=10, sample_rows=40))
+    got = rows(ordered_positions(df, ["k"], ["x"], ranges=6))
     for r in got:
         group = [x for i, x in enumerate(xs) if ("g" if i % 3 else "h") == r["k"]]
         assert (r["n_before"], r["n_equal"], r["n_total"]) == (sum(x < r["x"] for x in group), group.count(r["x"]), len(group))
 
 
+def test_a_value_held_by_most_rows_is_no_crowded_key(spark):
+    from pitrank.functions.positions import with_positions
+    df = spark.range(20_000).selectExpr("'g' AS k", "CASE WHEN id % 10 = 0 THEN CAST(id AS DOUBLE) ELSE 0.5D END AS x", "id")
+    out = with_positions(df, ["k"], ["x"], ranges=8)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" in plan and "broadcast" in plan
+    n, hot = out.count(), out.where("x = 0.5").first()
+    assert n == 20_000 and (hot.n_before, hot.n_equal, hot.n_total) == (1, 18_000, 20_000)
+    rest = out.where("n_equal = 1").rdd.glom().map(len).collect()
+    assert sum(rest) == 2000
+
+
+def test_limits_choose_the_plan():
+    assert UniverseRule().bounded and not UniverseRule(max_names=None).bounded
+    assert not UniverseRule(max_names=50_000_000).bounded
+
+
 def test_universe_filter(spark):
     data = [("A", 100e6, 5.0, "NYSE", 2000, False), ("B", 10e6, 5.0, "NYSE", 2000, False), ("C", 100e6, 0.5, "NYSE", 2000, False),
             ("D", 100e6, 5.0, "OTC", 2000, False), ("E", 100e6, 5.0, "NYSE", 6100, False), ("F", 100e6, 5.0, "AMEX", 4950, False),

@@ -1,11 +1,17 @@
+import importlib
+import sys
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import catalog
 from conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ["j01_asof_fundamentals", "a01_rank_sum", "p12_backtest_monthly", "v16_ttm_durations", "v20_shares_asof", "q13_momentum_audit"]
+SAMPLE = ["j01_asof_fundamentals", "a01_rank_sum", "p12_backtest_monthly", "v16_ttm_durations", "v20_shares_asof", "q13_momentum_audit",
+          "q12_j18_survivorship_audit", "v11_u02_quarterly_plus_annual", "v18_undated_facts", "f01_universe_with_nan", "j01_asof_odd_dates",
+          "p16_deciles_many_markets", "a21_testing_bar", "w04_avg_rank_unbounded_group"]
 
 
 def test_entry(spark):
@@ -13,7 +19,19 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    own = catalog.load()
+    assert set(own.QUERIES) == set(own.ORACLES)
+    assert set(own.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_works_without_the_optional_part(monkeypatch):
+    monkeypatch.setitem(sys.modules, "pitrank.llm", None)
+    monkeypatch.delitem(sys.modules, "pitrank.llm.queries", raising=False)
+    try:
+        assert set(importlib.reload(entry).queries()) == set(catalog.load().QUERIES)
+    finally:
+        monkeypatch.undo()
+        importlib.reload(entry)
 
 
 @pytest.mark.parametrize("name", SAMPLE)
