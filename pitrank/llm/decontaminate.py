@@ -182,8 +182,10 @@ def contaminated(filings: DataFrame, items: DataFrame, rate: float = ERROR_RATE)
     filing gives repeated rows; equal items with different ids each give theirs; other columns are not read.
     """
     def part(block):
+        # explode_outer: before a plain explode the optimiser asks for the array's size, matching everything twice
         return (filings.select("filing_id", leaks("document", block, rate).alias("_m"))
-                .select("filing_id", F.explode("_m").alias("_m")).select("filing_id", "_m.*"))
+                .select("filing_id", F.explode_outer("_m").alias("_m")).where("_m IS NOT NULL")
+                .select("filing_id", "_m.*"))
 
     found, blocks = None, item_blocks(items)
     block, following = next(blocks, []), next(blocks, None)
