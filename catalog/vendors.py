@@ -4,14 +4,18 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from pitrank.functions.lineage import materialize
+from pitrank.plans.backtest import run_backtest
 from pitrank.sources.bars import price_bars
 from pitrank.vendor import accounting as A
 from pitrank.vendor import equity as E
 from pitrank.vendor import facts as X
 from pitrank.vendor.market import proxy_benchmarks, returns_from_prices, shares_asof
+from pitrank.vendor.panels import StockFiles, panel_from_filings, panel_from_stock_files
 
-from .common import present, register, sql
-from .panel import RET_SQL, bars, quarters, returns, table
+from .common import ORACLES, present, register, sql
+from .core import SPEC
+from .panel import PANEL_SQL, RET_SQL, bars, quarters, returns, table
+from .portfolios import MONTHLY_LAYOUT
 
 S, T = "1996-01-31", "2001-06-30"
 
@@ -650,3 +654,80 @@ def v22_proxy(spark, sf):
            .withColumn("yield_pct", ex("CASE WHEN month(date) % 3 <> 0 THEN month(date) * 0.5D END")))
     return present(proxy_benchmarks(returns(spark, sf), idx, S, T),
                    "date:d sp500_total_return:8 market_vw_return:9 market_ew_return:9 risk_free_rate:9")
+
+
+# ================================================================= whole panels
+def company_documents(spark, sf):
+    """One nested document per company with all its tags."""
+    e = fact_rows(spark, sf).withColumn("entry", F.struct(*[F.col(c).cast("string").alias(c) for c in ("start", "end", "val", "filed")]))
+    units = (e.groupBy("cik", "taxonomy", "tag", "unit").agg(F.collect_list("entry").alias("entries"))
+             .select("cik", "taxonomy", "tag", F.struct(F.create_map("unit", "entries").alias("units")).alias("_u")))
+    tags = units.groupBy("cik", "taxonomy").agg(F.map_from_entries(F.collect_list(F.struct("tag", "_u"))).alias("_t"))
+    return tags.groupBy("cik").agg(F.to_json(F.struct("cik", F.map_from_entries(F.collect_list(F.struct("taxonomy", "_t"))).alias("facts"))).alias("document"))
+
+
+def company_submissions(spark, sf):
+    docs = table(spark, sf, "supplier").select(F.to_json(F.struct(
+        F.col("s_suppkey").alias("cik"), ex("CAST(1000 + s_suppkey % 7000 AS STRING)").alias("sic"),
+        ex("CASE WHEN s_suppkey % 2 = 0 THEN array('Nasdaq', 'NYSE') ELSE array('NYSE') END").alias("exchanges"))).alias("doc"))
+    return docs.select(F.from_json("doc", X.SUBMISSION_DOCUMENT).alias("d")).select("d.*")
+
+
+FILED_LAYOUT = ("security_id failed no_facts current_shares_only n_months:i cap:1 exchange sic_code:i n_filings:i revenue:2")
+FILED_SQL = f"""
+cl AS (SELECT *, adjusted / lag(adjusted) OVER (PARTITION BY security_id ORDER BY date) - 1 AS total_return FROM ps
+       WHERE adjusted IS NOT NULL AND "close" IS NOT NULL AND date BETWEEN DATE '{S}' - INTERVAL 1 MONTH AND DATE '{T}'),
+rs AS (SELECT security_id, count(*) AS n, avg("close" * shares) AS cap FROM cl WHERE total_return IS NOT NULL GROUP BY security_id),
+cs AS (SELECT security_id, count(*) AS n, sum(revenue_ttm) AS revenue FROM cf WHERE CAST(security_id AS BIGINT) % 10 <> 7
+              AND security_id IN (SELECT security_id FROM rs) GROUP BY security_id),
+px AS (SELECT security_id, max(date) FILTER ("close" IS NOT NULL) AS last FROM pr GROUP BY security_id),
+f0 AS (SELECT security_id, min(filed) AS first FROM fi GROUP BY security_id),
+y AS (SELECT px.security_id, rs.n IS NULL AS failed, rs.n IS NOT NULL AND cs.n IS NULL AS no_facts, f0.first IS NULL OR f0.first > px.last AS current_shares_only,
+             coalesce(rs.n, 0) AS n_months, rs.cap,
+             CASE WHEN rs.n IS NULL THEN NULL WHEN CAST(px.security_id AS BIGINT) % 10 = 7 THEN 'OTHER' WHEN CAST(px.security_id AS BIGINT) % 2 = 0 THEN 'NASDAQ' ELSE 'NYSE' END AS exchange,
+             CASE WHEN rs.n IS NULL THEN NULL WHEN CAST(px.security_id AS BIGINT) % 10 = 7 THEN 0 ELSE 1000 + CAST(px.security_id AS BIGINT) % 7000 END AS sic_code,
+             coalesce(cs.n, 0) AS n_filings, cs.revenue
+      FROM px LEFT JOIN rs USING (security_id) LEFT JOIN cs USING (security_id) LEFT JOIN f0 USING (security_id))"""
+
+
+@register("v_panel_filings", sql(FILED_LAYOUT, "y", ROWS_SQL, CONCEPT_SQL, TTMD_SQL, CF_SQL,
+                                 PRICE_SQL.replace("FROM shr)", "FROM shr WHERE cik % 10 <> 7)"), FILED_SQL))
+def v_panel_filings(spark, sf):
+    """The whole panel from one document per company and prices; one company in ten is not known to the filings."""
+    idx = (table(spark, sf, "orders").groupBy(F.last_day(F.to_date("o_orderdate")).alias("date"))
+           .agg(F.avg("o_totalprice").alias("adjusted")).withColumn("yield_pct", F.lit(3.0)))
+    companies = (table(spark, sf, "supplier").where("s_suppkey % 10 <> 7")
+                 .select(F.col("s_suppkey").cast("string").alias("security_id"), F.col("s_suppkey").alias("cik")))
+    made, status = panel_from_filings(X.parse_facts(company_documents(spark, sf)), company_submissions(spark, sf), companies,
+                                      prices(spark, sf).select("security_id", "date", "adjusted", "close"), idx, S, T,
+                                      current_shares(spark, sf))
+    r = made.returns.groupBy("security_id").agg(F.count(F.lit(1)).alias("n_months"), F.avg("market_cap").alias("cap"),
+                                                F.max("exchange").alias("exchange"), F.max("sic_code").alias("sic_code"))
+    f = made.fundamentals.groupBy("security_id").agg(F.count(F.lit(1)).alias("n_filings"), F.sum("revenue_ttm").alias("revenue"))
+    out = status.join(r, "security_id", "left").join(f, "security_id", "left")
+    return present(out.fillna(0, ["n_months", "n_filings"]), FILED_LAYOUT)
+
+
+STOCK_FILES_SQL = ",".join([
+    MSF_SQL, NAMES_SQL, SCAN_SQL, DELIST_SQL, COMPOUND_SQL, """
+ret AS (SELECT CAST(permno AS VARCHAR) AS security_id, date, ret AS total_return, abs(prc) AS price, shrout * 1000 AS shares_outstanding,
+               abs(prc) * (shrout * 1000) AS market_cap, CASE exchcd WHEN 1 THEN 'NYSE' WHEN 2 THEN 'AMEX' WHEN 3 THEN 'NASDAQ' ELSE 'OTHER' END AS exchange,
+               coalesce(siccd, 0) AS sic_code, is_delisted_this_month FROM comp WHERE ret IS NOT NULL)""",
+    *QC, FUNDA_SQL, ACANON_SQL, MERGED_SQL, """
+fund AS (SELECT * FROM mg WHERE security_id IS NOT NULL AND fiscal_period_end IS NOT NULL AND available_date IS NOT NULL)""",
+    RET_SQL.replace("\nret AS", "\noret AS"), f"""
+mm AS (SELECT date, avg(total_return) AS e, max(total_return) AS hi, min(total_return) AS lo FROM oret GROUP BY date),
+bench AS (SELECT date, CASE WHEN month(date) <> 5 AND date BETWEEN DATE '{S}' AND DATE '{T}' THEN (hi + lo) / 2 END AS sp500_total_return,
+                 e AS market_vw_return, e + 0.001 AS market_ew_return, month(date) / 10000.0::DOUBLE AS risk_free_rate
+          FROM mm WHERE date - 1 BETWEEN DATE '{S}' AND DATE '{T}')"""])
+
+
+def stock_files(spark, sf):
+    return StockFiles(msf(spark, sf), delist(spark, sf), fundq(spark, sf), funda(spark, sf), links(spark, sf),
+                      *market_tables(spark, sf), names=names(spark, sf))
+
+
+@register("v_panel_stock_files_backtest", ORACLES["p12_backtest_monthly"].replace(PANEL_SQL, STOCK_FILES_SQL))
+def v_panel_stock_files(spark, sf):
+    """From vendor files straight to a monthly backtest."""
+    return present(run_backtest(panel_from_stock_files(stock_files(spark, sf), S, T), SPEC).monthly, MONTHLY_LAYOUT)
