@@ -174,7 +174,9 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
              .withColumn("_own", F.pmod(F.xxhash64("print"), F.col("_blocks")).cast("int"))
              .withColumn("_other", F.explode(F.expr("sequence(0, _blocks - 1)")))
              .select("cell", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "print"))
-    return (tasks.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    # few rows, much work for each: a stated number of partitions is not merged by size
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (tasks.repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
             .mapInArrow(_links, "a bigint, b bigint"))
 
 
