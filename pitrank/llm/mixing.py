@@ -57,7 +57,7 @@ def source_targets(sized: DataFrame, p: Mix) -> DataFrame:
     the first ones, so running sums give the level at once. Windows run over one row per source.
     """
     by_pattern = sized.groupBy("pattern").agg(F.sum("size").alias("size"))
-    total = by_pattern.agg((F.sum("size") * p.share).alias("_total"))
+    total = float(by_pattern.agg(F.sum("size")).first()[0] or 0) * p.share
     sources = (by_pattern.select(F.explode("pattern").alias("source"), "size")
                .groupBy("source").agg(F.sum("size").alias("source_size")))
     weights = F.array(*[F.lit(w).cast("long") for w in p.weights])
@@ -67,9 +67,7 @@ def source_targets(sized: DataFrame, p: Mix) -> DataFrame:
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     rest = order.rowsBetween(0, Window.unboundedFollowing)
     limit = F.col("source_size") * p.copies
-    # one row, not a cross product: the total
-    level = (ranked.crossJoin(F.broadcast(total))
-             .withColumn("_level", (F.col("_total") - F.coalesce(F.sum(limit).over(before), F.lit(0)))
+    level = (ranked.withColumn("_level", (F.lit(total) - F.coalesce(F.sum(limit).over(before), F.lit(0)))
                          / F.sum("_w").over(rest))
              .withColumn("_open", (F.col("_level") * F.col("_w") <= limit).cast("int"))
              .withColumn("_first", F.min(F.when(F.col("_open") == 1, F.struct(F.col("source_size") / F.col("_w"),

@@ -131,10 +131,9 @@ def language_references(filings: DataFrame) -> References:
               .mapInArrow(_histograms, HISTOGRAM).groupBy("language", "kind", "bin").agg(F.sum("n").alias("n")))
     # partial sums by language first: the language with most words is no crowded key
     counts = materialize(counts)
-    totals = counts.groupBy("language", "kind").agg(F.sum("n").alias("_all"))
-    every = counts.where("kind = 'word'").agg(F.sum("n").alias("_every"))
-    large = (totals.where("kind = 'word'").crossJoin(F.broadcast(every))
-             .where(F.col("_all") >= LANGUAGE_SHARE * F.col("_every")).select("language", F.col("_all").alias("_words")))
+    words_of_language = (counts.where("kind = 'word'").groupBy("language").agg(F.sum("n").alias("_words")))
+    every = words_of_language.agg(F.sum("_words")).first()[0] or 0
+    large = words_of_language.where(F.col("_words") >= LANGUAGE_SHARE * every)
     found = (counts.join(F.broadcast(large), "language")
              .where((F.col("kind") == "character") | (F.col("n") >= COMMON_SHARE * F.col("_words"))))
     rows_of: dict[str, list] = {}
