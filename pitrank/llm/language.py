@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .gru import WINDOW, Gru, Model, Reader, cut_windows, train
 from .kinds import DOUBLE, STRING, arrays, struct
+from .words import HASH_SLOTS, likely_first
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -24,13 +25,14 @@ BLOCK_BYTES = 2_000_000
 def learning_sample(filings: DataFrame, p: Gru) -> DataFrame:
     """At most ``per_language`` filings of each of the ``max_languages`` most frequent languages, chosen by id hash.
 
-    Only ids are ranked, with partial limits; the chosen ones are bounded and broadcast to fetch their texts.
+    Only ids with a small hash are ranked, some thousands per language; the chosen ones are broadcast to fetch texts.
     """
     known = filings.where("language IS NOT NULL AND document IS NOT NULL AND filing_id IS NOT NULL")
     frequent = (known.groupBy("language").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "language")
-                .limit(p.max_languages).select("language"))
-    order = Window.partitionBy("language").orderBy(F.xxhash64("filing_id"), "filing_id")
+                .limit(p.max_languages))
+    order = Window.partitionBy("language").orderBy(F.pmod(F.xxhash64("filing_id"), F.lit(HASH_SLOTS)), "filing_id")
     chosen = (known.select("language", "filing_id").join(F.broadcast(frequent), "language")
+              .where(likely_first("filing_id", p.per_language, F.col("_n")))
               .withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= p.per_language)
               .select("filing_id").distinct())
     return known.select("filing_id", "language", "document").join(F.broadcast(chosen), "filing_id")
