@@ -93,6 +93,10 @@ FACTOR_SQL = {
 }
 
 
+# written out for the SQL side, apart from the library's own definitions
+LOW_IS_GOOD = ("accruals", "asset_growth", "volatility_12m")
+
+
 def factor_sql(f: str) -> str:
     if f == "momentum_12_1":
         return "mom_12_1"
@@ -116,7 +120,7 @@ def rank_sum_sql(weights: dict, src: str = "vals", name: str = "ranked", policy:
     tot = sum(weights.values())
     ranks, score_, raw = [], [], []
     for f, w in weights.items():
-        r = avg_rank_sql(f, get_factor(f).higher_is_better, part)
+        r = avg_rank_sql(f, f not in LOW_IS_GOOD, part)
         if policy == "median":
             r = f"coalesce({r}, (count({f}) OVER (PARTITION BY {part}) + 1) / 2.0::DOUBLE)"
         ranks.append(f"{r} AS {f}_rank")
@@ -377,7 +381,7 @@ def zscore_sql(weights: dict, policy: str, src: str = "vals", name: str = "ranke
     z = []
     for f in weights:
         e = f"CASE WHEN {f}_sd > 0 THEN ({f}_w - {f}_mu) / {f}_sd ELSE {f}_w * 0 END"
-        e = e if get_factor(f).higher_is_better else f"-({e})"
+        e = f"-({e})" if f in LOW_IS_GOOD else e
         z.append((f"coalesce({e}, 0)" if policy == "median" else e) + f" AS {f}_z")
     ranks = ", ".join(f"{avg_rank_sql(f + '_z', True)} AS {f}_rank" for f in weights)
     score_ = " + ".join(f"{w / tot}::DOUBLE * {f}_z" for f, w in weights.items())

@@ -10,7 +10,7 @@ from pitrank.analytics.nulls import (null_summary, null_values, oracle_fraction,
                                      multiple_testing_bar)
 from pitrank.analytics.profile import size_tilt
 from pitrank.functions.lineage import materialize
-from pitrank.operators.costs import SIZE_ANCHORS, CostModel
+from pitrank.operators.costs import CostModel
 from pitrank.operators.portfolio import target_weights
 from pitrank.operators.ranking import select_top
 from pitrank.plans.backtest import holdings_at, run_backtest, run_scores, score, top_of_ranking, universe_funnel
@@ -21,6 +21,8 @@ from .core import (BASE, END, MAGIC, RANKED, SNAP_SQL, SPEC, START, form_sql, ra
                    values_sql)
 from .panel import PANEL_SQL, panel, returns
 
+# Fixed values, written out for the SQL side: (market cap in dollars, one-way cost in basis points).
+SIZE_ANCHORS = ((1e7, 150.0), (5e7, 80.0), (2.5e8, 40.0), (1e9, 20.0), (1e10, 8.0), (1e11, 5.0))
 COST_CTE = "anchors(x0, y0, x1, y1) AS (VALUES " + ", ".join(
     f"(log10({a}::DOUBLE), {b}::DOUBLE, log10({c}::DOUBLE), {d}::DOUBLE)"
     for (a, b), (c, d) in zip(SIZE_ANCHORS, SIZE_ANCHORS[1:])) + ")"

@@ -18,8 +18,11 @@ from .panel import BENCH_SQL, FUND_SQL, RET_SQL, fundamentals, panel, returns
 from .portfolios import DEC_SUM, DEC_TABLE, DECILES, RUN, cagr_sql, excess_sql, t_sql
 
 BENCHES = list(BENCHMARK_LABELS)
+# Fixed values, written out for the SQL side: series of a monthly result and their labels.
+SERIES = {"net": "Strategy (net)", "gross": "Strategy (gross)", "universe_ew": "EW universe", "market_ew_return": "EW market",
+          "market_vw_return": "VW market", "sp500_total_return": "S&P 500"}
 LONG = "\nlng AS (" + " UNION ALL ".join(
-    f"SELECT date, risk_free_rate AS rf, '{v}' AS series, {k} AS r FROM monthly" for k, v in M.SERIES.items()) + ")"
+    f"SELECT date, risk_free_rate AS rf, '{v}' AS series, {k} AS r FROM monthly" for k, v in SERIES.items()) + ")"
 
 
 def monthly(spark, sf):

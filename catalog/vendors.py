@@ -446,12 +446,37 @@ def s13(spark, sf):
     return present(facts(spark, sf), FACT_LAYOUT)
 
 
+# Fixed values, written out for the SQL side: reporting tags per concept in order of priority.
+TAGS = """
+revenue: Revenues RevenueFromContractWithCustomerExcludingAssessedTax SalesRevenueNet RevenuesNetOfInterestExpense
+cogs: CostOfRevenue CostOfGoodsAndServicesSold CostOfGoodsSold
+gross_profit: GrossProfit
+ebit: OperatingIncomeLoss
+net_income: NetIncomeLoss ProfitLoss
+ocf: NetCashProvidedByUsedInOperatingActivities NetCashProvidedByUsedInOperatingActivitiesContinuingOperations
+capex: PaymentsToAcquirePropertyPlantAndEquipment PaymentsToAcquireProductiveAssets
+dividends: PaymentsOfDividends PaymentsOfDividendsCommonStock PaymentsOfOrdinaryDividends
+shares_diluted: WeightedAverageNumberOfDilutedSharesOutstanding
+current_assets: AssetsCurrent
+cash: CashAndCashEquivalentsAtCarryingValue CashCashEquivalentsRestrictedCashAndRestrictedCashEquivalents Cash
+current_liabilities: LiabilitiesCurrent
+short_term_debt: DebtCurrent LongTermDebtCurrent ShortTermBorrowings
+long_term_debt: LongTermDebtNoncurrent LongTermDebt LongTermDebtAndCapitalLeaseObligations
+net_ppe: PropertyPlantAndEquipmentNet
+total_assets: Assets
+book_equity: StockholdersEquity StockholdersEquityIncludingPortionAttributableToNoncontrollingInterest
+preferred_stock: PreferredStockValue
+minority_interest: MinorityInterest
+"""
+CONCEPTS = {c: tags.split() for c, tags in (line.split(": ") for line in TAGS.strip().split("\n"))}
+
+
 def concept_case(groups) -> str:
     rows = [f"('{t}', '{c}', {i})" for g in groups for c, tags in g.items() for i, t in enumerate(tags)]
     return "tags(tag, concept, priority) AS (VALUES " + ", ".join(rows) + ")"
 
 
-CONCEPT_SQL = concept_case([X.FLOW_TAGS, X.INSTANT_TAGS]) + """,
+CONCEPT_SQL = concept_case([CONCEPTS]) + """,
 cv AS (SELECT cik, concept, "start", "end", val, filed FROM facts JOIN tags USING (tag) WHERE taxonomy = 'us-gaap'
        QUALIFY row_number() OVER (PARTITION BY cik, concept, "start", "end" ORDER BY priority, filed, val) = 1)"""
 CV_LAYOUT = "cik:i concept start:d end:d val:2 filed:d"
@@ -509,7 +534,7 @@ def _pick(concept, col):
 
 CF_SQL = f"""
 al AS (SELECT cik, concept, "end", ttm AS x, filed FROM tm UNION ALL SELECT cik, concept, "end", val, filed FROM cv WHERE "start" IS NULL),
-wd AS (SELECT cik, "end", {', '.join(_pick(c, 'x') + ' AS ' + c for c in [*X.FLOW_TAGS, *X.INSTANT_TAGS])},
+wd AS (SELECT cik, "end", {', '.join(_pick(c, 'x') + ' AS ' + c for c in CONCEPTS)},
               max(filed) FILTER (concept <> 'cogs') AS last_filed FROM al GROUP BY ALL),
 gr AS (SELECT *, max((gross_profit IS NOT NULL)::INT) OVER (PARTITION BY cik) AS has_gross FROM wd),
 cf AS (SELECT CAST(cik AS VARCHAR) AS security_id, "end" AS fiscal_period_end, CASE WHEN last_filed >= "end" THEN last_filed ELSE "end" + 45 END AS available_date,
