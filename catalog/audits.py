@@ -3,21 +3,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pitrank.analytics.nulls import null_values, placement, sweep_summary
+from pitrank.analytics.nulls import null_values, panel_metrics, placement, sweep_summary
 from pitrank.analytics.runlog import count_runs, latest_runs
 from pitrank.audits import contract as C
 from pitrank.audits import leakage as L
 from pitrank.functions.lineage import materialize
+from pitrank.functions.stats import excess_cagr
 from pitrank.operators.ranking import RankingSpec, percent_rank_average, quantile_bucket
 from pitrank.operators.schedule import rebalance_dates
+from pitrank.operators.snapshot import cross_sections
 from pitrank.operators.trailing import forward_returns
+from pitrank.operators.universe import select_universe
+from pitrank.plans.backtest import run_scores
 from pitrank.sources.canonical import month_ends, prepare_panel
 
-from .common import present, register, sql
-from .core import (BASE, END, MAGIC, RANKED, SNAP_SQL, START, _values, asof_sql, avg_rank_sql, form_sql, rank_sum_sql,
+from .common import columns_sql, present, register, sql
+from .core import (BASE, END, MAGIC, RANKED, SNAP_SQL, SPEC, START, _values, asof_sql, avg_rank_sql, form_sql, rank_sum_sql,
                    universe_sql, values_sql)
 from .panel import FUND_SQL, PANEL_SQL, RET_SQL, fundamentals, panel, returns, table
-from .portfolios import NULL_CTES, null_runs
+from .portfolios import HINDSIGHT, NULL_CTES, SUPPLIED, excess_sql, hindsight, null_runs
 
 
 def fwd_sql(h: int, src: str = "pret", name: str = "fwd") -> str:
@@ -328,22 +332,77 @@ def t05(spark, sf):
     return present(latest_runs(run_log(spark, sf)), "timestamp:d name config_hash cagr_net:6")
 
 
-SWEEP_LAYOUT = ("strength:i decile_spread:8 oracle_excess:8 engine_excess:8 engine_excess_sd:8 engine_t_mean:7 seeds_above_null_p95:6 "
-                "fraction_of_oracle_mean:7 n_seeds:i")
-
-
-@register("a23_sweep_summary", sql(SWEEP_LAYOUT, "y", *NULL_CTES, """
-st AS (SELECT *, panel_id % 3 AS strength, excess_vs_universe_ew + 0.01 * (panel_id % 3) AS e FROM runs),
-pc AS (SELECT *, 100.0 * (SELECT count(*) FROM runs r WHERE r.excess_vs_universe_ew < st.e) / (SELECT count(*) FROM runs) AS pct FROM st),
-y AS (SELECT strength, avg(excess_vs_sp500) AS decile_spread, avg(excess_vs_market_ew) AS oracle_excess, avg(e) AS engine_excess, stddev_samp(e) AS engine_excess_sd,
-             avg(t_stat_vs_universe_ew) AS engine_t_mean, avg((pct >= 95)::INT) AS seeds_above_null_p95, avg(e / sharpe) AS fraction_of_oracle_mean, count(*) AS n_seeds
-      FROM pc GROUP BY strength)"""))
+# ---------------------------------------------------------------- sweep
+# The grid: how much of next month's return a score knows (strength), whether it is wrong about every second industry
+# (trap), and five seeds of noise. All configurations are books of the same jobs.
+STRENGTHS, TRAPS, N_SEEDS = 3, 2, 5
+SWEEP_LAYOUT = ("trap:i strength:i decile_spread:8 oracle_excess:8 engine_excess:8 engine_excess_sd:8 engine_t_mean:7 "
+                "seeds_above_null_p95:6 fraction_of_oracle_mean:7 n_seeds:i")
+CONFIGS = f"""
+cfg AS (SELECT t * 100 + s * 10 + k AS panel_id, t AS trap, s AS strength, k AS seed
+        FROM range({TRAPS}) a(t), range({STRENGTHS}) b(s), range({N_SEEDS}) c(k)),
+blend AS (SELECT c.*, u.*, CAST(('0x' || substr(md5(c.seed || '|' || CAST(u.formation_date AS VARCHAR) || '|' || u.security_id), 1, 12)) AS BIGINT)
+                 / 281474976710656.0::DOUBLE + c.strength * 10.0::DOUBLE * (CASE WHEN c.trap = 1 AND u.sic_code % 2 = 0 THEN -h.score ELSE h.score END) AS x
+          FROM uni u JOIN hind h ON h.security_id = u.security_id AND h.date = u.formation_date CROSS JOIN cfg c WHERE h.score IS NOT NULL)"""
+_RANK_NULLS = next(c for c in NULL_CTES if "ranked AS" in c)
+_BLENDED = HINDSIGHT + "," + CONFIGS + """,
+ranked AS (SELECT *, row_number() OVER (PARTITION BY panel_id, formation_date ORDER BY x DESC, security_id) AS rank FROM blend)"""
+
+
+def _runs_of(ctes, last: str = "SELECT * FROM runs") -> str:
+    return f"(WITH RECURSIVE {', '.join(ctes)} {last})"
+
+
+_SWEPT = _runs_of([_BLENDED if c is _RANK_NULLS else c for c in NULL_CTES])
+_SPREADS = _runs_of([*NULL_CTES[:NULL_CTES.index(_RANK_NULLS)], HINDSIGHT, CONFIGS, """
+sf AS (SELECT panel_id, security_id, formation_date AS date, x AS score, h.score AS fwd FROM blend b
+       JOIN hind h USING (security_id) WHERE h.date = b.formation_date)""", qcut_sql("sf", "dq", keys="panel_id, date")],
+    "SELECT panel_id, avg(fwd) FILTER (decile = 9) - avg(fwd) FILTER (decile = 0) AS spread FROM dq GROUP BY panel_id")
+_BOUND = _runs_of(SUPPLIED, f"SELECT {excess_sql('s.net', 'u.gross')} AS o FROM s_month s JOIN u_month u USING (sleeve, date)")
+
+
+@register("a23_sweep_summary", f"""WITH nul AS {_runs_of(NULL_CTES)}, swept AS {_SWEPT}, spreads AS {_SPREADS}, bound AS {_BOUND},
+st AS (SELECT panel_id // 100 AS trap, panel_id // 10 % 10 AS strength, excess_vs_universe_ew AS e, t_stat_vs_universe_ew AS t, spread, o,
+              100.0 * (SELECT count(*) FROM nul WHERE nul.excess_vs_universe_ew < swept.excess_vs_universe_ew) / (SELECT count(*) FROM nul) AS pct
+       FROM swept JOIN spreads USING (panel_id), bound),
+y AS (SELECT trap, strength, avg(spread) AS decile_spread, avg(o) AS oracle_excess, avg(e) AS engine_excess, stddev_samp(e) AS engine_excess_sd,
+             avg(t) AS engine_t_mean, avg((pct >= 95)::INT) AS seeds_above_null_p95, avg(CASE WHEN o > 0.005 THEN e / o END) AS fraction_of_oracle_mean,
+             count(*) AS n_seeds FROM st GROUP BY trap, strength)
+SELECT {columns_sql(SWEEP_LAYOUT)} FROM y""")
 def a23(spark, sf):
-    runs = materialize(null_runs(spark, sf))
-    grid = runs.withColumn("strength", F.pmod("panel_id", F.lit(3))).withColumn("e", F.col("excess_vs_universe_ew") + 0.01 * F.col("strength"))
-    probe = grid.select(F.col("panel_id").alias("run_id"), F.lit("excess_vs_universe_ew").alias("metric"), F.col("e").alias("value"))
-    pct = placement(probe, null_values(runs)).select(F.col("run_id").alias("panel_id"), F.col("percentile").alias("null_percentile"))
-    rows = grid.join(pct, "panel_id").select(
-        "strength", F.col("excess_vs_sp500").alias("decile_spread"), F.col("excess_vs_market_ew").alias("oracle_excess"), F.col("e").alias("engine_excess"),
-        F.col("t_stat_vs_universe_ew").alias("engine_t"), "null_percentile", (F.col("e") / F.col("sharpe")).alias("fraction_of_oracle"))
-    return present(sweep_summary(rows, ["strength"]), SWEEP_LAYOUT)
+    p = panel(spark, sf, filings=False)
+    known = materialize(hindsight(spark, sf).where("score IS NOT NULL").select("security_id", "date", F.col("score").alias("_known")))
+    config = ["trap", "strength", "seed"]
+
+    def blended(members):
+        """Every configuration's score of the universe's rows."""
+        grid = members.join(known, ["security_id", "date"])
+        for name, n in (("trap", TRAPS), ("strength", STRENGTHS), ("seed", N_SEEDS)):
+            grid = grid.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        text = F.concat_ws("|", F.col("seed").cast("string"), F.col("date").cast("string"), F.col("security_id"))
+        noise = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long") / F.lit(281474976710656.0)
+        wrong = (F.col("trap") == 1) & (F.col("sic_code") % 2 == 0)
+        signal = F.when(wrong, -F.col("_known")).otherwise(F.col("_known"))
+        return grid.withColumn("score", noise + F.col("strength") * 10.0 * signal)
+
+    codes = materialize(p.returns.select("security_id", "date", "sic_code"))
+    monthly = run_scores(p, lambda members: blended(members.join(codes, ["security_id", "date"])), SPEC, keys=config)
+    runs = materialize(panel_metrics(monthly.join(p.benchmarks, "date"), config))
+    bound = run_scores(p, known.withColumnRenamed("_known", "score"), SPEC)
+    best = materialize(bound.agg(excess_cagr("net", "universe_ew").alias("oracle_excess")))
+    # the same scores, cut into tenths: what they say about the month that follows
+    dates = rebalance_dates(month_ends(p.returns, START).where(F.col("date") <= F.lit(END).cast("date")), SPEC.frequency, SPEC.anchor_month)
+    window = p.returns.where(F.col("date").between(F.lit(START).cast("date"), F.lit(END).cast("date")))
+    members = select_universe(cross_sections(window, dates, trailing=False)).select("security_id", "date", "sic_code")
+    scores = blended(members).select(*config, "security_id", "date", "score")
+    spread = L.decile_spread(L.score_deciles(scores, known.withColumnRenamed("_known", "fwd"), keys=config), config)
+    probe = runs.select(F.concat_ws("|", *config).alias("run_id"), F.lit("excess_vs_universe_ew").alias("metric"),
+                        F.col("excess_vs_universe_ew").alias("value"))
+    pct = placement(probe, null_values(null_runs(spark, sf))).select("run_id", F.col("percentile").alias("null_percentile"))
+    oracle = best.first()["oracle_excess"]
+    rows = (runs.withColumn("run_id", F.concat_ws("|", *config)).join(pct, "run_id").join(spread.select(*config, "spread"), config)
+            .withColumn("oracle_excess", F.lit(oracle))
+            .select(*config, F.col("spread").alias("decile_spread"), "oracle_excess", F.col("excess_vs_universe_ew").alias("engine_excess"),
+                    F.col("t_stat_vs_universe_ew").alias("engine_t"), "null_percentile",
+                    F.when(F.col("oracle_excess") > 0.005, F.col("excess_vs_universe_ew") / F.col("oracle_excess")).alias("fraction_of_oracle")))
+    return present(sweep_summary(rows, ["trap", "strength"]), SWEEP_LAYOUT)
