@@ -207,13 +207,13 @@ def a25_deaths(spark, sf):
     return present(P.deaths_by_year(r, kinds), "year:i kind n:i")
 
 
-LAG_LAYOUT = "rows n_rows:i lag_min:i lag_max:i lag_mean:6 lag_p5:6 lag_p50:6 lag_p95:6"
+LAG_LAYOUT = "rows n_rows:i lag_min:i lag_max:i lag_std:6 lag_mean:6 lag_p5:6 lag_p50:6 lag_p95:6"
 
 
 @register("a25_publication_lags", sql(LAG_LAYOUT, "y", FUND_SQL, """
 lags AS (SELECT 'all' AS rows, available_date - fiscal_period_end AS lag FROM fund
          UNION ALL SELECT 'first', min(available_date) - fiscal_period_end FROM fund GROUP BY security_id, fiscal_period_end),
-y AS (SELECT rows, count(*) AS n_rows, min(lag) AS lag_min, max(lag) AS lag_max, avg(lag) AS lag_mean,
+y AS (SELECT rows, count(*) AS n_rows, min(lag) AS lag_min, max(lag) AS lag_max, avg(lag) AS lag_mean, stddev_samp(lag) AS lag_std,
              quantile_cont(lag, 0.05) AS lag_p5, quantile_cont(lag, 0.5) AS lag_p50, quantile_cont(lag, 0.95) AS lag_p95
       FROM lags GROUP BY rows)""").replace("AS rows", 'AS "rows"').replace("SELECT rows", 'SELECT "rows"').replace("BY rows", 'BY "rows"'))
 def a25_lags(spark, sf):
@@ -233,13 +233,15 @@ def a25_fund(spark, sf):
     return present(P.fundamentals_profile(fundamentals(spark, sf)), FP_LAYOUT)
 
 
-RP_LAYOUT = ("n_rows:i n_securities:i n_delistings:i delisting_mean:8 delisting_std:8 delisting_min:8 delisting_max:8 price_below_1_rate:8")
+RP_LAYOUT = ("n_rows:i n_securities:i n_delistings:i delisting_mean:8 delisting_std:8 delisting_min:8 delisting_p25:8 delisting_p50:8 delisting_p75:8 delisting_max:8 price_below_1_rate:8")
 
 
 @register("a25_returns_profile", sql(RP_LAYOUT, "y", RET_SQL, """
 y AS (SELECT count(*) AS n_rows, count(DISTINCT security_id) AS n_securities, count(*) FILTER (is_delisted_this_month) AS n_delistings,
              avg(total_return) FILTER (is_delisted_this_month) AS delisting_mean, stddev_samp(total_return) FILTER (is_delisted_this_month) AS delisting_std,
              min(total_return) FILTER (is_delisted_this_month) AS delisting_min, max(total_return) FILTER (is_delisted_this_month) AS delisting_max,
+             quantile_cont(total_return, 0.25) FILTER (is_delisted_this_month) AS delisting_p25, quantile_cont(total_return, 0.5) FILTER (is_delisted_this_month) AS delisting_p50,
+             quantile_cont(total_return, 0.75) FILTER (is_delisted_this_month) AS delisting_p75,
              avg((price < 1)::INT) AS price_below_1_rate FROM ret)"""))
 def a25_ret(spark, sf):
     return present(P.returns_profile(returns(spark, sf)), RP_LAYOUT)
@@ -259,3 +261,13 @@ y AS (SELECT exchange, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER () A
       FROM (SELECT security_id, arg_min(exchange, date) AS exchange FROM ret GROUP BY 1) GROUP BY exchange)"""))
 def a25_exchange(spark, sf):
     return present(P.exchange_shares(returns(spark, sf)), "exchange n:i share:8")
+
+
+@register("a25_sector_shares", sql("sector n:i share:8", "y", RET_SQL, """
+y AS (SELECT CASE WHEN c BETWEEN 100 AND 999 THEN 'agriculture' WHEN c BETWEEN 1000 AND 1499 THEN 'mining' WHEN c BETWEEN 1500 AND 1799 THEN 'construction'
+                  WHEN c BETWEEN 2000 AND 3999 THEN 'manufacturing' WHEN c BETWEEN 4000 AND 4999 THEN 'transport_utilities' WHEN c BETWEEN 5000 AND 5199 THEN 'wholesale'
+                  WHEN c BETWEEN 5200 AND 5999 THEN 'retail' WHEN c BETWEEN 6000 AND 6799 THEN 'finance' WHEN c BETWEEN 7000 AND 8999 THEN 'services'
+                  WHEN c BETWEEN 9100 AND 9729 THEN 'public' ELSE 'other' END AS sector, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER () AS share
+      FROM (SELECT security_id, arg_min(sic_code, date) AS c FROM ret GROUP BY 1) GROUP BY 1)"""))
+def a25_sectors(spark, sf):
+    return present(P.sector_shares(returns(spark, sf)), "sector n:i share:8")

@@ -3,9 +3,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 QUARTER_DAYS = 91.3
+# First and last industry code of each division of the standard industrial classification.
+SECTORS = {"agriculture": (100, 999), "mining": (1000, 1499), "construction": (1500, 1799), "manufacturing": (2000, 3999),
+           "transport_utilities": (4000, 4999), "wholesale": (5000, 5199), "retail": (5200, 5999), "finance": (6000, 6799),
+           "services": (7000, 8999), "public": (9100, 9729)}
 
 
 def alive_per_year(returns: DataFrame) -> DataFrame:
@@ -39,6 +43,8 @@ def publication_lags(fundamentals: DataFrame, percentiles: Sequence[float] = (0.
     return counts.groupBy("rows").agg(
         F.sum("n").alias("n_rows"), F.min("lag").alias("lag_min"), F.max("lag").alias("lag_max"),
         (F.sum(F.col("lag") * F.col("n")) / F.sum("n")).alias("lag_mean"),
+        F.sqrt((F.sum(F.col("lag") * F.col("lag") * F.col("n")) - F.pow(F.sum(F.col("lag") * F.col("n")), F.lit(2)) / F.sum("n"))
+               / F.nullif(F.sum("n") - 1, F.lit(0))).alias("lag_std"),
         *[F.percentile("lag", F.lit(p), F.col("n")).alias(f"lag_p{int(p * 100)}") for p in percentiles])
 
 
@@ -65,6 +71,7 @@ def returns_profile(returns: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"), F.countDistinct("security_id").alias("n_securities"),
         F.count(dead).alias("n_delistings"), F.avg(dead).alias("delisting_mean"), F.stddev_samp(dead).alias("delisting_std"),
         F.min(dead).alias("delisting_min"), F.max(dead).alias("delisting_max"),
+        *[F.percentile(dead, F.lit(p / 100)).alias(f"delisting_p{p}") for p in (25, 50, 75)],
         F.avg((F.col("price") < 1).cast("double")).alias("price_below_1_rate"))
 
 
@@ -91,6 +98,20 @@ def exchange_shares(returns: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.col("n") / total)
 
 
+def sector_of(code: Column) -> Column:
+    out = F.lit("other")
+    for name, (first, last) in SECTORS.items():
+        out = F.when(code.between(first, last), name).otherwise(out)
+    return out
+
+
+def sector_shares(returns: DataFrame) -> DataFrame:
+    """Share of securities per sector, by the industry code of a security's first row."""
+    first = returns.groupBy("security_id").agg(F.min_by("sic_code", "date").alias("_code"))
+    counts = first.groupBy(sector_of(F.col("_code")).alias("sector")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())
+
+
 def size_tilt(rankings: DataFrame, keys: Sequence[str] = ("sleeve",)) -> DataFrame:
     """Median capitalisation held against the ranked universe, and the share of picks in its smallest quarter.
 
