@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .kinds import DOUBLE, INT, struct
-from .words import mix
+from .words import HASH_SLOTS, likely_first, mix
 
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6, 7)   # first characters of a word, a stem where words are compounds
@@ -32,39 +32,34 @@ class Ftrl:
     l1: float = 1.5
     l2: float = 1.0
     epochs: int = 6
-    per_class: int = 3000
+    per_class: int = 2000
 
 
 class WordGrams:
     """Hashed features of texts. Words are hashed once per worker, up to a bound."""
 
-    def __init__(self, bits: int, limit: int = 250_000):
+    def __init__(self, bits: int, limit: int = 150_000):
         self._mask = np.uint64((1 << bits) - 1)
         self._limit = limit
-        self._reset()
-
-    def _reset(self) -> None:
         self._ids: dict[str, int] = {}
-        self._hashes: list[tuple[int, ...]] = []
-        self._table = np.empty((0, 1 + len(STEMS)), np.uint64)
+        self._table = np.empty((limit, 1 + len(STEMS)), np.uint64)
 
     def _id(self, word: str) -> int:
         i = self._ids.get(word)
         if i is None:
             i = self._ids[word] = len(self._ids)
+            if i == len(self._table):
+                self._table = np.concatenate([self._table, np.empty_like(self._table)])
             digest = xxhash.xxh3_64_intdigest
-            self._hashes.append((digest(word.encode()), *(digest(f"{k}:{word[:k]}".encode()) for k in STEMS)))
+            self._table[i] = (digest(word.encode()), *(digest(f"{k}:{word[:k]}".encode()) for k in STEMS))
         return i
 
     def words(self, text: str) -> np.ndarray:
         """One row of hashes per word: the word's and its stems'."""
-        if len(self._ids) > self._limit:
-            self._reset()
+        if len(self._ids) > self._limit - 10_000:
+            self._ids = {}
         found = WORD.findall(text.lower())
         ids = np.fromiter(map(self._id, found), dtype=np.int64, count=len(found))
-        if self._hashes:
-            self._table = np.concatenate([self._table, np.array(self._hashes, dtype=np.uint64)])
-            self._hashes = []
         return self._table[ids]
 
     def slots(self, text: str) -> tuple[np.ndarray, int]:
@@ -89,12 +84,15 @@ def features(grams: WordGrams, text: str) -> tuple[np.ndarray, np.ndarray]:
 def train(examples: list[tuple[str, int]], weights: tuple[float, float], p: Ftrl) -> tuple[np.ndarray, np.ndarray]:
     """Slots and weights that are not zero; the last slot is the bias. ``weights``: of an example of class 0 and 1."""
     grams, size = WordGrams(p.bits), 1 << p.bits
-    rows = [(*features(grams, t), y) for t, y in examples]
-    # grams of a single example can't be told from chance
+    # grams of a single example can't be told from chance; they are left out before anything is kept
     seen = np.zeros(size, np.int32)
-    for s, _, _ in rows:
-        seen[s] += 1
-    rows = [(s[k := seen[s] > 1], x[k], y) for s, x, y in rows]
+    for t, _ in examples:
+        seen[np.unique(grams.slots(t)[0])] += 1
+    rows = []
+    for t, y in examples:
+        s, x = features(grams, t)
+        k = seen[s] > 1
+        rows.append((s[k], x[k], y))
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     order = np.random.default_rng(7)
     bias = np.array([size], np.int32)
@@ -146,7 +144,8 @@ def learning_sample(filings: DataFrame, labels: DataFrame, per_class: int) -> Da
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = None
     for y, n in sorted(sizes.items()):
-        part = (known.where(F.col("toxic") == y).orderBy(F.xxhash64("filing_id"), "filing_id").limit(per_class)
+        part = (known.where((F.col("toxic") == y) & likely_first("filing_id", per_class, n))
+                .orderBy(F.pmod(F.xxhash64("filing_id"), F.lit(HASH_SLOTS)), "filing_id").limit(per_class)
                 .withColumn("weight", F.lit(n / min(n, per_class) * len(sizes) / sum(sizes.values()) * per_class / 2)))
         chosen = part if chosen is None else chosen.union(part)
     if chosen is None:
