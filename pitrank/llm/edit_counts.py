@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -82,7 +83,7 @@ class TokenTree:
 
 
 def count_tokens(texts: list[str], tokenizer: str) -> list[int]:
-    return [len(b) // 4 for b in encoder(tokenizer).encode(texts)]
+    return np.diff(encoder(tokenizer).encode(texts)[1]).tolist()
 
 
 def build_trees(texts: list[str], tokenizer: str) -> list[TokenTree]:

@@ -60,9 +60,9 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "tokens")
     token_orc.write_token_files(filings(spark, sf), path, vocabulary())
-    files = token_orc.token_starts(token_orc.read_token_files(spark, path))
-    return files.select(F.col("filing_id").alias("doc_id"), "start", "n_tokens",
-                        token_orc.ids_crc32("ids").alias("ids_crc32"))
+    files = token_orc.read_token_files(spark, path)
+    return (token_orc.token_starts(token_orc.token_digests(files), files)
+            .select(F.col("filing_id").alias("doc_id"), "start", "n_tokens", "ids_crc32"))
 
 
 @register("op3_edit_counts")

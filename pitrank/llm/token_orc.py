@@ -10,10 +10,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from .kinds import LONG
-from .tokens import encode_in_blocks
+from .kinds import INT, LONG, struct
+from .tokens import blocks_of, encoder
 
 TOKEN_FILES = T.StructType([
     T.StructField("filing_id", T.LongType()), T.StructField("n_tokens", T.LongType()),
@@ -30,19 +30,20 @@ def _encode_block(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                end = np.uint32(end_id).tobytes()
-                ids = [np.frombuffer(b + end, dtype="<i4") for b in encode_in_blocks(texts, tokenizer)]
-                sizes = np.array([len(i) for i in ids], dtype=np.int64)
-                ends = np.cumsum(sizes)
+            at = 0
+            for texts in blocks_of([t or "" for t in batch.column(1).to_pylist()]):
+                values, bounds = encoder(tokenizer).encode(texts)
+                n = len(texts)
+                ids = np.insert(values.view("<i4"), bounds[1:], end_id)
+                ends = bounds[1:] + np.arange(1, n + 1)
+                starts = np.concatenate([[0], ends[:-1]])
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array(sizes), pa.array(np.full(len(ids), block, dtype=np.int32)),
-                    pa.array(ends - sizes + start),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)),
-                                             pa.array(np.concatenate(ids)), type=_ARROW.field("ids").type)],
-                    schema=_ARROW)
+                    batch.column(0).slice(at, n), pa.array(ends - starts),
+                    pa.array(np.full(n, block, dtype=np.int32)), pa.array(starts + start),
+                    pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1]).astype(np.int32)), pa.array(ids),
+                                             type=_ARROW.field("ids").type)], schema=_ARROW)
                 start += int(ends[-1])
+                at += n
     return run
 
 
@@ -69,8 +70,8 @@ def read_token_files(spark: SparkSession, path: str, filing_ids: Iterable[int] |
     return rows if filing_ids is None else rows.where(F.col("filing_id").isin(list(filing_ids)))
 
 
-def token_starts(files: DataFrame) -> DataFrame:
-    """Adds ``start``: how many ids all documents before this one hold, across files.
+def token_starts(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds ``start`` to rows of token files: how many ids all documents before this one hold, across files.
 
     Offsets of files are one row per file (as many as write tasks), summed in the order of their ranges.
     """
@@ -78,18 +79,22 @@ def token_starts(files: DataFrame) -> DataFrame:
     # one row per written file, whatever the number of documents: a running sum and a broadcast are safe
     earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    return (files.join(F.broadcast(offsets), "block")
+    return (rows.join(F.broadcast(offsets), "block")
             .withColumn("start", F.col("_before") + F.col("block_start")).drop("_before"))
 
 
-@F.arrow_udf(LONG)
-def _crc32(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+DIGESTS = struct(filing_id=LONG, n_tokens=LONG, block=INT, block_start=LONG, ids_crc32=LONG)
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-        at = batch.offsets.to_numpy()
-        yield pa.array([zlib.crc32(ids[a:b]) for a, b in zip(at[:-1], at[1:])], type=pa.int64())
+        lists = batch.column("ids")
+        ids = lists.values.to_numpy(zero_copy_only=False).view("<u4")
+        at = lists.offsets.to_numpy()
+        crc = pa.array([zlib.crc32(ids[a:b]) for a, b in zip(at[:-1], at[1:])], type=pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in DIGESTS.names[:-1]), crc], names=DIGESTS.names)
 
 
-def ids_crc32(ids: Column | str) -> Column:
-    """Unsigned CRC-32 of ids as little-endian unsigned 32-bit integers."""
-    return _crc32(ids)
+def token_digests(files: DataFrame) -> DataFrame:
+    """The files' rows with ``ids_crc32`` instead of ids: unsigned CRC-32 of them as little-endian 32-bit integers."""
+    return files.select("filing_id", "n_tokens", "block", "block_start", "ids").mapInArrow(_digest, DIGESTS)

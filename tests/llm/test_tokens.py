@@ -32,28 +32,34 @@ def random_text(r: random.Random, n: int) -> str:
 def test_units_join_to_whole_text_encoding(plain):
     r = random.Random(1)
     texts = [ODD, "", " ", "x", " x"] + [random_text(r, r.randint(0, 60)) for _ in range(500)]
-    for text, ids in zip(texts, encoder(VOCABULARY).encode(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == plain(text), repr(text)
+    ids, bounds = encoder(VOCABULARY).encode(texts)
+    for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        assert ids[a:b].tolist() == plain(text), repr(text)
+    assert encoder(VOCABULARY).encode([])[1].tolist() == [0]
 
 
 def test_token_files_round_trip(spark, plain):
     rows = odd_rows() + [(9, ODD)]
     path = new_path(spark, "test")
     O.write_token_files(filings(spark, rows), path, VOCABULARY)
-    got = O.token_starts(O.read_token_files(spark, path)).withColumn("crc", O.ids_crc32("ids"))
+    files = O.read_token_files(spark, path)
+    got = O.token_starts(files, files)
     got = [r.asDict() for r in got.orderBy(F.col("filing_id").asc_nulls_first(), "start").collect()]
+    digests = O.token_starts(O.token_digests(files), files).orderBy(F.col("filing_id").asc_nulls_first(), "start").collect()
     start = 0
-    for (doc, text, *_), r in zip(sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)), got, strict=True):
+    for (doc, text, *_), r, q in zip(sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)), got, digests, strict=True):
         ids = plain(text or "") + [2]
         assert (r["filing_id"], r["ids"], r["n_tokens"], r["start"]) == (doc, ids, len(ids), start)
-        assert r["crc"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+        assert (q["filing_id"], q["start"]) == (doc, start)
+        assert q["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
     one = O.read_token_files(spark, path, [4, 77])
     assert [r[0] for r in one.select("filing_id").collect()] == [4]
     assert "PushedFilters: [In(filing_id" in one._jdf.queryExecution().toString()
     empty = new_path(spark, "test")
     O.write_token_files(filings(spark, []), empty, VOCABULARY)
-    assert O.token_starts(O.read_token_files(spark, empty)).count() == 0
+    none = O.read_token_files(spark, empty)
+    assert O.token_starts(O.token_digests(none), none).count() == 0
 
 
 def test_edits_keep_counts_right(plain):
