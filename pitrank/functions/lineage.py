@@ -2,10 +2,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``; without one nothing can be shared, so that is an error.
@@ -19,7 +23,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, kind: str = "table") -> str:
-    return f"{shared_folder(spark)}/pitrank-{kind}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/pitrank-{kind}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+@contextmanager
+def tables_of_a_run(spark: SparkSession) -> Iterator[None]:
+    """Removes, at the end, every table that was written in between. Results must have been used up by then."""
+    first = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[first:]:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        del _written[first:]
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as entry
 import catalog
 from conftest import SF
+from pitrank.functions.lineage import materialize, shared_folder, tables_of_a_run
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SAMPLE = ["j01_asof_fundamentals", "a01_rank_sum", "p12_backtest_monthly", "v16_ttm_durations", "v20_shares_asof", "q13_momentum_audit",
@@ -34,6 +35,16 @@ def test_entry_works_without_the_optional_part(monkeypatch):
         importlib.reload(entry)
 
 
+def test_tables_of_a_run_are_removed(spark):
+    from pathlib import Path
+    folder = Path(shared_folder(spark))
+    before = set(folder.iterdir())
+    with tables_of_a_run(spark):
+        kept = materialize(spark.range(5))
+        assert kept.count() == 5 and set(folder.iterdir()) > before
+    assert set(folder.iterdir()) == before
+
+
 @pytest.mark.parametrize("name", SAMPLE)
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
