@@ -21,8 +21,9 @@ LEAF_CHARS = 256
 CUT = re.compile(r"(?<=\S)[ \t\r\n]")
 
 EDITS = T.ArrayType(struct(start=INT, stop=INT, replacement=STRING))
-COUNTS = struct(n_tokens=LONG, n_edits=LONG, n_tokens_edited=LONG, n_chars_edited=LONG, n_chars_reencoded=LONG,
-                n_leaves=LONG)
+# The leaves of a document's tree; sums above them are added up again when it is read.
+TREE = struct(leaf_chars=T.ArrayType(INT), leaf_tokens=T.ArrayType(INT))
+EDITED = struct(document=STRING, tree=TREE, n_tokens=LONG, n_edits=LONG, n_chars=LONG, n_chars_reencoded=LONG)
 
 
 def cut_leaves(text: str, size: int = LEAF_CHARS) -> list[str]:
@@ -123,32 +124,53 @@ def apply_edit(text: str, tree: TokenTree, start: int, stop: int, replacement: s
     return edited, tree, len(region)
 
 
-def edited_counts(document: Column | str, edits: Column | str, tokenizer: str) -> Column:
-    """Token counts before and after a filing's edits: a struct.
+def _leaf_arrays(trees: list[TokenTree]) -> list[tuple]:
+    return [tuple(map(list, zip(*(t.leaves() or [(0, 0)])))) for t in trees]
 
-    ``n_tokens`` of the text as it is, ``n_edits`` applied, ``n_tokens_edited`` and ``n_chars_edited`` of the text after
-    them, ``n_chars_reencoded`` in touched regions and ``n_leaves`` of the first tree. Edits are applied in the order of
-    the array; positions beyond the text are moved to its end, a stop before the start to the start. NULL documents
-    count as empty, NULL edits or replacements as none or empty; empty texts have a tree of one empty leaf. Repeated
-    rows give equal results, other columns are not looked at, and long texts cost one descent and one path per edit.
+
+def token_trees(document: Column | str, tokenizer: str) -> Column:
+    """The token tree of a filing's text, to be stored next to it: a struct of its leaves' characters and tokens.
+
+    NULL and empty texts have one empty leaf. The token count of a text is the sum of ``leaf_tokens``.
+    """
+    @F.arrow_udf(TREE)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            built = []
+            for i in range(0, len(batch), 500):
+                built += _leaf_arrays(build_trees([t or "" for t in batch.slice(i, 500).to_pylist()], tokenizer))
+            yield rows(TREE, built)
+    return run(document)
+
+
+def edited(document: Column | str, tree: Column | str, edits: Column | str, tokenizer: str) -> Column:
+    """A filing after its edits: a struct of the text, its tree, and counts.
+
+    ``tree`` is the stored tree of ``document``; where it is NULL or does not fit the text it is built. ``n_tokens`` and
+    ``n_chars`` are of the edited text, ``n_edits`` were applied and ``n_chars_reencoded`` lay in touched regions. Edits
+    are applied in the order of the array; positions beyond the text are moved to its end, a stop before the start to
+    the start. NULL documents count as empty, NULL edits or replacements as none or empty. Repeated rows give equal
+    results, other columns are not looked at, and long texts cost one descent and one path per edit.
     """
-    @F.arrow_udf(COUNTS)
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, changes in batches:
-            counted = []
-            for i in range(0, len(texts), 500):
-                block = [t or "" for t in texts.slice(i, 500).to_pylist()]
-                for text, tree, edits_of in zip(block, build_trees(block, tokenizer),
-                                                changes.slice(i, 500).to_pylist()):
-                    n, leaves, again = tree.tokens, len(tree.leaves()), 0
-                    edits_of = [e for e in edits_of or [] if e]
-                    for e in edits_of:
-                        text, tree, k = apply_edit(text, tree, e["start"] or 0, e["stop"] or 0,
-                                                   e["replacement"] or "", tokenizer)
-                        again += k
-                    counted.append((n, len(edits_of), tree.tokens, tree.chars, again, leaves))
-            yield rows(COUNTS, counted)
-    return run(document, edits)
+    @F.arrow_udf(EDITED)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, trees, changes in batches:
+            done = []
+            for text, leaves, edits_of in zip(texts.to_pylist(), trees.to_pylist(), changes.to_pylist()):
+                text = text or ""
+                kept = TokenTree(list(zip(leaves["leaf_chars"], leaves["leaf_tokens"]))) if leaves else None
+                if kept is None or kept.chars != len(text):
+                    kept = build_trees([text], tokenizer)[0]
+                edits_of, again = [e for e in edits_of or [] if e], 0
+                for e in edits_of:
+                    text, kept, n = apply_edit(text, kept, e["start"] or 0, e["stop"] or 0, e["replacement"] or "",
+                                               tokenizer)
+                    again += n
+                chars, tokens = _leaf_arrays([kept])[0]
+                done.append((text, {"leaf_chars": chars, "leaf_tokens": tokens}, kept.tokens, len(edits_of), kept.chars,
+                             again))
+            yield rows(EDITED, done)
+    return run(document, tree, edits)
 
 
 LONG_NUMBER = re.compile(r"[0-9](?:[ -]?[0-9]){6,}")

@@ -86,17 +86,23 @@ def test_small_edits_touch_little():
     assert again < 4 * E.LEAF_CHARS
 
 
-def test_edited_counts_of_odd_rows(spark, plain):
+def test_stored_trees_and_edits_of_odd_rows(spark, plain):
     text = "Call 555 123 4567\nsame line\nother\nsame line\nend 1234567890"
-    rows = odd_rows() + [(9, text)]
-    df = filings(spark, rows).withColumn("edits", E.redactions("document"))
-    got = {r[0]: r for r in table(df.select("filing_id", E.edited_counts("document", "edits", VOCABULARY).alias("c"))
-                                  .select("filing_id", "c.*"))}
-    assert len(got) == len({x[0] for x in rows})
-    for doc, body, *_ in rows:
-        assert got[doc][1] == len(plain(body or ""))
+    kept = odd_rows() + [(9, text)]
+    df = filings(spark, kept).withColumn("edits", E.redactions("document")).withColumn("tree", E.token_trees("document", VOCABULARY))
+    path = new_path(spark, "trees")
+    df.write.parquet(path)  # trees are kept next to the texts and used later
+    stored = spark.read.parquet(path)
+    got = {r["filing_id"]: r for r in stored.select("filing_id", "tree", E.edited("document", "tree", "edits", VOCABULARY).alias("e"))
+           .select("filing_id", "tree", F.col("e.tree").alias("after"), "e.document", "e.n_tokens", "e.n_edits", "e.n_chars",
+                   "e.n_chars_reencoded").collect()}
+    assert len(got) == len({x[0] for x in kept})
+    for doc, body, *_ in kept:
+        assert sum(got[doc]["tree"]["leaf_tokens"]) == len(plain(body or ""))
+        assert sum(got[doc]["tree"]["leaf_chars"]) == len(body or "")
+        assert sum(got[doc]["after"]["leaf_tokens"]) == got[doc]["n_tokens"] == len(plain(got[doc]["document"]))
     after = "Call <number>\nsame line\nother\nend <number>"
-    assert got[9][2:5] == (3, len(plain(after)), len(after))
-    none = filings(spark, [(1, "a b")]).withColumn("edits", F.lit(None).cast(E.EDITS))
-    assert table(none.select(E.edited_counts("document", "edits", VOCABULARY)["n_tokens_edited"])) == [(2,)]
-    assert df.limit(0).select(E.edited_counts("document", "edits", VOCABULARY)).count() == 0
+    assert (got[9]["document"], got[9]["n_edits"], got[9]["n_tokens"]) == (after, 3, len(plain(after)))
+    none = filings(spark, [(1, "a b")]).withColumn("edits", F.lit(None).cast(E.EDITS)).withColumn("tree", F.lit(None).cast(E.TREE))
+    assert table(none.select(E.edited("document", "tree", "edits", VOCABULARY)["n_tokens"])) == [(2,)]
+    assert df.limit(0).select(E.edited("document", "tree", "edits", VOCABULARY)).count() == 0
