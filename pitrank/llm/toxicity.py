@@ -72,7 +72,7 @@ class WordGrams:
 
 def strength(counts: np.ndarray, n_words: int) -> np.ndarray:
     """Feature value of a gram's count: near 0 for a stray word in a long text, towards 1 where it is frequent."""
-    return counts / (counts + 1.0 + 0.01 * n_words)
+    return counts / (counts + 1.0 + 0.002 * n_words)
 
 
 def features(grams: WordGrams, text: str) -> tuple[np.ndarray, np.ndarray]:
