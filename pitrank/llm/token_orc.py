@@ -31,7 +31,7 @@ def _encode_block(tokenizer: str, end_id: int):
         block, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             at = 0
-            for texts in blocks_of([t or "" for t in batch.column(1).to_pylist()]):
+            for texts in blocks_of(batch.column(1)):
                 values, bounds = encoder(tokenizer).encode(texts)
                 n = len(texts)
                 ids = np.insert(values.view("<i4"), bounds[1:], end_id)

@@ -1,8 +1,9 @@
 """Token ids of filing documents with a public byte-level BPE vocabulary, unit by unit.
 
 A position before white space that follows no white space is a pre-token boundary whatever surrounds it: pre-tokens hold
-white space at their start only. Texts are cut there at spaces and line ends, each distinct unit is encoded by the
-tokenizers library once per worker and remembered up to a bound, and the ids of a text are its units' ids in order.
+white space at their start only. Texts are cut there at spaces and line ends, and before marks that end a word; each
+distinct unit is encoded by the tokenizers library once per worker and remembered up to a bound, and the ids of a text
+are its units' ids in order.
 """
 from __future__ import annotations
 
@@ -16,11 +17,12 @@ import regex
 
 # White space after white space is no safe cut; texts that hold such runs are encoded as a whole.
 RUN = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]{2}"
-# Marks the first unit of a text, which has no white space before it.
-BEGIN = "\x00"
+# Starts a unit that has no white space before it: a text's first one, and a mark after a letter or digit.
+BARE = "\x01"
 # Fixed value: the pre-token pattern of byte-level BPE vocabularies.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-MARKS = frozenset(".,;:!?")
+# A mark that ends a word is a pre-token of its own. The class is of letters and digits all regex engines agree on.
+ENDING = r"([0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])([.,;:!?])( |$)"
 # Up to here Unicode versions agree on what a letter, a number and white space is.
 PLAIN_BELOW = "\u0250"
 
@@ -35,7 +37,7 @@ def byte_letters() -> dict[int, int]:
 class UnitEncoder:
     """Encodes texts as unsigned 32-bit ids."""
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
@@ -53,7 +55,7 @@ class UnitEncoder:
         # the short way is taken only with the pre-tokenizer it knows
         sample = "It's 12 fine,  naïve\n\n tests of (x) .\t"
         self._plain = self._by_pre_tokens(sample) == self._whole([sample])[0]
-        self._marks = {m: self._pre_token(m) for m in MARKS} if self._plain else {}
+        self._line_end = self._pre_token("\n")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes()
@@ -72,18 +74,16 @@ class UnitEncoder:
         return b"".join(map(self._pre_token, PRE_TOKEN.findall(text)))
 
     def _unit(self, unit: str) -> bytes:
-        """Ids of a unit: what follows a space (which belongs to it), a line end and what follows, or a text's begin."""
+        """Ids of a unit: what follows a space (which belongs to it), a line end and what follows, or bare text."""
+        first, rest = unit[:1], unit[1:]
+        text = rest if first == BARE else unit if first == "\n" else " " + unit
         if not (unit.isascii() or max(unit) < PLAIN_BELOW):
-            return self._whole([unit[1:] if unit[0] == BEGIN else unit if unit[0] == "\n" else " " + unit])[0]
+            return self._whole([text])[0]
         if unit.isalpha():
             return self._spaced_letters(unit)
-        core = unit[:-1]
-        if unit[-1:] in self._marks and core.isalpha():
-            ids = self._known.get(core)
-            if ids is None:
-                ids = self._known[core] = self._spaced_letters(core)
-            return ids + self._marks[unit[-1]]
-        return self._by_pre_tokens(unit[1:] if unit[:1] == BEGIN else unit if unit[:1] == "\n" else " " + unit)
+        if first == "\n" and rest.isalpha():
+            return self._line_end + self._pre_token(rest)
+        return self._by_pre_tokens(text)
 
     def _find(self, units: list[str]) -> list[bytes]:
         known = self._known
@@ -110,9 +110,9 @@ class UnitEncoder:
         Cutting, finding distinct units and putting ids together are vectorised; only distinct units are looked up.
         """
         odd = pc.match_substring_regex(pa.array(texts, pa.string()), RUN).to_pylist()
-        short = [bool(t) and self._plain and BEGIN not in t and not o for t, o in zip(texts, odd)]
-        cut = pc.split_pattern(pc.replace_substring(pa.array([BEGIN + t for t, s in zip(texts, short) if s], pa.string()),
-                                                    "\n", " \n"), " ")
+        short = [bool(t) and self._plain and BARE not in t and not o for t, o in zip(texts, odd)]
+        marked = pc.replace_substring(pa.array([BARE + t for t, s in zip(texts, short) if s], pa.string()), "\n", " \n")
+        cut = pc.split_pattern(pc.replace_substring_regex(marked, ENDING, rf"\1 {BARE}\2\3"), " ")
         coded = cut.flatten().dictionary_encode()
         codes = coded.indices.to_numpy()
         ids = self._find(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
@@ -137,12 +137,12 @@ def encoder(path: str) -> UnitEncoder:
     return UnitEncoder(path)
 
 
-def blocks_of(texts: list[str], chars: int = 4_000_000):
-    """Texts in blocks of about so many characters, to bound what is worked on at once."""
+def blocks_of(texts: pa.Array, chars: int = 5_000_000):
+    """Texts in blocks of about so many characters, to bound what is held and worked on at once; NULL is empty."""
     block, size = [], 0
-    for t in texts:
-        block.append(t)
-        size += len(t)
+    for text in texts:
+        block.append(text.as_py() or "")
+        size += len(block[-1])
         if size >= chars:
             yield block
             block, size = [], 0
