@@ -23,7 +23,8 @@ CUT = re.compile(r"(?<=\S)[ \t\r\n]")
 EDITS = T.ArrayType(struct(start=INT, stop=INT, replacement=STRING))
 # The leaves of a document's tree; sums above them are added up again when it is read.
 TREE = struct(leaf_chars=T.ArrayType(INT), leaf_tokens=T.ArrayType(INT))
-EDITED = struct(document=STRING, tree=TREE, n_tokens=LONG, n_edits=LONG, n_chars=LONG, n_chars_reencoded=LONG)
+EDITED = struct(tree=TREE, n_tokens_before=LONG, n_leaves_before=LONG, n_tokens=LONG, n_edits=LONG, n_chars=LONG,
+                n_chars_reencoded=LONG)
 
 
 def cut_leaves(text: str, size: int = LEAF_CHARS) -> list[str]:
@@ -143,11 +144,33 @@ def token_trees(document: Column | str, tokenizer: str) -> Column:
     return run(document)
 
 
+def _with_trees(texts: pa.Array, trees: pa.Array, changes: pa.Array, tokenizer: str):
+    """(text, tree, edits) of each row; trees that are not stored are built, many texts at a time."""
+    for i in range(0, len(texts), 500):
+        block = [t or "" for t in texts.slice(i, 500).to_pylist()]
+        kept = [TokenTree(list(zip(x["leaf_chars"], x["leaf_tokens"]))) if x else None
+                for x in trees.slice(i, 500).to_pylist()]
+        lacking = [k for k, (t, x) in enumerate(zip(block, kept)) if x is None or x.chars != len(t)]
+        for k, tree in zip(lacking, build_trees([block[k] for k in lacking], tokenizer)):
+            kept[k] = tree
+        yield from zip(block, kept, changes.slice(i, 500).to_pylist())
+
+
+def edited_text(text: str | None, edits: list[dict] | None) -> str:
+    """The text after edits, without any counting."""
+    text = text or ""
+    for e in edits or []:
+        a = min(max(e["start"] or 0, 0), len(text))
+        text = text[:a] + (e["replacement"] or "") + text[min(max(e["stop"] or 0, a), len(text)):]
+    return text
+
+
 def edited(document: Column | str, tree: Column | str, edits: Column | str, tokenizer: str) -> Column:
-    """A filing after its edits: a struct of the text, its tree, and counts.
+    """The tree of a filing after its edits, and counts: a struct.
 
-    ``tree`` is the stored tree of ``document``; where it is NULL or does not fit the text it is built. ``n_tokens`` and
-    ``n_chars`` are of the edited text, ``n_edits`` were applied and ``n_chars_reencoded`` lay in touched regions. Edits
+    ``tree`` is the stored tree of ``document``; where it is NULL or does not fit the text it is built. ``n_tokens_before``
+    and ``n_leaves_before`` are of the text as it is, ``n_tokens`` and ``n_chars`` of the edited text; ``n_edits`` were
+    applied and ``n_chars_reencoded`` lay in touched regions. Edits
     are applied in the order of the array; positions beyond the text are moved to its end, a stop before the start to
     the start. NULL documents count as empty, NULL edits or replacements as none or empty. Repeated rows give equal
     results, other columns are not looked at, and long texts cost one descent and one path per edit.
@@ -156,19 +179,16 @@ def edited(document: Column | str, tree: Column | str, edits: Column | str, toke
     def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, trees, changes in batches:
             done = []
-            for text, leaves, edits_of in zip(texts.to_pylist(), trees.to_pylist(), changes.to_pylist()):
-                text = text or ""
-                kept = TokenTree(list(zip(leaves["leaf_chars"], leaves["leaf_tokens"]))) if leaves else None
-                if kept is None or kept.chars != len(text):
-                    kept = build_trees([text], tokenizer)[0]
+            for text, kept, edits_of in _with_trees(texts, trees, changes, tokenizer):
                 edits_of, again = [e for e in edits_of or [] if e], 0
+                before, leaves_before = kept.tokens, len(kept.leaves())
                 for e in edits_of:
                     text, kept, n = apply_edit(text, kept, e["start"] or 0, e["stop"] or 0, e["replacement"] or "",
                                                tokenizer)
                     again += n
                 chars, tokens = _leaf_arrays([kept])[0]
-                done.append((text, {"leaf_chars": chars, "leaf_tokens": tokens}, kept.tokens, len(edits_of), kept.chars,
-                             again))
+                done.append(({"leaf_chars": chars, "leaf_tokens": tokens}, before, leaves_before, kept.tokens,
+                             len(edits_of), kept.chars, again))
             yield rows(EDITED, done)
     return run(document, tree, edits)
 

@@ -93,16 +93,19 @@ def test_stored_trees_and_edits_of_odd_rows(spark, plain):
     path = new_path(spark, "trees")
     df.write.parquet(path)  # trees are kept next to the texts and used later
     stored = spark.read.parquet(path)
-    got = {r["filing_id"]: r for r in stored.select("filing_id", "tree", E.edited("document", "tree", "edits", VOCABULARY).alias("e"))
-           .select("filing_id", "tree", F.col("e.tree").alias("after"), "e.document", "e.n_tokens", "e.n_edits", "e.n_chars",
-                   "e.n_chars_reencoded").collect()}
+    got = {r["filing_id"]: r for r in stored.select("filing_id", "tree", "document", "edits", E.edited("document", "tree", "edits", VOCABULARY).alias("e"))
+           .select("filing_id", "tree", "document", "edits", F.col("e.tree").alias("after"), "e.n_tokens_before", "e.n_tokens",
+                   "e.n_edits", "e.n_chars", "e.n_chars_reencoded").collect()}
     assert len(got) == len({x[0] for x in kept})
     for doc, body, *_ in kept:
         assert sum(got[doc]["tree"]["leaf_tokens"]) == len(plain(body or ""))
         assert sum(got[doc]["tree"]["leaf_chars"]) == len(body or "")
-        assert sum(got[doc]["after"]["leaf_tokens"]) == got[doc]["n_tokens"] == len(plain(got[doc]["document"]))
+        text_after = E.edited_text(body, [e.asDict() for e in got[doc]["edits"]])
+        assert sum(got[doc]["after"]["leaf_tokens"]) == got[doc]["n_tokens"] == len(plain(text_after))
+        assert got[doc]["n_tokens_before"] == len(plain(body or "")) and got[doc]["n_chars"] == len(text_after)
     after = "Call <number>\nsame line\nother\nend <number>"
-    assert (got[9]["document"], got[9]["n_edits"], got[9]["n_tokens"]) == (after, 3, len(plain(after)))
+    assert E.edited_text(text, [e.asDict() for e in got[9]["edits"]]) == after
+    assert (got[9]["n_edits"], got[9]["n_tokens"]) == (3, len(plain(after)))
     none = filings(spark, [(1, "a b")]).withColumn("edits", F.lit(None).cast(E.EDITS)).withColumn("tree", F.lit(None).cast(E.TREE))
     assert table(none.select(E.edited("document", "tree", "edits", VOCABULARY)["n_tokens"])) == [(2,)]
     assert df.limit(0).select(E.edited("document", "tree", "edits", VOCABULARY)).count() == 0
