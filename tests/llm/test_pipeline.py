@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
-from pitrank.llm import decontaminate as D, mixing, queries, shards, simhash
+from pitrank.llm import decontaminate as D, mixing, queries, shards
 
 from test_decontaminate import distance
 from test_simhash import classes, plain_fingerprint

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pitrank.llm import shards as H
 
 from helpers import d, returns_df
-from texts import filings, odd_rows, table
+from texts import filings, odd_rows
 
 NAMES = [f"s{i}" for i in range(7)]
 
