@@ -46,9 +46,16 @@ _CLASS = _class_table()
 
 @dataclass(frozen=True)
 class Divergence:
-    """Limits of the rule. A histogram of too few characters or common words is no evidence and is not judged."""
+    """Limits of the rule. A histogram of too few characters or common words is no evidence and is not judged.
+
+    Common words hold only a part of a language's words, so the word distance of a text without any of them is bounded
+    by that part. ``min_common`` is a limit of its own: the least share of common words, as a part of the language's.
+    It is not judged where a text of that length should hold fewer than ``min_expected`` of them.
+    """
     max_characters: float = 0.30
     max_words: float = 0.45
+    min_common: float = 0.2
+    min_expected: float = 10
     min_characters: int = 200
     min_words: int = 50
 
@@ -195,11 +202,14 @@ class Judge:
         self.common = [{np.uint64(np.int64(b)): i for b, i in w.items()} for w in references.words]
         self.common = [{int(b): i for b, i in w.items()} for w in self.common]
 
-    def distances(self, text: bytes) -> tuple[str | None, float | None, float | None]:
-        """Nearest language and both distances to it; nothing where no reference or too little text is there."""
+    def distances(self, text: bytes) -> tuple[str | None, float | None, float | None, float, float]:
+        """Nearest language, both distances to it, the text's common words and how many it should have by its length.
+
+        Nothing where no reference is there.
+        """
         ref = self.references
         if not ref.languages:
-            return None, None, None
+            return None, None, None, 0.0, 0.0
         words = self.hashes.of(lowered_words(text)).tolist()
         best = None
         of_characters = jensen_shannon(character_counts(text), ref.characters)
@@ -210,9 +220,10 @@ class Judge:
             for k, n in inside.items():
                 h[k] = n
             h[-1] = len(words) - sum(inside.values())
-            d = (float(jensen_shannon(h, ref.word_shares[i][None])[0]), float(of_characters[i]), ref.languages[i])
+            d = (float(jensen_shannon(h, ref.word_shares[i][None])[0]), float(of_characters[i]), ref.languages[i],
+                 float(h[:-1].sum()), len(words) * float(1 - ref.word_shares[i][-1]))
             best = d if best is None or d < best else best
-        return best[2], best[1], best[0]
+        return best[2], best[1], best[0], best[3], best[4]
 
     def measure(self, text: bytes) -> tuple:
         words = words_of(text)
@@ -220,11 +231,12 @@ class Judge:
         word_chars = len(b"".join(words).decode("utf-8", "replace")) if not text.isascii() else sum(map(len, words))
         repeats = repeated_window_words(self.hashes.of(words))
         failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
-        lang, by_character, by_word = self.distances(text) if n else (None, None, None)
+        lang, by_character, by_word, common, expected = self.distances(text) if n else (None, None, None, 0.0, 0.0)
         p = self.limits
         far = lang is not None and (
             (len(text) >= p.min_characters and by_character > p.max_characters)
-            or (n >= p.min_words and by_word > p.max_words))
+            or (n >= p.min_words and by_word > p.max_words)
+            or (n >= p.min_words and expected >= p.min_expected and common < p.min_common * expected))
         return (n, word_chars, sum(text.count(bytes([s])) for s in SYMBOLS), duplicate_lines(text), repeats, failed,
                 lang, by_character, by_word, not failed and not far)
 
@@ -234,9 +246,9 @@ def quality(document: Column | str, references: References, limits: Divergence =
 
     Base rules: fewer than MIN_WORDS words, or more than half of the words in repeated 3-word windows, fail. Other
     texts are compared with every language's reference; the nearest counts, and a text is kept unless its character
-    classes or its common words are farther from it than the limits allow. Histograms of few characters or words are
-    not judged, and without references every text that passes the base rules is kept. NULL and empty texts have no
-    words and fail. Whole texts are read; repeated rows get equal results; other columns are not looked at.
+    classes or its common words are farther from it than the limits allow, or it holds far too few common words.
+    Histograms of few characters or words are not judged, and without references every text that passes the base rules
+    is kept. NULL and empty texts have no words and fail. Whole texts are read; repeated rows get equal results; other columns are not looked at.
     """
     state: list[Judge] = []
 

@@ -78,3 +78,24 @@ def test_short_texts_are_not_judged_by_histograms():
     guarded = Q.Divergence(0.1, 0.1, min_characters=1000, min_words=1000)
     text = " ".join(str(i) for i in range(60)).encode()
     assert far and not Q.Judge(ref, strict).measure(text)[-1] and Q.Judge(ref, guarded).measure(text)[-1]
+
+
+def test_texts_without_common_words_are_rejected():
+    """Common words hold 29 % of the language: their absence is a distance of 0.40 only, below the limit on distances."""
+    from pitrank.llm.words import WordHashes
+    common = [f"w{i}".encode() for i in range(40)]
+    hashes = WordHashes().of(common).view(np.int64).tolist()
+    shares = np.array([0.29 / 40] * 40 + [0.71])
+    text = " ".join(f"gibber{i}," for i in range(200)).encode()
+    classes = Q.character_counts(text) / Q.character_counts(text).sum()
+    judge = Q.Judge(Q.References(["en"], classes[None], [dict(zip(hashes, range(40)))], [shares]), Q.Divergence())
+    assert 0.39 < judge.distances(text)[2] < 0.45
+    assert not judge.measure(text)[-1]
+    r = np.random.default_rng(3)
+    good = [[common[r.integers(40)].decode() if r.random() < 0.29 else f"gibbes{r.integers(1000)}," for _ in range(n)]
+            for n in (50, 60, 200, 2000) for _ in range(40)]
+    measured = [judge.measure(" ".join(g).encode()) for g in good]
+    assert all(m[-1] for m in measured), [m for m in measured if not m[-1]]
+    # a language of rare words only is no evidence
+    thin = Q.Judge(Q.References(["zh"], classes[None], [{hashes[0]: 0}], [np.array([0.01, 0.99])]), Q.Divergence())
+    assert thin.measure(text)[-1]
