@@ -112,8 +112,10 @@ def mixing_plan(sized: DataFrame, targets: DataFrame, p: Mix) -> DataFrame:
     """One row per membership pattern: which of its filings the mix takes, as limits on the seeded key.
 
     ``full`` copies of everything, and one more of filings before (``cut_key``) and of those in ``fill``. The crossing
-    point is found from sums of 4096 key ranges and then inside one of them, so no source is ordered as a whole; what is
-    missing at the crossing is closed by the filings that fit best.
+    point is found from sums of 4096 key ranges and then inside one of them, so no source is ordered as a whole. What is
+    missing at the crossing is closed by the ``refinements`` filings that fit best; where filings that fit are left then,
+    they are taken in seeded order, skipping what is larger than the gap, until none fits (``runs``: filings after
+    ``low`` up to ``high`` of at most ``most`` words), and one more filing is taken if that comes nearer.
     """
     by_pattern = sized.groupBy("pattern").agg(F.sum("size").alias("size"))
     flows = pattern_flows(by_pattern, targets, p)
@@ -145,17 +147,71 @@ def mixing_plan(sized: DataFrame, targets: DataFrame, p: Mix) -> DataFrame:
         F.when(F.col("_b").isNull(), 0.0)
         .otherwise(F.col("rest") - F.coalesce("_sum", "_before", F.lit(0))).alias("gap"),
         F.array().cast("array<bigint>").alias("fill"))
+    plan = plan.withColumn("runs", F.array().cast(RUNS))
+    by_key = sized.groupBy("pattern", "key").agg(F.sum("size").alias("size"))
     for _ in range(p.refinements):
+        plan = best_fit(by_key, materialize(plan))
+    while True:
         plan = materialize(plan)
-        left = sized.groupBy("pattern", "key").agg(F.sum("size").alias("size")).join(plan, "pattern").where(
-            "key > cut_key AND gap > 0 AND NOT array_contains(fill, key) AND abs(size - gap) < abs(gap)")
-        best = (left.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("_d"), "key",
-                                                           "size")).alias("_f")))
-        plan = plan.join(best, "pattern", "left").select(
-            "pattern", "full", "cut_key",
-            (F.col("gap") - F.coalesce("_f.size", F.lit(0))).alias("gap"),
-            F.when(F.col("_f").isNull(), F.col("fill")).otherwise(F.array_append("fill", F.col("_f.key"))).alias("fill"))
-    return materialize(plan.select("pattern", "full", "cut_key", "fill"))
+        fits = by_key.join(plan.where("gap > 0"), "pattern").where(
+            (F.col("size") > 0) & (F.col("size") <= F.col("gap")) & ~is_extra(F.col("key"), F.col("size"), plan_of()))
+        if fits.isEmpty():
+            return materialize(best_fit(by_key, plan).select("pattern", "full", "cut_key", "fill", "runs"))
+        plan = next_run(fits, plan)
+
+
+RUNS = "array<struct<low: bigint, high: bigint, most: bigint>>"
+PLAN = ("full", "cut_key", "fill", "runs")
+
+
+def plan_of() -> Column:
+    return F.struct(*PLAN)
+
+
+def is_extra(key: Column, size: Column, plan: Column) -> Column:
+    """Whether the plan takes one copy more of the filings with this key, which have ``size`` words together."""
+    return ((key <= plan["cut_key"]) | F.array_contains(plan["fill"], key)
+            | F.exists(plan["runs"], lambda r: (key > r["low"]) & (key <= r["high"]) & (size <= r["most"])))
+
+
+def best_fit(by_key: DataFrame, plan: DataFrame) -> DataFrame:
+    """The plan with one more filing per pattern: the one that comes nearest, if it comes nearer than none."""
+    left = by_key.join(plan, "pattern").where(
+        (F.col("gap") > 0) & (F.abs(F.col("size") - F.col("gap")) < F.abs("gap"))
+        & ~is_extra(F.col("key"), F.col("size"), plan_of()))
+    best = (left.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("_d"), "key",
+                                                       "size")).alias("_f")))
+    return plan.join(best, "pattern", "left").select(
+        "pattern", "full", "cut_key", (F.col("gap") - F.coalesce("_f.size", F.lit(0))).alias("gap"),
+        F.when(F.col("_f").isNull(), F.col("fill")).otherwise(F.array_append("fill", F.col("_f.key"))).alias("fill"), "runs")
+
+
+def next_run(fits: DataFrame, plan: DataFrame) -> DataFrame:
+    """The plan with one more run per pattern: the filings that fit, in seeded order, before their sum exceeds the gap.
+
+    The first of them fits alone, so every run takes something. Sums of key ranges find the crossing here too.
+    """
+    ranged = fits.select("pattern", "key", "size", "gap", F.shiftright("key", 60 - BUCKET_BITS).alias("_b"))
+    along = Window.partitionBy("pattern").orderBy("_b")
+    sums = (ranged.groupBy("pattern", "_b").agg(F.sum("size").alias("_n"), F.max("gap").alias("_g"))
+            .withColumn("_upto", F.sum("_n").over(along)))
+    upto = materialize(sums.groupBy("pattern").agg(
+        F.min(F.when(F.col("_upto") > F.col("_g"), F.struct("_b", (F.col("_upto") - F.col("_n")).alias("_before")))).alias("_c"),
+        F.sum("_n").alias("_all"), F.max("_g").alias("_g")))
+    inside = (ranged.join(upto.where("_c IS NOT NULL").select("pattern", "_c"), "pattern").where("_b = _c._b")
+              .withColumn("_at", F.col("_c._before") + F.sum("size").over(Window.partitionBy("pattern").orderBy("key"))))
+    cross = inside.groupBy("pattern").agg(
+        F.max(F.when(F.col("_at") <= F.col("gap"), F.col("key"))).alias("_last"),
+        F.max(F.when(F.col("_at") <= F.col("gap"), F.col("_at"))).alias("_sum"))
+    found = upto.join(cross, "pattern", "left").select(
+        "pattern", F.floor("_g").cast("long").alias("_most"),
+        F.when(F.col("_c").isNull(), F.lit((1 << 60) - 1)).otherwise(
+            F.coalesce("_last", F.shiftleft(F.col("_c._b").cast("long"), 60 - BUCKET_BITS) - 1)).alias("_high"),
+        F.when(F.col("_c").isNull(), F.col("_all")).otherwise(F.coalesce("_sum", F.col("_c._before"))).alias("_taken"))
+    run = F.struct(F.col("cut_key").alias("low"), F.col("_high").alias("high"), F.col("_most").alias("most"))
+    return plan.join(found, "pattern", "left").select(
+        "pattern", "full", "cut_key", (F.col("gap") - F.coalesce("_taken", F.lit(0))).alias("gap"), "fill",
+        F.when(F.col("_high").isNull(), F.col("runs")).otherwise(F.array_append("runs", run)).alias("runs"))
 
 
 def sized_filings(filings: DataFrame, p: Mix) -> DataFrame:
@@ -165,10 +221,22 @@ def sized_filings(filings: DataFrame, p: Mix) -> DataFrame:
                           seeded_key(F.col("filing_id"), F.col("document"), p.seed).alias("key"))
 
 
-def copies_taken(key: Column, plan: Column, p: Mix) -> Column:
-    """How often the mix takes a filing with this key, by its pattern's plan."""
-    extra = (key <= plan["cut_key"]) | F.array_contains(plan["fill"], key)
-    return F.least(plan["full"] + extra.cast("long"), F.lit(p.copies).cast("long"))
+def copies_taken(key: Column, size: Column, plan: Column, p: Mix) -> Column:
+    """How often the mix takes the filings with this key and so many words together, by their pattern's plan."""
+    return F.least(plan["full"] + is_extra(key, size, plan).cast("long"), F.lit(p.copies).cast("long"))
+
+
+def with_key_sizes(rows: DataFrame, sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds ``_together``, the words of all filings with a row's ``_pattern`` and ``_key``; ``_size`` are the row's own.
+
+    Only runs ask for it, and it differs only where ids are repeated, so only those are joined.
+    """
+    if plan.where("size(runs) > 0").isEmpty():
+        return rows.withColumn("_together", F.lit(0).cast("long"))
+    repeated = sized.groupBy("pattern", "key").agg(F.sum("size").alias("_sum"), F.count("*").alias("_n")).where("_n > 1")
+    repeated = repeated.select(F.struct("pattern", "key", "_sum").alias("_r"))
+    return (rows.join(repeated, (F.col("_pattern") == F.col("_r.pattern")) & (F.col("_key") == F.col("_r.key")), "left")
+            .withColumn("_together", F.coalesce("_r._sum", "_size")).drop("_r"))
 
 
 def mixture(filings: DataFrame, p: Mix = Mix()) -> DataFrame:
@@ -177,7 +245,7 @@ def mixture(filings: DataFrame, p: Mix = Mix()) -> DataFrame:
     Words are summed by membership pattern; targets come from the sources' sizes and weights; a min-cost flow routes
     each pattern's words to its sources' targets, second copies costing more than first ones; then every pattern's
     filings are taken in the order of a seeded hash until its flow is reached, and the last gap is filled with the
-    filings that fit best. ``taken`` is a whole multiple of ``size``, 0 to ``copies`` times. A filing with one source
+    filings that fit best and then with all that fit, in the same order. ``taken`` is a whole multiple of ``size``, 0 to ``copies`` times. A filing with one source
     goes with that source; one with several has the first one's ``source_size`` and ``target``. NULL sources are one
     source, last in order; so are missing and empty arrays. NULL and empty documents have size 0. Equal ids are taken
     together. Other columns are not read; an empty table gives an empty one.
@@ -185,8 +253,11 @@ def mixture(filings: DataFrame, p: Mix = Mix()) -> DataFrame:
     sized = materialize(sized_filings(filings, p))
     targets = materialize(source_targets(sized, p))
     plan = mixing_plan(sized, targets, p)
-    plan = plan.select("pattern", F.struct("full", "cut_key", "fill").alias("plan"))
-    return (sized.join(plan, "pattern").withColumn("copies", copies_taken(F.col("key"), F.col("plan"), p))
+    marked = sized.select("*", F.col("pattern").alias("_pattern"), F.col("key").alias("_key"), F.col("size").alias("_size"))
+    marked = with_key_sizes(marked, sized, plan)
+    plan = plan.select("pattern", plan_of().alias("plan"))
+    return (marked.join(plan, "pattern")
+            .withColumn("copies", copies_taken(F.col("key"), F.col("_together"), F.col("plan"), p))
             .withColumn("source", F.get("pattern", F.lit(0))).join(targets, "source")
             .select("filing_id", "size", "source_size", "target",
                     (F.col("copies") * F.col("size")).alias("taken"), "copies"))
@@ -198,11 +269,13 @@ def mixed_filings(filings: DataFrame, p: Mix = Mix()) -> DataFrame:
     Only the plan, a row per pattern, is joined to the texts.
     """
     sized = materialize(sized_filings(filings, p))
-    plan = mixing_plan(sized, materialize(source_targets(sized, p)), p).select(
-        F.struct("pattern", "full", "cut_key", "fill").alias("_plan"))
+    plan = mixing_plan(sized, materialize(source_targets(sized, p)), p)
     marked = (filings.withColumn("_pattern", sources_of(F.col("exchanges")))
-              .withColumn("_key", seeded_key(F.col("filing_id"), F.col("document"), p.seed)))
+              .withColumn("_key", seeded_key(F.col("filing_id"), F.col("document"), p.seed))
+              .withColumn("_size", n_words("document")))
+    marked = with_key_sizes(marked, sized, plan)
+    plan = plan.select(F.struct("pattern", *PLAN).alias("_plan"))
     return (marked.join(plan, F.col("_pattern") == F.col("_plan.pattern"))
-            .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies_taken(F.col("_key"), F.col("_plan"), p)
-                                                          .cast("int"))))
+            .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies_taken(F.col("_key"), F.col("_together"),
+                                                                                  F.col("_plan"), p).cast("int"))))
             .select(*filings.columns))

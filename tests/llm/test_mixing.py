@@ -106,3 +106,16 @@ def test_words_are_counted_whole(spark):
     df = spark.createDataFrame([(t,) for t in ("a b", None, "", " ", "x\x1cy z", "q r", "one\x0btwo\x0cthree")], "t string")
     assert [r[0] for r in df.select(M.n_words("t")).collect()] == [2, 0, 0, 0, 2, 1, 3]
     assert df.where(F.length("t") > 99).count() == 0
+
+
+def test_a_giant_filing_does_not_leave_a_gap(spark):
+    """The filing at the crossing is larger than what is missing: the shorter ones behind it are taken, not three only."""
+    docs = [(i, "w " * 20, "en", ["a"]) for i in range(300)] + [(900, "w " * 12_000, "en", ["a"])]
+    docs += [(901, "w " * 15, "en", ["a"]), (901, "w " * 25, "en", ["a"])]
+    for seed in (1,):
+        p = M.Mix(weights=(1,), share=1.25, seed=seed)
+        got = table(M.mixture(filings(spark, docs), p))
+        assert abs(sum(g[4] for g in got) - got[0][3]) <= 20
+        assert len({g[5] for g in got if g[0] == 901}) == 1
+    counts = dict(table(M.mixed_filings(filings(spark, docs), p).groupBy("filing_id").count()))
+    assert counts == {g[0]: g[5] for g in got if g[0] != 901} | {901: 2 * next(g[5] for g in got if g[0] == 901)}
