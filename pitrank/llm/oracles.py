@@ -78,3 +78,70 @@ ordered AS (
 SELECT doc_id, size, source_size, target,
        CAST(least(full_copies + CAST(extra AS BIGINT), {p.copies}) * size AS BIGINT) AS taken
 FROM {last}"""
+
+
+LEXICAL = r"""
+WITH docs AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents WHERE text IS NOT NULL),
+whole AS (SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM docs WHERE len(terms) > 0),
+items AS (
+    SELECT item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark),
+tf AS (
+    SELECT doc_id, n, term, count(*) AS tf
+    FROM (SELECT doc_id, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM docs)
+    WHERE term IN (SELECT term FROM items) GROUP BY ALL),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+    FROM tf, whole GROUP BY term),
+impacts AS (
+    SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))) AS v
+    FROM tf JOIN weights USING (term), whole),
+scored AS (
+    SELECT item_id, doc_id, CAST(sum(v) AS BIGINT) AS score FROM items JOIN impacts USING (term) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10"""
+
+
+def _codes() -> str:
+    """Nearest entries by comparing every part with every entry; two rounds written out."""
+    steps = ""
+    for k in range(3):
+        steps += f""",
+near{k} AS (
+    SELECT vec_id, p, any_value(s) AS s, min_by(e, (d, e)) AS e, min(d) AS d
+    FROM (SELECT vec_id, p, pieces.s, e,
+                 list_sum(list_transform(range(1, len(pieces.s) + 1), lambda i: (pieces.s[i] - b.s[i]) ** 2)) AS d
+          FROM pieces JOIN book{k} b USING (p))
+    GROUP BY vec_id, p)"""
+        if k < 2:
+            steps += f""",
+moved{k} AS (
+    SELECT p, e, list(m ORDER BY i) AS s
+    FROM (SELECT p, e, i, CAST(floor(sum(s[i]) / count(*)) AS BIGINT) AS m
+          FROM near{k}, range(1, 5) t(i) GROUP BY p, e, i) GROUP BY p, e),
+book{k + 1} AS (SELECT p, e, coalesce(n.s, b.s) AS s FROM book{k} b LEFT JOIN moved{k} n USING (p, e))"""
+    return f"""
+WITH kept AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pieces AS (SELECT vec_id, CAST(p AS INTEGER) AS p, v[p * 4 + 1:p * 4 + 4] AS s FROM kept, range(16) t(p)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 64),
+book0 AS (SELECT p, e, s FROM first JOIN pieces USING (vec_id)){steps},
+coded AS (
+    SELECT vec_id, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+    FROM near2 GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY p, e)) FROM book2) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)"""
+
+
+CODES = _codes()

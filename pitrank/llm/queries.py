@@ -1,7 +1,8 @@
 """The numbered queries: thin steps from the driver's tables to the operators of this subpackage and back.
 
 ``documents`` stand for filing documents: doc_id is ``filing_id``, text is ``document``, lang is ``language`` and source
-is the only entry of ``exchanges``.
+is the only entry of ``exchanges``. ``embeddings`` stand for securities: vec_id is ``security_id``, the embedding are its
+factor ``exposures`` and label is its ``sic_code``.
 """
 from __future__ import annotations
 
@@ -9,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import (decontaminate, edit_counts, language, mixing, pii, quality, shards, simhash, token_orc, toxicity)
+from . import (codes, decontaminate, edit_counts, language, lexical, mixing, neighbours, pii, quality, shards, simhash,
+               token_orc, toxicity)
 from ..functions.lineage import new_path
 from . import oracles
 
@@ -131,6 +133,30 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
             .select("doc_id", "_p.*"))
 
 
+def securities(spark: SparkSession, sf: str) -> DataFrame:
+    return (spark.read.parquet(f"{sf}/embeddings.parquet")
+            .select(F.col("vec_id").alias("security_id"), F.col("embedding").alias("exposures"),
+                    F.col("label").alias("sic_code")))
+
+
+@register("op11_lexical_buckets", oracles.LEXICAL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.ranked_filings(filings(spark, sf), items(spark, sf)).withColumnRenamed("filing_id", "doc_id")
+
+
+@register("op12_sliced_codes", oracles.CODES)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return codes.exposure_codes(securities(spark, sf)).withColumnsRenamed(
+        {"security_id": "vec_id", "sector_error": "label_error"})
+
+
+@register("op13_collision_neighbours")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    found = neighbours.nearest_peers(securities(spark, sf), asked=F.col("security_id") % 20 == 0)
+    return found.select(F.col("security_id").alias("query_id"), "rank", F.col("peer_id").alias("vec_id"),
+                        F.col("product").alias("score"))
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     from corpus_pipeline import run
