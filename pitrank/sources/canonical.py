@@ -4,7 +4,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..schemas import BENCHMARKS, FUNDAMENTALS, FUNDAMENTALS_LEAD_MONTHS, LOOKBACK_MONTHS, RETURNS
 
@@ -13,8 +13,16 @@ def as_date(d: str | date | Column) -> Column:
     return d if isinstance(d, Column) else F.lit(str(d)).cast("date")
 
 
+YEAR = "year"
+
+
 def between_dates(df: DataFrame, column: str, start, end) -> DataFrame:
-    return df.where(F.col(column).between(as_date(start), as_date(end)))
+    """Rows within the bounds. A table landed by year (``write_canonical``) is opened for those years only."""
+    first, last = as_date(start), as_date(end)
+    cut = df.where(F.col(column).between(first, last))
+    if YEAR in df.columns:
+        cut = cut.where(F.col(YEAR).between(F.year(first), F.year(last))).drop(YEAR)
+    return cut
 
 
 def returns_between(returns: DataFrame, start, end) -> DataFrame:
@@ -58,11 +66,16 @@ def prepare_panel(panel: Panel, start, end) -> Panel:
                  clean_nan(benchmarks_between(panel.benchmarks, start, end)))
 
 
-def read_panel(spark: SparkSession, path: str) -> Panel:
-    """Canonical tables landed as Parquet under one folder; schemas are stated, never inferred, and NaN is NULL."""
-    return Panel(clean_nan(spark.read.schema(RETURNS).parquet(f"{path}/returns")),
-                 clean_nan(spark.read.schema(FUNDAMENTALS).parquet(f"{path}/fundamentals")),
-                 clean_nan(spark.read.schema(BENCHMARKS).parquet(f"{path}/benchmarks")))
+def read_panel(spark: SparkSession, path: str, by_year: bool = False) -> Panel:
+    """Canonical tables landed as Parquet under one folder; schemas are stated, never inferred, and NaN is NULL.
+
+    ``by_year``: the folders hold one partition per year of ``date`` or ``available_date``, as ``write_panel`` leaves
+    them. The column stays until bounds are set (``prepare_panel``, ``between_dates``), which then open those years only.
+    """
+    def table(name: str, schema: T.StructType) -> DataFrame:
+        full = T.StructType([*schema.fields, T.StructField(YEAR, T.IntegerType())]) if by_year else schema
+        return clean_nan(spark.read.schema(full).parquet(f"{path}/{name}"))
+    return Panel(table("returns", RETURNS), table("fundamentals", FUNDAMENTALS), table("benchmarks", BENCHMARKS))
 
 
 def clean_nan(df: DataFrame) -> DataFrame:

@@ -54,7 +54,11 @@ ZERO_WHEN_MISSING = ("preferred_stock", "minority_interest", "short_term_debt")
 LATE_DAYS = 45
 
 
+CORRUPT = "_unreadable"
+
+
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
+    """Facts documents, one per line. Those that cannot be read have NULL fields; :func:`read_documents` tells which."""
     return spark.read.schema(FACTS_DOCUMENT).json(path)
 
 
@@ -62,11 +66,44 @@ def read_submissions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SUBMISSION_DOCUMENT).json(path)
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(file, document): the lines of document files as text, for :func:`sorted_out`."""
+    return spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("document"))
+
+
 def parse_facts(documents: DataFrame, column: str = "document") -> DataFrame:
     """Documents held as text in a column."""
     return documents.select(F.from_json(column, FACTS_DOCUMENT).alias("_d")).select("_d.*")
 
 
+def sorted_out(documents: DataFrame, schema: T.StructType, column: str = "document") -> tuple[DataFrame, DataFrame]:
+    """(parsed, quarantine) of documents held as text: one pass each, nothing is dropped.
+
+    A document is set aside with its ``problem``: ``empty`` (NULL or blank), ``broken`` (JSON that does not come to its end),
+    ``mistyped`` (JSON, but a field has another type than the schema's), ``no_company`` (no cik). ``cik`` is read from
+    the text where it can be. Text after a whole object is ignored. Quarantine keeps all columns of ``documents``; parsed rows have those of ``schema``.
+    """
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    read = documents.withColumn("_d", F.from_json(column, full, {"columnNameOfCorruptRecord": CORRUPT}))
+    text = F.col(column)
+    # a document that nests to its end parses as a variant; that tells a wrong type from a broken text
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
+    problem = (F.when(text.isNull() | (F.trim(text) == ""), "empty")
+               .when(F.col(f"_d.{CORRUPT}").isNotNull() | F.col("_d").isNull(), F.when(is_object, "mistyped").otherwise("broken"))
+               .when(F.col("_d.cik").isNull(), "no_company"))
+    parsed = read.where(problem.isNull()).select(*[F.col(f"_d.{f}").alias(f) for f in schema.names])
+    cik = F.regexp_extract(text, r'"cik"\s*:\s*"?(\d{1,18})', 1)
+    aside = (read.where(problem.isNotNull())
+             .select(*documents.columns, problem.alias("problem"), F.when(cik != "", cik.cast("long")).alias("cik")))
+    return parsed, aside
+
+
+def document_counts(quarantine: DataFrame) -> DataFrame:
+    """(cik, n_empty, n_broken, n_mistyped, n_no_company): documents set aside, by the company they name."""
+    return quarantine.groupBy("cik").agg(*[F.count_if(F.col("problem") == p).alias(f"n_{p}")
+                                           for p in ("empty", "broken", "mistyped", "no_company")])
+
+
 def unit_of(tag: Column) -> Column:
     return F.when(tag.isin(SHARES_TAG[1], *FLOW_TAGS["shares_diluted"]), "shares").otherwise("USD")
 

@@ -44,15 +44,16 @@ def panel_from_stock_files(files: StockFiles, start, end, fill: float = MISSING_
 
 
 def panel_from_filings(facts: DataFrame, submissions: DataFrame, companies: DataFrame, prices: DataFrame,
-                       index_prices: DataFrame, start, end, current_shares: DataFrame | None = None
-                       ) -> tuple[Panel, DataFrame]:
+                       index_prices: DataFrame, start, end, current_shares: DataFrame | None = None,
+                       quarantine: DataFrame | None = None) -> tuple[Panel, DataFrame]:
     """A panel from filing documents and monthly prices, and a status table.
 
     ``facts`` and ``submissions`` are parsed documents, one per company; ``companies`` maps security_id to cik;
     ``prices`` has security_id, date, adjusted, close; ``index_prices`` date, adjusted, yield_pct; ``current_shares``
     security_id, shares_now for securities without filed counts. Status has one row per security with prices:
     ``failed`` (no returns), ``no_facts`` (returns but no fundamentals), ``current_shares_only`` (no count was filed
-    until its last price).
+    until its last price). With a ``quarantine`` of documents that could not be read (``facts.sorted_out``) it also has
+    their number, ``n_unreadable``; other companies are not affected by them.
     """
     reported = materialize(flatten_facts(facts))  # share counts and fundamentals both start from it
     owner = companies.select("security_id", "cik").distinct()
@@ -76,4 +77,9 @@ def panel_from_filings(facts: DataFrame, submissions: DataFrame, companies: Data
               .select("security_id", F.col("_alive").isNull().alias("failed"),
                       (F.col("_alive").isNotNull() & F.col("_facts").isNull()).alias("no_facts"),
                       F.coalesce(F.col("_first") > F.col("_last"), F.col("_first").isNull()).alias("current_shares_only")))
+    if quarantine is not None:
+        unread = (owner.join(quarantine.groupBy("cik").agg(F.count(F.lit(1)).alias("_n")), "cik")
+                  .groupBy("security_id").agg(F.sum("_n").alias("_n")))
+        status = (status.join(unread, "security_id", "left")
+                  .withColumn("n_unreadable", F.coalesce("_n", F.lit(0).cast("long"))).drop("_n"))
     return Panel(clean_nan(returns), clean_nan(fundamentals), clean_nan(benchmarks)), status

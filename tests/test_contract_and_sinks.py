@@ -80,8 +80,8 @@ def test_backtest_sinks_and_log(spark, tmp_path):
     assert count_runs(got).first().asDict() == {"n_runs": 3, "n_trials": 2} and latest_runs(got, 2).count() == 2
     assert got.where("config.factors['earnings_yield'] = 1.0").count() == 2
     runs = spark.createDataFrame([(1, 0.5)], "panel_id int, sharpe double")
-    write_null_runs(runs, str(tmp_path / "null"))
-    write_null_runs(runs, str(tmp_path / "null"))
+    for batch in ("a", "b", "b"):
+        write_null_runs(runs, str(tmp_path / "null"), batch)
     assert read_null_runs(spark, str(tmp_path / "null"), runs.schema).count() == 2
     p.returns.write.parquet(str(tmp_path / "panel" / "returns"))
     p.fundamentals.write.parquet(str(tmp_path / "panel" / "fundamentals"))
