@@ -28,6 +28,7 @@ DIRECTIONS = 96
 REACH = 1.1
 SLACK = 1.6
 GROWTH = 1.5
+FEW = 0.04                # windows with a larger share of a block's places are counted by place
 BLOCK_ROWS = 8_192        # vectors of a block, about; their positions fit 16 bits
 ASKED_ROWS = 512          # questions of a block, about
 SAMPLE_ROWS = 2_048       # vectors of the sample that gives every question a first bound; results do not depend on it
@@ -60,6 +61,8 @@ class CollisionIndex:
         at = self.lines @ (np.column_stack([vectors, spare]) / self.norm).T
         order = np.argsort(at, axis=1, kind="stable")
         self.order = order.astype(np.uint16)
+        self.rank = np.empty_like(self.order)  # where each vector stands in each direction
+        np.put_along_axis(self.rank, order, np.arange(len(vectors), dtype=np.uint16)[None, :], axis=1)
         # all directions in one ascending array: each is moved behind the one before it
         self.most = float(np.abs(at).max()) + 1.0
         self.shift = np.arange(DIRECTIONS) * 4 * self.most
@@ -71,6 +74,12 @@ class CollisionIndex:
         found = np.searchsorted(self.flat, np.clip(targets, -self.most, self.most) + self.shift, side)
         return found - np.arange(DIRECTIONS) * len(self.vectors)
 
+    def inside(self, low: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """Per vector the number of windows that hold it, from its places in the sorted projections."""
+        # places before a window wrap around to large numbers
+        held = self.rank - low.astype(np.uint16)[:, None] < width.astype(np.uint16)[:, None]
+        return np.add.reduce(held.view(np.uint8), axis=0, dtype=np.uint8)
+
     def nearest(self, question: np.ndarray, bound: float, own: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and inner products of the k best verified vectors, all of them if there are fewer.
 
@@ -84,7 +93,7 @@ class CollisionIndex:
         if not wanted:
             return rows, scores
         line = self.lines[:, :-1] @ (question / length)
-        counts, seen = np.zeros(n, np.int64), np.zeros(n, bool)
+        counts, seen = np.zeros(n, np.uint8), np.zeros(n, bool)
         seen[own] = True
 
         def widest(product: float) -> float:  # distances are in units of the block's longest vector
@@ -94,17 +103,24 @@ class CollisionIndex:
         low = high = None
         while True:
             new_low, new_high = self.places(line - half, "left"), self.places(line + half, "right")
-            if low is None:
-                fresh = [o[a:b] for o, a, b in zip(self.order, new_low, new_high, strict=True)]
-            else:
-                fresh = [o[x] for o, a, b, c, d in zip(self.order, new_low, low, high, new_high, strict=True)
+            width = new_high - new_low
+            if width.sum() > FEW * len(self.flat):
+                counts = self.inside(new_low, width)
+            else:  # narrow windows: only what is new in them is read
+                old = (new_low, new_low) if low is None else (low, high)
+                fresh = [o[x] for o, a, b, c, d in zip(self.order, new_low, *old, new_high, strict=True)
                          for x in (slice(a, b), slice(c, d))]
+                counts = counts + np.bincount(np.concatenate(fresh), minlength=n).astype(np.uint8)
             low, high = new_low, new_high
-            counts += np.bincount(np.concatenate(fresh), minlength=n)
             found = np.flatnonzero((counts >= self.least) & ~seen)
             seen[found] = True
+            near = self.vectors[found]
+            if len(found) > k:  # a quick product first; only what may be among the k best is added up exactly
+                quick = near @ question
+                best = quick >= np.partition(quick, len(found) - k)[len(found) - k] - 1e-9 * reach
+                found, near = found[best], near[best]
             rows = np.concatenate([rows, found])
-            scores = np.concatenate([scores, products(self.vectors[found], question)])
+            scores = np.concatenate([scores, products(near, question)])
             best = np.lexsort((rows, -scores))[:k]
             rows, scores = rows[best], scores[best]
             if len(rows) < wanted:
