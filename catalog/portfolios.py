@@ -19,7 +19,7 @@ from pitrank.sources.canonical import Panel
 from .common import present, register, sql
 from .core import (BASE, END, MAGIC, RANKED, SNAP_SQL, SPEC, START, form_sql, rank_sum_sql, universe_sql,
                    values_sql)
-from .panel import PANEL_SQL, panel, returns
+from .panel import BENCH_SQL, PANEL_SQL, RET_SQL, panel, returns
 
 # Fixed values, written out for the SQL side: (market cap in dollars, one-way cost in basis points).
 SIZE_ANCHORS = ((1e7, 150.0), (5e7, 80.0), (2.5e8, 40.0), (1e9, 20.0), (1e10, 8.0), (1e11, 5.0))
@@ -275,6 +275,25 @@ def p16(spark, sf):
     return present(decile_returns(score(panel(spark, sf), SPEC)), "decile:i date:d gross:9")
 
 
+def two_markets(spark, sf, filings=True):
+    """Two markets with the same securities; in the second one returns are halved and turned around."""
+    p = panel(spark, sf, filings)
+    one = [t.withColumn("panel_id", F.lit(1)) for t in (p.returns, p.fundamentals, p.benchmarks)]
+    two = [t.withColumn("panel_id", F.lit(2)) for t in (p.returns.withColumn("total_return", -0.5 * F.col("total_return")),
+                                                        p.fundamentals, p.benchmarks)]
+    return Panel(*[a.unionByName(b) for a, b in zip(one, two)])
+
+
+def two_markets_sql(one: str) -> str:
+    """The same SQL for both markets; benchmarks are those of the first."""
+    other = one.replace(BENCH_SQL, BENCH_SQL.replace("FROM ret ", "FROM first_ret ").replace("JOIN ret ", "JOIN first_ret "))
+    other = other.replace(RET_SQL, TURNED_SQL)
+    return f"SELECT CAST(1 AS BIGINT) AS panel_id, * FROM ({one}) UNION ALL SELECT CAST(2 AS BIGINT), * FROM ({other})"
+
+
+# the second market's returns; its benchmarks are still computed from the first one's
+TURNED_SQL = RET_SQL.replace("\nret AS", "\nfirst_ret AS") + """,
+ret AS (SELECT * REPLACE (-0.5::DOUBLE * total_return AS total_return) FROM first_ret)"""
 MARKETS_LAYOUT = "panel_id:i decile:i date:d gross:9"
 _ONE_MARKET = sql("decile:i date:d gross:9", "d_month", *DECILES)
 _OTHER_MARKET = _ONE_MARKET.replace("0.1::DOUBLE * (px / prev - 1)", "-0.05::DOUBLE * (px / prev - 1)").replace(
@@ -284,13 +303,7 @@ _OTHER_MARKET = _ONE_MARKET.replace("0.1::DOUBLE * (px / prev - 1)", "-0.05::DOU
 @register("p16_deciles_many_markets", f"""SELECT CAST(1 AS BIGINT) AS panel_id, * FROM ({_ONE_MARKET})
 UNION ALL SELECT CAST(2 AS BIGINT), * FROM ({_OTHER_MARKET})""")
 def p16_markets(spark, sf):
-    """Two markets with the same securities; in the second one returns are halved and turned around."""
-    p = panel(spark, sf)
-    one = [t.withColumn("panel_id", F.lit(1)) for t in (p.returns, p.fundamentals, p.benchmarks)]
-    two = [t.withColumn("panel_id", F.lit(2)) for t in (p.returns.withColumn("total_return", -0.5 * F.col("total_return")),
-                                                        p.fundamentals, p.benchmarks)]
-    both = Panel(*[a.unionByName(b) for a, b in zip(one, two)])
-    return present(decile_returns(score(both, SPEC, panel_keys=["panel_id"])), MARKETS_LAYOUT)
+    return present(decile_returns(score(two_markets(spark, sf), SPEC, panel_keys=["panel_id"])), MARKETS_LAYOUT)
 
 
 ANNUAL = replace(SPEC, frequency="annual")

@@ -23,12 +23,16 @@ def decile_assignments(rankings: DataFrame, keys: Sequence[str] = (), sleeve: in
     return rows.join(sizes, at).withColumn("decile", decile_of_rank(F.col("rank"), F.col("_n"))).drop("_n")
 
 
-def decile_scored(panel: Panel, spec: BacktestSpec, scored: Scored | None = None, frequency: str = "quarterly") -> Scored:
-    """The strategy's own rankings when its calendar is at least as fine as ``frequency``, else a finer ranking."""
+def decile_scored(panel: Panel, spec: BacktestSpec, scored: Scored | None = None, frequency: str = "quarterly",
+                  panel_keys: Sequence[str] = ()) -> Scored:
+    """The strategy's own rankings when its calendar is at least as fine as ``frequency``, else a finer ranking.
+
+    Markets are told apart by the columns that ``scored`` is keyed by, or by ``panel_keys``.
+    """
     if STEP[spec.frequency] <= STEP[frequency]:
-        return scored or score(panel, spec)
+        return scored or score(panel, spec, panel_keys=panel_keys)
     from dataclasses import replace
-    return score(panel, replace(spec, frequency=frequency, sleeves=False))
+    return score(panel, replace(spec, frequency=frequency, sleeves=False), panel_keys=scored.panel_keys if scored else panel_keys)
 
 
 def decile_returns(scored: Scored, sleeve: int = 0) -> DataFrame:

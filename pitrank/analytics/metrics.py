@@ -120,6 +120,11 @@ def capm(monthly: DataFrame, keys: Sequence[str] = (), strategy: str = "net", ma
         F.count(F.lit(1)).alias("n"), F.avg(x).alias("_mx"), F.regr_slope(y, x).alias("_b"),
         F.regr_intercept(y, x).alias("_a"), F.regr_sxx(y, x).alias("_sxx"), F.regr_syy(y, x).alias("_syy"),
         F.regr_r2(y, x).alias("_r2"))
+    return regression_figures(sums, keys)
+
+
+def regression_figures(sums: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Coefficients and t-statistics from the sums of a regression; NULL under twelve months."""
     enough = F.col("n") >= 12
     s2 = F.col("_syy") * (1 - F.col("_r2")) / F.greatest(F.col("n") - 2, F.lit(1))
     se_b = F.sqrt(F.greatest(safe_div(s2, "_sxx"), F.lit(0.0)))

@@ -3,7 +3,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..functions.lineage import materialize
+from ..functions.positions import join_groups, ordered_positions, percentiles as group_percentiles, value_at
 
 QUARTER_DAYS = 91.3
 # First and last industry code of each division of the standard industrial classification.
@@ -78,7 +81,6 @@ def returns_profile(returns: DataFrame) -> DataFrame:
 def cap_percentiles(returns: DataFrame, percentiles: Sequence[float] = (0.01, 0.1, 0.5, 0.9, 0.99, 1.0),
                     ranges: int | None = None) -> DataFrame:
     """Exact capitalisation percentiles of the whole panel, taken from range-parallel order positions."""
-    from ..functions.positions import ordered_positions, value_at
     pos = ordered_positions(returns.where(F.col("market_cap").isNotNull())
                             .select(F.lit(1).alias("_g"), F.col("market_cap").alias("x")), ["_g"], ["x"], ranges)
 
@@ -90,12 +92,16 @@ def cap_percentiles(returns: DataFrame, percentiles: Sequence[float] = (0.01, 0.
     return pos.agg(*[at(p).alias(f"cap_p{int(p * 100)}") for p in percentiles])
 
 
+def _with_share(counts: DataFrame) -> DataFrame:
+    """Each group's part of all; there are a few groups, so one window holds them."""
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
+
+
 def exchange_shares(returns: DataFrame) -> DataFrame:
     """Share of securities per exchange, by the exchange of a security's first row."""
     first = returns.groupBy("security_id").agg(F.min_by("exchange", "date").alias("exchange"))
     counts = first.groupBy("exchange").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    return counts.withColumn("share", F.col("n") / total)
+    return _with_share(counts)
 
 
 def sector_of(code: Column) -> Column:
@@ -109,19 +115,21 @@ def sector_shares(returns: DataFrame) -> DataFrame:
     """Share of securities per sector, by the industry code of a security's first row."""
     first = returns.groupBy("security_id").agg(F.min_by("sic_code", "date").alias("_code"))
     counts = first.groupBy(sector_of(F.col("_code")).alias("sector")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())
+    return _with_share(counts)
 
 
 def size_tilt(rankings: DataFrame, keys: Sequence[str] = ("sleeve",)) -> DataFrame:
     """Median capitalisation held against the ranked universe, and the share of picks in its smallest quarter.
 
-    A ranked cross-section is at most the universe rule's ``max_names`` rows.
+    Percentiles are read off order positions found in ranges, so a cross-section may have any size.
     """
     at = [*keys, "formation_date"]
     cap, held = F.col("market_cap"), F.col("weight").isNotNull()
-    uni = rankings.groupBy(*at).agg(F.percentile(cap, F.lit(0.5)).alias("median_universe"),
-                                    F.percentile(cap, F.lit(0.25)).alias("_q1"),
-                                    F.percentile(F.when(held, cap), F.lit(0.5)).alias("median_held"))
-    small = (rankings.where(held).join(uni, at).groupBy(*at)
+    known = rankings.where(cap.isNotNull()).select(*at, "market_cap", held.alias("_held"))
+    every = group_percentiles(known, at, "market_cap", [0.5, 0.25]).select(
+        *at, F.get("percentiles", F.lit(0)).alias("median_universe"), F.get("percentiles", F.lit(1)).alias("_q1"))
+    own = group_percentiles(known.where("_held"), at, "market_cap", [0.5]).select(*at, F.get("percentiles", F.lit(0)).alias("median_held"))
+    uni = materialize(every.join(own, at, "left"))
+    small = (join_groups(rankings.where(held), uni, at).groupBy(*at)
              .agg(F.avg((cap < F.col("_q1")).cast("double")).alias("share_small"), F.count(F.lit(1)).alias("n_held")))
     return uni.drop("_q1").join(small, at)

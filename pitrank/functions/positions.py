@@ -17,16 +17,17 @@ from .lineage import materialize
 HEAVY_SHARE = 1000
 
 
-def ordered_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None = None) -> DataFrame:
+def ordered_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None = None,
+                      weight: str | None = None) -> DataFrame:
     """One row per distinct (keys, order) with ``n_before``, ``n_equal``, ``n_total``, ascending by ``order``.
 
     ``n_before`` counts the rows of the group that sort strictly before, ``n_equal`` those with the same values.
-    ``ranges`` is the number of range partitions, the session's number of shuffle partitions where it is not given.
+    With ``weight`` a row counts that column's value instead of one. ``ranges`` is the number of range partitions, the session's number of shuffle partitions where it is not given.
     The ranges are written before they are read twice, so that both readers see the same cuts.
     """
     keys, order = list(keys), list(order)
     columns = [*keys, *order]
-    dist = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n_equal"))
+    dist = df.groupBy(*columns).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n_equal"))
     dealt = dist.repartitionByRange(ranges, *columns) if ranges else dist.repartitionByRange(*columns)
     ranged = materialize(dealt.withColumn("_range", F.spark_partition_id()))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,3 +73,36 @@ def join_groups(df: DataFrame, per_group: DataFrame, keys: Sequence[str], how: s
 def value_at(position, x: str = "x"):
     """Aggregate: the value standing at a zero-based order position in the output of ordered_positions."""
     return F.max(F.when((F.col("n_before") <= position) & (position < F.col("n_before") + F.col("n_equal")), F.col(x)))
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], x: str, at: Sequence[float], ranges: int | None = None) -> DataFrame:
+    """(keys, percentiles): interpolated percentiles of a column per group, from positions found in ranges.
+
+    Partial maxima leave a task; no group is gathered. NULL values are to be left out before.
+    """
+    pos = ordered_positions(df, keys, [x], ranges)
+
+    def one(p: float):
+        h = F.lit(p) * (F.col("n_total") - 1)
+        low, high, part = value_at(F.floor(h), x), value_at(F.ceil(h), x), F.max(h - F.floor(h))
+        return low + (high - low) * part
+    return pos.groupBy(*keys).agg(F.array(*[one(p) for p in at]).alias("percentiles"))
+
+
+LOOKUP_BLOCKS = 4096
+
+
+def values_at(positions: DataFrame, asked: DataFrame, x: str) -> DataFrame:
+    """Adds to ``asked`` (metric, position) the value that stands there in ``positions`` of key ``metric``.
+
+    A value covers a run of positions. Runs and asked positions meet in blocks of positions, some thousands per group, by
+    equality; a value is repeated for the blocks that it reaches into.
+    """
+    width = F.greatest(F.ceil(F.col("n_total") / LOOKUP_BLOCKS), F.lit(1)).cast("long")
+    runs = positions.where("n_equal > 0").select(
+        "metric", x, F.col("n_before").alias("_from"), (F.col("n_before") + F.col("n_equal") - 1).alias("_to"), width.alias("_width"))
+    runs = runs.withColumn("_block", F.explode(F.expr("sequence(_from div _width, _to div _width)")))
+    one_width = positions.groupBy("metric").agg(F.max(width).alias("_w"))
+    wanted = asked.join(one_width, "metric").withColumn("_block", F.expr("position div _w")).drop("_w")
+    return (wanted.join(runs, ["metric", "_block"]).where(F.col("position").between(F.col("_from"), F.col("_to")))
+            .drop("_block", "_from", "_to", "_width"))

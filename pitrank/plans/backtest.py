@@ -176,9 +176,13 @@ def top_of_ranking(result: BacktestResult, formation_date: str, sleeve: int = 0,
 
 
 def run_scores(panel: Panel, scores: DataFrame | Callable[[DataFrame], DataFrame], spec: BacktestSpec,
-               higher_is_better: bool = True, keys: Sequence[str] = (), lookback: bool = False) -> DataFrame:
+               higher_is_better: bool = True, keys: Sequence[str] = (), lookback: bool = False,
+               panel_keys: Sequence[str] = ()) -> DataFrame:
     """Top-N backtest on any supplied score table (``keys``, security_id, date, score); all keys in one job.
 
+    ``panel_keys`` names the columns that tell several markets with a common calendar apart. The panel and the scores
+    carry them, universes are formed per market, and they come first in the result.
+
     One sleeve and no lookback by default: the supplied score is the signal, nothing has to be computed from it.
     A table is cut to the formation dates before it is shuffled. ``scores`` may also be a function that scores the
     universe's rows (security_id, date, market_cap) and keeps them, so that nothing is made for other rows.
@@ -190,13 +194,15 @@ def run_scores(panel: Panel, scores: DataFrame | Callable[[DataFrame], DataFrame
     formations = formation_dates(plain, [])
     sections = (returns.join(F.broadcast(formations.withColumnRenamed("formation_date", "date")), "date", "left_semi")
                 .withColumn("formation_date", F.col("date")))
-    universe = materialize(select_universe(sections, spec.universe)
-                           .select("formation_date", "security_id", "market_cap"))
+    panel_keys = list(panel_keys)
+    keys = [*panel_keys, *[k for k in keys if k not in panel_keys]]
+    universe = materialize(select_universe(sections, spec.universe, keys=panel_keys)
+                           .select(*panel_keys, "formation_date", "security_id", "market_cap"))
     if isinstance(scores, DataFrame):
         given = (scores.where(F.col("score").isNotNull())
                  .select(*keys, F.col("date").alias("formation_date"), "security_id", "score")
                  .join(F.broadcast(formations.select("formation_date")), "formation_date", "left_semi"))
-        scored = given.join(universe, ["formation_date", "security_id"])
+        scored = given.join(universe, [*panel_keys, "formation_date", "security_id"])
     else:
         scored = (scores(universe.withColumnRenamed("formation_date", "date"))
                   .where(F.col("score").isNotNull()).withColumnRenamed("date", "formation_date"))
@@ -204,10 +210,11 @@ def run_scores(panel: Panel, scores: DataFrame | Callable[[DataFrame], DataFrame
     chosen = top_per_group(scored, [*keys, "formation_date"], [best, F.asc("security_id")], spec.top_n)
     targets = materialize(target_weights(chosen, [*keys, "formation_date"], spec.weighting))
     months = _per_book(plain, targets.select(*keys).distinct()) if keys else plain
-    book = simulate(targets, months, returns, spec.costs, keys)
-    ew = gross_only(target_weights(universe, ["formation_date"]), plain, returns)
+    book = simulate(targets, months, returns, spec.costs, keys, panel_keys)
+    markets = _per_book(plain, universe.select(*panel_keys).distinct()) if panel_keys else plain
+    ew = gross_only(target_weights(universe, [*panel_keys, "formation_date"]), markets, returns, panel_keys, panel_keys)
     return (book.drop("formation_date")
-            .join(ew.select("date", F.col("gross").alias("universe_ew")), "date", "left"))
+            .join(ew.select(*panel_keys, "date", F.col("gross").alias("universe_ew")), [*panel_keys, "date"], "left"))
 
 
 def _per_book(months: DataFrame, books: DataFrame) -> DataFrame:
