@@ -264,10 +264,19 @@ def q13(spark, sf):
 @register("q15_truncation_invariance", sql("n_rows:i n_different:i", "y", RET_SQL, """
 y AS (SELECT count(*) AS n_rows, 0 AS n_different FROM ret WHERE date = DATE '1999-06-30')"""))
 def q15(spark, sf):
-    return present(L.truncation_audit(materialize(returns(spark, sf)), materialize(fundamentals(spark, sf)), "1999-06-30"),
+    day = spark.range(1).select(F.lit("1999-06-30").cast("date").alias("formation_date"))
+    return present(L.truncation_audit(materialize(returns(spark, sf)), materialize(fundamentals(spark, sf)), day),
                    "n_rows:i n_different:i")
 
 
+@register("q15_truncation_every_date", sql("formation_date:d n_rows:i n_different:i", "y", RET_SQL, """
+y AS (SELECT date AS formation_date, count(*) AS n_rows, 0 AS n_different FROM ret GROUP BY date)"""))
+def q15_every(spark, sf):
+    """Every month of the panel in one job: nothing that is published later changes a snapshot."""
+    return present(L.truncation_audit(materialize(returns(spark, sf)), materialize(fundamentals(spark, sf))),
+                   "formation_date:d n_rows:i n_different:i")
+
+
 @register("q17_quarter_gaps", sql("distressed n:i n_gaps:i gap_rate:8", "y", FUND_SQL, """
 fp AS (SELECT * FROM fund QUALIFY row_number() OVER (PARTITION BY security_id, fiscal_period_end ORDER BY available_date) = 1),
 g AS (SELECT coalesce(ebit_ttm < 0, false) OR coalesce(book_equity < 0, false) AS distressed,

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import stats
 from ..functions.lineage import materialize
+from ..functions.positions import join_groups
 from ..operators.portfolio import gross_only, target_weights
 from ..operators.ranking import average_rank, decile_of_rank
 from ..operators.schedule import STEP, holding_months
@@ -20,7 +21,7 @@ def decile_assignments(rankings: DataFrame, keys: Sequence[str] = (), sleeve: in
     rows = rankings.where(F.col("sleeve") == sleeve)
     at = [*keys, "formation_date"]
     sizes = rows.groupBy(*at).agg(F.max("rank").alias("_n"))
-    return rows.join(sizes, at).withColumn("decile", decile_of_rank(F.col("rank"), F.col("_n"))).drop("_n")
+    return join_groups(rows, sizes, at).withColumn("decile", decile_of_rank(F.col("rank"), F.col("_n"))).drop("_n")
 
 
 def decile_scored(panel: Panel, spec: BacktestSpec, scored: Scored | None = None, frequency: str = "quarterly",

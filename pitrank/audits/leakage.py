@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import at_least, at_most, month_end_at, month_index, safe_div
 from ..functions.lineage import materialize
-from ..functions.positions import ordered_positions
+from ..functions.positions import join_groups, ordered_positions
 from ..operators.factors import compute_factors, required_columns
 from ..operators.pit import PUBLIC, asof_fundamentals
 from ..operators.ranking import RankingSpec, quantile_bucket, rank_stocks
 from ..operators.snapshot import PRIOR, attach_fundamentals, build_snapshot, cross_sections
 from ..operators.trailing import with_trailing
 from ..operators.universe import UniverseRule, select_universe
-from ..schemas import FUNDAMENTAL_VALUES
+from ..schemas import FUNDAMENTAL_VALUES, LOOKBACK_MONTHS, MAX_STALENESS_DAYS
 
 DECILES = 10
 
@@ -32,7 +32,7 @@ def scores_of(values: DataFrame, ranking: RankingSpec, rule: UniverseRule = Univ
     ranked = rank_stocks(values, ranking, keys=keys, bounded=rule.bounded)
     at = [*keys, "formation_date"]
     sizes = ranked.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
-    return ranked.join(sizes, at).select(
+    return join_groups(ranked, sizes, at).select(
         *keys, "security_id", F.col("formation_date").alias("date"),
         (F.col("_n") + 1 - F.col("rank")).cast("double").alias("score"))
 
@@ -204,17 +204,35 @@ def announcement_correlation(returns: DataFrame, fundamentals: DataFrame) -> Dat
             .groupBy("window").agg(F.corr("x", "total_return").alias("correlation"), F.count(F.lit(1)).alias("n")))
 
 
-def truncation_audit(returns: DataFrame, fundamentals: DataFrame, formation_date: str) -> DataFrame:
-    """Snapshot rows at a date, and how many of them change when everything after the date is removed (must be 0)."""
-    t = F.lit(formation_date).cast("date")
-    dates = returns.sparkSession.range(1).select(t.alias("formation_date"))
-    full = build_snapshot(returns, fundamentals, dates)
-    cut = build_snapshot(returns.where(F.col("date") <= t), fundamentals.where(F.col("available_date") <= t), dates)
-    row = F.struct(*[F.col(c) for c in sorted(full.columns)])
-    both = (full.select(row.alias("r"), F.lit(1).alias("side")).unionByName(cut.select(row.alias("r"), F.lit(-1).alias("side"))))
-    per_row = both.groupBy("r").agg(F.sum("side").alias("net"), F.count_if(F.col("side") == 1).alias("n_full"))
-    return per_row.agg(F.coalesce(F.sum("n_full"), F.lit(0)).alias("n_rows"),
-                       F.coalesce(F.sum(F.abs("net")), F.lit(0)).alias("n_different"))
+def truncation_audit(returns: DataFrame, fundamentals: DataFrame, formations: DataFrame | None = None,
+                     asof_col: str = "available_date") -> DataFrame:
+    """Per formation date its snapshot rows, and how many of them change when everything after the date is removed.
+
+    All dates run in one job (by default every month of the panel). The truncated tables are versions, one per date: a row
+    belongs to the versions of dates at which it is known and can still matter, thirteen months for a return and until a
+    year after it is stale for a filing, so the panel is repeated a bounded number of times. Rows are compared by
+    fingerprint, per security, in any order. ``n_different`` must be 0; another ``asof_col`` shows a leak.
+    """
+    dates = materialize(returns.select(F.col("date").alias("formation_date")).distinct() if formations is None
+                        else formations.select("formation_date").distinct())
+    own = dates.withColumn("version", F.col("formation_date"))
+    months = F.broadcast(dates.select(F.col("formation_date").alias("version"), month_index("formation_date").alias("_v")))
+
+    def versions(df: DataFrame, known, last) -> DataFrame:
+        first = month_index(known)
+        spread = df.withColumn("_v", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array())))
+        return spread.join(months, "_v").where(known <= F.col("version")).drop("_v")
+
+    date, public, period = F.col("date"), F.col("available_date"), F.col("fiscal_period_end")
+    stale = month_index(F.date_add(period, MAX_STALENESS_DAYS)) + 12
+    cut = build_snapshot(versions(returns, date, month_index(date) + LOOKBACK_MONTHS - 1),
+                         versions(fundamentals, public, stale), own, asof_col=asof_col, keys=["version"]).drop("version")
+    full = build_snapshot(returns, fundamentals, dates, asof_col=asof_col)
+    at = ["formation_date", "security_id"]
+    print_of = F.struct(F.xxhash64(*sorted(full.columns)), F.hash(*sorted(full.columns))).alias("_print")
+    both = full.select(*at, print_of, F.lit(1).alias("_side")).unionByName(cut.select(*at, print_of, F.lit(-1).alias("_side")))
+    per_row = both.groupBy(*at, "_print").agg(F.sum("_side").alias("_net"), F.count_if(F.col("_side") == 1).alias("_full"))
+    return per_row.groupBy("formation_date").agg(F.sum("_full").alias("n_rows"), F.sum(F.abs("_net")).alias("n_different"))
 
 
 def quarter_gaps(fundamentals: DataFrame, days: int = 100) -> DataFrame:

@@ -74,7 +74,8 @@ def asof_fundamentals(fundamentals: DataFrame, formations: DataFrame | None = No
                       values: Sequence[str] = tuple(FUNDAMENTAL_VALUES), keys: Sequence[str] = ()) -> DataFrame:
     """(formation_date, security_id) -> newest public filing.
 
-    ``formations`` (column ``formation_date``) holds at most one row per calendar month, so it is broadcast. Only keys
+    ``formations`` (column ``formation_date``) holds at most one row per calendar month, so it is broadcast; where it carries
+    some of the ``keys``, a date counts for these only. Only keys
     are expanded to months and cut to the formation dates; values are joined afterwards, so a filing no date needs
     never moves its values. Filings are unique on (security, period, publication date), so the join that brings the values back spreads
     evenly even when one security has very many filings.
@@ -83,7 +84,8 @@ def asof_fundamentals(fundamentals: DataFrame, formations: DataFrame | None = No
     chosen = (filing_intervals(fundamentals, asof_col, max_staleness_days, shift_months, horizon, keys)
               .select(*filing, F.explode(F.sequence("first_month", "last_month")).alias("_m")))
     if formations is not None:
-        calendar = formations.select(month_index("formation_date").alias("_m")).distinct()
-        chosen = chosen.join(F.broadcast(calendar), "_m", "left_semi")
+        shared = [k for k in keys if k in formations.columns]
+        calendar = formations.select(*shared, month_index("formation_date").alias("_m")).distinct()
+        chosen = chosen.join(F.broadcast(calendar), [*shared, "_m"], "left_semi")
     return (chosen.join(fundamentals.select(*filing, *values), filing)
             .select(month_end_at("_m").alias("formation_date"), *filing, *values))

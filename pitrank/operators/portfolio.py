@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import log_growth
+from ..functions.positions import join_groups
 from .costs import CostModel
 
 
@@ -22,7 +23,7 @@ def target_weights(members: DataFrame, groups: Sequence[str], weighting: str = "
         raise ValueError("weighting must be 'equal' or 'cap'")
     x = F.lit(1.0) if weighting == "equal" else F.col(cap)
     totals = members.groupBy(*groups).agg(F.sum(x).alias("_total"))
-    return members.join(totals, list(groups)).withColumn("weight", F.try_divide(x, F.col("_total"))).drop("_total")
+    return join_groups(members, totals, list(groups)).withColumn("weight", F.try_divide(x, F.col("_total"))).drop("_total")
 
 
 def holding_paths(targets: DataFrame, months: DataFrame, returns: DataFrame, keys: Sequence[str] = (),

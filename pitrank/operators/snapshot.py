@@ -20,8 +20,9 @@ def cross_sections(returns: DataFrame, formations: DataFrame, trailing: bool = T
     ``formations`` has one row per calendar month at most and is broadcast.
     """
     rows = with_trailing(returns, keys=keys) if trailing else returns
-    dates = formations.select(F.col("formation_date").alias("date")).distinct()
-    return (rows.join(F.broadcast(dates), "date", "left_semi")
+    shared = [k for k in keys if k in formations.columns]
+    dates = formations.select(*shared, F.col("formation_date").alias("date")).distinct()
+    return (rows.join(F.broadcast(dates), [*shared, "date"], "left_semi")
             .withColumn("formation_date", F.col("date")))
 
 

@@ -207,7 +207,8 @@ def run_scores(panel: Panel, scores: DataFrame | Callable[[DataFrame], DataFrame
         scored = (scores(universe.withColumnRenamed("formation_date", "date"))
                   .where(F.col("score").isNotNull()).withColumnRenamed("date", "formation_date"))
     best = F.desc("score") if higher_is_better else F.asc("score")
-    chosen = top_per_group(scored, [*keys, "formation_date"], [best, F.asc("security_id")], spec.top_n)
+    chosen = top_per_group(scored, [*keys, "formation_date"], [best, F.asc("security_id")], spec.top_n, by="score",
+                           descending=higher_is_better)
     targets = materialize(target_weights(chosen, [*keys, "formation_date"], spec.weighting))
     months = _per_book(plain, targets.select(*keys).distinct()) if keys else plain
     book = simulate(targets, months, returns, spec.costs, keys, panel_keys)

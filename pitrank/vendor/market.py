@@ -32,7 +32,7 @@ def market_returns(returns: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def top_k_index(returns: DataFrame, k: int = 500, keys: Sequence[str] = ()) -> DataFrame:
     """Lagged-cap-weighted return of the ``k`` largest securities of each month."""
     rows = with_lagged_cap(returns, keys).where(F.col("lagged_cap").isNotNull() & F.col("total_return").isNotNull())
-    top = top_per_group(rows, [*keys, "date"], [F.desc("lagged_cap"), F.asc("security_id")], k)
+    top = top_per_group(rows, [*keys, "date"], [F.desc("lagged_cap"), F.asc("security_id")], k, by="lagged_cap")
     return top.groupBy(*keys, "date").agg(weighted_return().alias("sp500_total_return"))
 
 

@@ -106,6 +106,11 @@ def test_snapshot_hides_publication_dates_and_future(spark):
     assert "available_date" not in snap.columns
     row = rows(snap, "security_id")[0]
     assert row["fundamentals_age_days"] == 61 and row["total_assets_prior"] is None and row["ebit_ttm"] == 4.0
-    audit = truncation_audit(r, f, "2020-11-30").first()
+    audit = truncation_audit(r, f, t).first()
     assert (audit.n_rows, audit.n_different) == (2, 0)
+    every = rows(truncation_audit(r, f), "formation_date")
+    assert len(every) == 36 and all((a["n_rows"], a["n_different"]) == (2, 0) for a in every)
+    with pytest.warns(LookAheadWarning):
+        leak = rows(truncation_audit(r, f, asof_col="fiscal_period_end"))
+    assert sum(a["n_different"] for a in leak) > 0
     assert missing_formations(r, dates(spark, "2020-11-30", "2030-01-31")).count() == 1

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from helpers import approx, rows
 from pitrank.functions.columns import linear_quantile, piecewise_linear
@@ -143,6 +143,23 @@ def test_universe_filter(spark):
     assert top_per_group(many, ["formation_date"], [F.asc("security_id")], 3, rank="r").agg(F.max("r")).first()[0] == 3
 
 
+@pytest.mark.parametrize("slice_rows", [100_000, 25])
+def test_largest_names_by_a_cut_value(spark, monkeypatch, slice_rows):
+    """Negative, zero, infinite, NaN, NULL and very many equal values; groups with a NULL key; slices only where many are left."""
+    from pitrank.operators import universe as U
+    monkeypatch.setattr(U, "SLICE_ROWS", slice_rows)
+    odd = [float("inf"), float("-inf"), float("nan"), None, 0.0, -0.0, -1.5, 1e-300, -1e-300, 1e300, 2.0, 2.0]
+    data = [("a", i, x) for i, x in enumerate(odd)] + [("b", i, 7.0) for i in range(400)] + [(None, i, float(i % 9)) for i in range(90)]
+    df = spark.createDataFrame(data, "g string, id int, x double")
+    plain = Window.partitionBy("g")
+    for order, down in ((F.desc_nulls_last("x"), True), (F.asc_nulls_last("x"), False)):
+        want = df.withColumn("r", F.row_number().over(plain.orderBy(order, "id"))).where("r <= 8")
+        got = top_per_group(df, ["g"], [order, F.asc("id")], 8, ["id"], rank="r", by="x", descending=down)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    seen = top_per_group(df.where("g = 'b'").withColumn("x", F.col("id") + 1.0), ["g"], [F.desc("x")], 8, ["id"], by="x")
+    assert seen.count() == 8 and "_group" not in seen.columns
+
+
 def test_specs_reject_bad_values():
     for bad in (dict(factors={}), dict(factors={"x": 1.0}), dict(factors={"roe": -1.0}), dict(factors={"roe": 1.0}, method="x"),
                 dict(factors={"roe": 1.0}, missing_policy="x")):
