@@ -6,5 +6,5 @@ from . import common
 
 def load():
     """Imports every query module and returns the filled registry."""
-    from . import audits, core, portfolios, reports, vendors, storage, markets  # noqa: F401
+    from . import audits, core, portfolios, reports, vendors, storage, markets, extension  # noqa: F401
     return common

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pitrank.functions.lineage import materialize
-from pitrank.operators.factors import compute_factors, factor_coverage, get_factor, list_factors
+from pitrank.operators.factors import compute_factors, factor_coverage, list_factors
 from pitrank.operators.pit import asof_fundamentals
 from pitrank.operators.ranking import RankingSpec, rank_stocks, with_average_ranks
 from pitrank.operators.schedule import rebalance_dates
@@ -20,6 +20,7 @@ from .common import present, register, sql
 from .panel import FUND_SQL, PANEL_SQL, RET_SQL, fundamentals, panel, returns
 
 START, END = "1996-06-30", "2001-06-30"
+BUILTIN = list_factors()
 SPEC = BacktestSpec(name="quarterly value and quality", start=START, end=END, frequency="quarterly", anchor_month=12,
                     top_n=10, split_date="1999-03-31")
 SMALL = BacktestSpec(name="smoke", start=START, end=END, frequency="annual", anchor_month=12, top_n=3,
@@ -292,7 +293,7 @@ def f02(spark, sf):
     return present(select_universe(sec, rule), "formation_date:d security_id market_cap:0")
 
 
-ALL_LAYOUT = "formation_date:d security_id " + " ".join(f"{f}:9" for f in list_factors())
+ALL_LAYOUT = "formation_date:d security_id " + " ".join(f"{f}:9" for f in BUILTIN)
 
 
 def _snapshot_universe(spark, sf, freq="quarterly", rule=UniverseRule(), requires=None):
@@ -301,21 +302,21 @@ def _snapshot_universe(spark, sf, freq="quarterly", rule=UniverseRule(), require
                           universe=lambda s: select_universe(s, rule))
 
 
-@register("x01_x13_factors", sql(ALL_LAYOUT, "vals", *BASE, form_sql(3), SNAP_SQL, universe_sql(), values_sql(list_factors())))
+@register("x01_x13_factors", sql(ALL_LAYOUT, "vals", *BASE, form_sql(3), SNAP_SQL, universe_sql(), values_sql(BUILTIN)))
 def x01(spark, sf):
-    return present(compute_factors(_snapshot_universe(spark, sf), list_factors()), ALL_LAYOUT)
+    return present(compute_factors(_snapshot_universe(spark, sf), BUILTIN), ALL_LAYOUT)
 
 
 COVER_LAYOUT = "formation_date:d factor n_securities:i n_available:i missing_rate:4 direction"
 
 
-@register("x16_factor_coverage", sql(COVER_LAYOUT, "x", *BASE, form_sql(3), SNAP_SQL, universe_sql(), values_sql(list_factors()),
+@register("x16_factor_coverage", sql(COVER_LAYOUT, "x", *BASE, form_sql(3), SNAP_SQL, universe_sql(), values_sql(BUILTIN),
           "x AS (" + " UNION ALL ".join(
               f"SELECT formation_date, '{f}' AS factor, count(*) AS n_securities, count({f}) AS n_available, "
-              f"round(1 - count({f})::DOUBLE / count(*), 4) AS missing_rate, '{get_factor(f).direction}' AS direction "
-              "FROM vals GROUP BY formation_date" for f in list_factors()) + ")"))
+              f"round(1 - count({f})::DOUBLE / count(*), 4) AS missing_rate, '{"lower" if f in LOW_IS_GOOD else "higher"}' AS direction "
+              "FROM vals GROUP BY formation_date" for f in BUILTIN) + ")"))
 def x16(spark, sf):
-    return present(factor_coverage(_snapshot_universe(spark, sf), keys=["formation_date"]), COVER_LAYOUT)
+    return present(factor_coverage(_snapshot_universe(spark, sf), BUILTIN, keys=["formation_date"]), COVER_LAYOUT)
 
 
 # ---------------------------------------------------------------- ranking

@@ -5,10 +5,11 @@ import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
+_run: ContextVar[str | None] = ContextVar("run", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,22 +24,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, kind: str = "table") -> str:
-    path = f"{shared_folder(spark)}/pitrank-{kind}-{uuid.uuid4().hex}"
-    _written.append(path)
-    return path
+    """A path of its own in the shared folder, inside the folder of the run it belongs to."""
+    run = _run.get()
+    return f"{shared_folder(spark)}/{f'pitrank-run-{run}/' if run else ''}pitrank-{kind}-{uuid.uuid4().hex}"
 
 
 @contextmanager
 def tables_of_a_run(spark: SparkSession) -> Iterator[None]:
-    """Removes, at the end, every table that was written in between. Results must have been used up by then."""
-    first = len(_written)
+    """Removes, at the end, every table that was written in between. Results must have been used up by then.
+
+    A run's tables stand in a folder named by the run, so runs that overlap do not touch each other's.
+    """
+    run = uuid.uuid4().hex
+    before = _run.set(run)
     try:
         yield
     finally:
-        for path in _written[first:]:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        del _written[first:]
+        _run.reset(before)
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/pitrank-run-{run}")
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -55,4 +59,4 @@ def materialize(df: DataFrame) -> DataFrame:
 def materialize_all(*dfs: DataFrame) -> list[DataFrame]:
     """Several independent tables at the same time, so that one job's last tasks do not leave the cluster idle."""
     with ThreadPoolExecutor(len(dfs)) as pool:
-        return list(pool.map(materialize, dfs))
+        return list(pool.map(lambda context, df: context.run(materialize, df), [copy_context() for _ in dfs], dfs))

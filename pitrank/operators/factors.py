@@ -61,9 +61,9 @@ def list_factors() -> list[str]:
     return list(_REGISTRY)
 
 
-def _builtin(name: str, direction: str, requires: str, formula: str, build: Callable[[], Column], category: str,
+def _builtin(name: str, direction: str, requires: Sequence[str], formula: str, build: Callable[[], Column], category: str,
              missing: str, label: str = "") -> None:
-    factor(name, label or name.replace("_", " "), formula, direction, requires.split(), missing, label, category)(build)
+    factor(name, label or name.replace("_", " "), formula, direction, requires, missing, label, category)(build)
 
 
 def _c(name: str) -> Column:
@@ -80,41 +80,41 @@ def enterprise_value() -> Column:
             + _c("minority_interest") - _c("cash"))
 
 
-_builtin("return_on_capital", HIGHER, "ebit_ttm current_assets cash current_liabilities short_term_debt net_ppe",
+_builtin("return_on_capital", HIGHER, ["ebit_ttm", "current_assets", "cash", "current_liabilities", "short_term_debt", "net_ppe"],
          "EBIT / (working capital floored at 0 + net PP&E)",
          lambda: safe_div("ebit_ttm", tangible_capital()), "Quality", "NULL without positive tangible capital")
 _builtin("earnings_yield", HIGHER,
-         "ebit_ttm market_cap long_term_debt short_term_debt preferred_stock minority_interest cash",
+         ["ebit_ttm", "market_cap", "long_term_debt", "short_term_debt", "preferred_stock", "minority_interest", "cash"],
          "EBIT / enterprise value",
          lambda: safe_div("ebit_ttm", enterprise_value()), "Value", "NULL without positive enterprise value")
-_builtin("book_to_market", HIGHER, "book_equity market_cap", "book equity / market cap",
+_builtin("book_to_market", HIGHER, ["book_equity", "market_cap"], "book equity / market cap",
          lambda: safe_div(F.when(_c("book_equity") > 0, _c("book_equity")), "market_cap"), "Value",
          "NULL when book equity is not positive")
-_builtin("earnings_to_price", HIGHER, "net_income_ttm market_cap", "net income / market cap",
+_builtin("earnings_to_price", HIGHER, ["net_income_ttm", "market_cap"], "net income / market cap",
          lambda: safe_div("net_income_ttm", "market_cap"), "Value", "losses kept")
-_builtin("sales_to_price", HIGHER, "revenue_ttm market_cap", "revenue / market cap",
+_builtin("sales_to_price", HIGHER, ["revenue_ttm", "market_cap"], "revenue / market cap",
          lambda: safe_div("revenue_ttm", "market_cap"), "Value", "NULL without market cap")
-_builtin("fcf_yield", HIGHER, "operating_cash_flow_ttm capex_ttm market_cap", "(operating cash flow - capex) / market cap",
+_builtin("fcf_yield", HIGHER, ["operating_cash_flow_ttm", "capex_ttm", "market_cap"], "(operating cash flow - capex) / market cap",
          lambda: safe_div(_c("operating_cash_flow_ttm") - _c("capex_ttm"), "market_cap"), "Value",
          "negative cash flow kept")
-_builtin("shareholder_yield", HIGHER, "dividends_ttm shares_diluted shares_diluted_prior price market_cap",
+_builtin("shareholder_yield", HIGHER, ["dividends_ttm", "shares_diluted", "shares_diluted_prior", "price", "market_cap"],
          "(dividends + shares bought back over a year x price) / market cap",
          lambda: safe_div(_c("dividends_ttm") + (_c("shares_diluted_prior") - _c("shares_diluted")) * _c("price"),
                           "market_cap"), "Value", "NULL without a share count a year ago")
-_builtin("gross_profitability", HIGHER, "gross_profit_ttm total_assets", "gross profit / total assets",
+_builtin("gross_profitability", HIGHER, ["gross_profit_ttm", "total_assets"], "gross profit / total assets",
          lambda: safe_div("gross_profit_ttm", "total_assets"), "Quality", "NULL without positive assets")
-_builtin("roe", HIGHER, "net_income_ttm book_equity", "net income / book equity",
+_builtin("roe", HIGHER, ["net_income_ttm", "book_equity"], "net income / book equity",
          lambda: safe_div("net_income_ttm", "book_equity"), "Quality", "NULL without positive equity",
          "Return on equity")
-_builtin("accruals", LOWER, "net_income_ttm operating_cash_flow_ttm total_assets",
+_builtin("accruals", LOWER, ["net_income_ttm", "operating_cash_flow_ttm", "total_assets"],
          "(net income - operating cash flow) / total assets",
          lambda: safe_div(_c("net_income_ttm") - _c("operating_cash_flow_ttm"), "total_assets"), "Quality",
          "NULL without positive assets")
-_builtin("asset_growth", LOWER, "total_assets total_assets_prior", "total assets / total assets a year ago - 1",
+_builtin("asset_growth", LOWER, ["total_assets", "total_assets_prior"], "total assets / total assets a year ago - 1",
          lambda: safe_div("total_assets", "total_assets_prior") - 1, "Quality", "NULL without assets a year ago")
-_builtin("momentum_12_1", HIGHER, "mom_12_1", "return over the 11 months before the last one",
+_builtin("momentum_12_1", HIGHER, ["mom_12_1"], "return over the 11 months before the last one",
          lambda: _c("mom_12_1"), "Price", "NULL with fewer than 9 months")
-_builtin("volatility_12m", LOWER, "vol_12m", "annualised deviation of the last 12 monthly returns",
+_builtin("volatility_12m", LOWER, ["vol_12m"], "annualised deviation of the last 12 monthly returns",
          lambda: _c("vol_12m"), "Price", "NULL with fewer than 9 months")
 
 

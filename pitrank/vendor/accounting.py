@@ -29,10 +29,11 @@ ANNUAL_ITEMS = {
     "cash": "che", "current_liabilities": "lct", "short_term_debt": "dlc", "long_term_debt": "dltt",
     "net_ppe": "ppent", "total_assets": "at", "book_equity": "be", "preferred_stock": "pstk",
     "minority_interest": "mib", "shares_diluted": "cshfd"}
-QUARTERLY_COLUMNS = ("gvkey datadate fyearq fqtr rdq saleq cogsq oiadpq niq oancfy capxy dvy actq cheq lctq dlcq dlttq "
-                     "ppentq atq ceqq pstkq mibq txditcq cshfdq").split()
-ANNUAL_COLUMNS = ("gvkey datadate fyear sale cogs oiadp ni oancf capx dvt act che lct dlc dltt ppent at ceq pstk mib "
-                  "txditc cshfd").split()
+QUARTERLY_COLUMNS = ["gvkey", "datadate", "fyearq", "fqtr", "rdq", "saleq", "cogsq", "oiadpq", "niq", "oancfy",
+                     "capxy", "dvy", "actq", "cheq", "lctq", "dlcq", "dlttq", "ppentq", "atq", "ceqq", "pstkq",
+                     "mibq", "txditcq", "cshfdq"]
+ANNUAL_COLUMNS = ["gvkey", "datadate", "fyear", "sale", "cogs", "oiadp", "ni", "oancf", "capx", "dvt", "act", "che",
+                  "lct", "dlc", "dltt", "ppent", "at", "ceq", "pstk", "mib", "txditc", "cshfd"]
 
 
 def accounting_scan(df: DataFrame, columns: Sequence[str], start, end) -> DataFrame:
