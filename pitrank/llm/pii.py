@@ -17,16 +17,20 @@ from pyspark.sql import Column, functions as F
 from .kinds import LONG, STRING, rows, struct
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("url", "account", "iban", "ssn", "street")
+ADDED_KINDS = ("url", "account", "iban", "ssn", "street", "secret")
 KINDS = BASE_KINDS + ADDED_KINDS
 
 # Anchors and the parser each one starts. Letters are matched in any case.
 ANCHORS = {
     "email": ["@"],
+    "phone": ["+"],
+    "digit": list("0123456789"),
     "url": ["http://", "https://", "ftp://", "mailto:", "www."],
     "account": ["account", "acct", "a/c", "customer no", "member id", "passport", "konto", "compte", "cuenta"],
     "iban": ["iban"],
     "ssn": ["ssn", "social security"],
+    "secret": ["token", "secret", "password", "passwd", "api key", "api_key", "apikey", "access key", "access_key",
+               "private key", "private_key", "credential"],
     "street": [" street", " avenue", " road", " boulevard", " lane"],
 }
 
@@ -42,6 +46,8 @@ URL_TAIL = re.compile(r"[A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%]+")
 GAP = re.compile(r"[\s:#.=-]{0,4}(?:(?:no|nr|num|number|id)\b[\s:#.=-]{0,4})?", re.I)
 ACCOUNT = re.compile(r"[A-Z0-9](?:[ -]?[A-Z0-9]){4,33}(?![A-Za-z0-9])")
 SSN = re.compile(r"([0-9]{3})[- ]?([0-9]{2})[- ]?([0-9]{4})(?![0-9])")
+ASSIGNED = re.compile(r"""s?["']?\s{0,3}(?::=|=>|=|:|\bis\b)\s{0,3}["']?""", re.I)
+SECRET = re.compile(r"[A-Za-z0-9_\-+/~]{8,}(?:=|\.[A-Za-z0-9_\-+/~=]+)*")
 STREET_HEAD = re.compile(r"[0-9]{1,5}[A-Za-z]?(?: [A-Z][a-z]+){1,3}\Z")
 
 
@@ -88,27 +94,24 @@ def _emails(text: str, ats: list[int]) -> list[tuple[int, int]]:
     return found
 
 
-def _ips(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in IP.finditer(text)
-            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+def _ip_ok(address: str) -> bool:
+    return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in address.split("."))
 
 
-def _cards(text: str) -> list[tuple[int, int]]:
-    found = []
-    for m in CARD.finditer(text):
-        digits = NOT_DIGITS.sub("", m[0])
-        if 16 <= len(digits) <= 19 and luhn(digits):
-            found.append(m.span())
-    return found
+def _card_ok(number: str) -> bool:
+    digits = NOT_DIGITS.sub("", number)
+    return 16 <= len(digits) <= 19 and luhn(digits)
 
 
-def _phones(text: str) -> list[tuple[int, int]]:
-    found = []
-    for m in PHONE.finditer(text):
-        # the shortest match has a digit, one more character and a digit
-        if m.end() - m.start() >= 4 and 8 <= len(NOT_DIGITS.sub("", m[0])) <= 15:
-            found.append(m.span())
-    return found
+def _phone_ok(number: str) -> bool:
+    # the shortest match has a digit, one more character and a digit
+    return len(number) >= 4 and 8 <= len(NOT_DIGITS.sub("", number)) <= 15
+
+
+# What an anchor starts: kind, pattern and check. A pattern reads from the anchor; whatever it reads is used up, also if
+# the check fails, as a search from left to right would have it.
+FROM_DIGIT = (("ip", IP, _ip_ok), ("card", CARD, _card_ok))
+FROM_PLUS = (("phone", PHONE, _phone_ok),)
 
 
 def _expand(kind: str, text: str, start: int, end: int) -> tuple[int, int] | None:
@@ -131,6 +134,10 @@ def _expand(kind: str, text: str, start: int, end: int) -> tuple[int, int] | Non
         m = SSN.match(text, at)
         ok = m and m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000"
         return m.span() if ok else None
+    if kind == "secret":
+        m = (gap := ASSIGNED.match(text, end)) and SECRET.match(text, gap.end())
+        ok = m and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])
+        return m.span() if ok else None
     m = ACCOUNT.match(text, at)
     if not m or at == end:
         return None
@@ -151,12 +158,19 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans per kind, each list in order of position; base kinds as their patterns define them."""
     spans: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    ats, free = [], dict.fromkeys(ANCHORS, 0)
+    ats, free = [], dict.fromkeys([*ANCHORS, "ip", "card"], 0)
     for last, (kind, size) in _automaton().iter(ascii_lower(text)):
         if kind == "email":
             ats.append(last)
             continue
         start = last - size + 1
+        if kind in ("digit", "phone"):
+            for base, pattern, ok in FROM_DIGIT if kind == "digit" else FROM_PLUS:
+                if start >= free[base] and (m := pattern.match(text, start)):
+                    free[base] = m.end()
+                    if ok(m[0]):
+                        spans[base].append(m.span())
+            continue
         if start < free[kind]:
             continue
         span = _expand(kind, text, start, last + 1)
@@ -164,9 +178,6 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
             spans[kind].append(span)
             free[kind] = span[1]
     spans["email"] = _emails(text, ats)
-    spans["ip"] = _ips(text)
-    spans["card"] = _cards(text)
-    spans["phone"] = _phones(text) if "+" in text else []
     return spans
 
 
@@ -193,11 +204,12 @@ def _personal_data(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def personal_data(document: Column | str) -> Column:
     """What personal data the text of a filing document holds: a struct of counts, a digest and spans.
 
-    An Aho-Corasick automaton reads the text once and reports at-signs, URL schemes and identifier cues; a small
-    deterministic parser grows each anchor to its boundaries and validates it (domains, IBAN check digits, social
-    security ranges, house numbers before street words). IP, card and phone numbers have no cue: their digit runs are
-    the anchors, each read once. Spans are (kind, start, end) in code points with exclusive ends. The base kinds follow
-    the given patterns exactly; ``url``, ``account``, ``iban``, ``ssn`` and ``street`` are added and may overlap them.
+    An Aho-Corasick automaton reads the text once and reports at-signs, plus-signs, digits, URL schemes and identifier
+    cues; a small deterministic parser grows each anchor to its boundaries and validates it (domains, number ranges, Luhn
+    and IBAN check digits, social security ranges, house numbers before street words, values with letters and digits
+    assigned to a token, key or password). Spans are (kind, start, end) in code points with exclusive ends. The base kinds
+    follow the given patterns exactly; ``url``, ``account``, ``iban``, ``ssn``, ``street`` and ``secret`` are added and may
+    overlap them.
 
     NULL and empty texts have no spans. Rows are independent: repeated rows give equal results, other columns are not
     looked at, and texts of any length are read whole, in time linear in their length.

@@ -52,7 +52,14 @@ def test_added_kinds():
             "and 12 Long Hill Road, not ssn 000-12-3456, IBAN DE00 1234 5678 9012 3456 78, account of x")
     got = {k: [text[a:b] for a, b in v] for k, v in P.find_spans(text).items() if k in P.ADDED_KINDS}
     assert got == {"url": ["https://a.example/x?q=1"], "iban": ["DE89 3704 0044 0532 0130 00"], "account": ["12345678"],
-                   "ssn": ["123-45-6789"], "street": ["12 Long Hill Road"]}
+                   "ssn": ["123-45-6789"], "street": ["12 Long Hill Road"], "secret": []}
+
+
+def test_secrets():
+    text = ('x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y, API_KEY: sk-12ab34cd56, "password": "hunter2hunter", secrets is a1b2c3d4e5; '
+            "a token of thanks, the secret is safe, token = abc1, password: correcthorse, untoken=zz11zz22zz")
+    found = [text[a:b] for a, b in P.find_spans(text)["secret"]]
+    assert found == ["04dbebab91ab85687d33eeaaf9ac699e1188f962", "sk-12ab34cd56", "hunter2hunter", "a1b2c3d4e5"]
 
 
 def test_lower_case_keeps_positions():
