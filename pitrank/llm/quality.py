@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.lineage import materialize
 from .kinds import BOOLEAN, DOUBLE, LONG, STRING, rows, struct
 from .words import WordHashes, words_of
+from .worker import held, key_of
 
 # Symbols, and the character classes of the histograms.
 SYMBOLS = b"#*$%&|<>"
@@ -22,7 +23,6 @@ CLASSES = ("lower", "upper", "digit", "space", "line", "symbol", "punctuation",
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 COMMON_SHARE = 0.002       # a common word has at least this share of its language's words: at most 500 of them
-LANGUAGE_SHARE = 0.001     # a reference language has at least this share of all words: at most 1000 of them
 FLUSH_WORDS = 300_000
 
 
@@ -131,17 +131,16 @@ def language_references(filings: DataFrame) -> References:
     """Character-class and common-word histograms of every language, over all filings whose language is known.
 
     Tasks sum their own words before the shuffle. A common word has COMMON_SHARE of its language's words, so there are
-    at most 1 / COMMON_SHARE of them, and languages with less than LANGUAGE_SHARE of all words have no reference:
-    what comes to the driver is bounded whatever the input.
+    at most 1 / COMMON_SHARE of them; every language has a reference, however few its words are among all. What comes to
+    the driver is bounded by the number of languages. NULL and wordless documents, and those of unknown language, do not
+    count; an empty table gives no references.
     """
     counts = (filings.where("language IS NOT NULL AND document IS NOT NULL").select("document", "language")
               .mapInArrow(_histograms, HISTOGRAM).groupBy("language", "kind", "bin").agg(F.sum("n").alias("n")))
     # partial sums by language first: the language with most words is no crowded key
     counts = materialize(counts)
     words_of_language = (counts.where("kind = 'word'").groupBy("language").agg(F.sum("n").alias("_words")))
-    every = words_of_language.agg(F.sum("_words")).first()[0] or 0
-    large = words_of_language.where(F.col("_words") >= LANGUAGE_SHARE * every)
-    found = (counts.join(F.broadcast(large), "language")
+    found = (counts.join(F.broadcast(words_of_language), "language")
              .where((F.col("kind") == "character") | (F.col("n") >= COMMON_SHARE * F.col("_words"))))
     rows_of: dict[str, list] = {}
     for r in found.collect():
@@ -199,8 +198,13 @@ def duplicate_lines(text: bytes) -> int:
 class Judge:
     def __init__(self, references: References, limits: Divergence):
         self.references, self.limits, self.hashes = references, limits, WordHashes()
-        self.common = [{np.uint64(np.int64(b)): i for b, i in w.items()} for w in references.words]
-        self.common = [{int(b): i for b, i in w.items()} for w in self.common]
+        # languages and places of each common word, and each language's distance to a text without any of its words
+        self.places: dict[int, list[tuple[int, int]]] = {}
+        for i, words in enumerate(references.words):
+            for b, k in words.items():
+                self.places.setdefault(int(np.uint64(np.int64(b))), []).append((i, k))
+        self.foreign = [float(jensen_shannon(np.eye(1, len(s), len(s) - 1)[0], s[None])[0]) for s in references.word_shares]
+        self.expected = [float(1 - s[-1]) for s in references.word_shares]
 
     def distances(self, text: bytes) -> tuple[str | None, float | None, float | None, float, float]:
         """Nearest language, both distances to it, the text's common words and how many it should have by its length.
@@ -210,19 +214,26 @@ class Judge:
         ref = self.references
         if not ref.languages:
             return None, None, None, 0.0, 0.0
-        words = self.hashes.of(lowered_words(text)).tolist()
-        best = None
+        words = Counter(self.hashes.of(lowered_words(text)).tolist())
+        n_words = words.total()
+        histograms: dict[int, np.ndarray] = {}
+        for w, n in words.items():
+            for i, k in self.places.get(w, ()):
+                if i not in histograms:
+                    histograms[i] = np.zeros(len(ref.word_shares[i]))
+                histograms[i][k] = n
         of_characters = jensen_shannon(character_counts(text), ref.characters)
-        for i in range(len(ref.languages)):
-            common = self.common[i]
-            inside = Counter(common[w] for w in words if w in common)
-            h = np.zeros(len(common) + 1)
-            for k, n in inside.items():
-                h[k] = n
-            h[-1] = len(words) - sum(inside.values())
-            d = (float(jensen_shannon(h, ref.word_shares[i][None])[0]), float(of_characters[i]), ref.languages[i],
-                 float(h[:-1].sum()), len(words) * float(1 - ref.word_shares[i][-1]))
-            best = d if best is None or d < best else best
+
+        def distance(i: int) -> tuple:
+            h, common = histograms.get(i), 0.0
+            by_word = self.foreign[i]
+            if h is not None:
+                common = float(h.sum())
+                h[-1] = n_words - common
+                by_word = float(jensen_shannon(h, ref.word_shares[i][None])[0])
+            return by_word, float(of_characters[i]), ref.languages[i], common, n_words * self.expected[i]
+
+        best = min(map(distance, range(len(ref.languages))))
         return best[2], best[1], best[0], best[3], best[4]
 
     def measure(self, text: bytes) -> tuple:
@@ -250,12 +261,11 @@ def quality(document: Column | str, references: References, limits: Divergence =
     Histograms of few characters or words are not judged, and without references every text that passes the base rules
     is kept. NULL and empty texts have no words and fail. Whole texts are read; repeated rows get equal results; other columns are not looked at.
     """
-    state: list[Judge] = []
+    key = key_of("quality", references, limits)
 
     @F.arrow_udf(MEASURES)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if not state:
-            state.append(Judge(references, limits))
+        judge = held(key, lambda: Judge(references, limits))
         for batch in batches:
-            yield rows(MEASURES, [state[0].measure(t or b"") for t in batch.cast(pa.binary()).to_pylist()])
+            yield rows(MEASURES, [judge.measure(t or b"") for t in batch.cast(pa.binary()).to_pylist()])
     return run(document)

@@ -19,7 +19,7 @@ def words_of(text: bytes) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound so that frequent words are hashed once."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -99,3 +100,17 @@ def test_texts_without_common_words_are_rejected():
     # a language of rare words only is no evidence
     thin = Q.Judge(Q.References(["zh"], classes[None], [{hashes[0]: 0}], [np.array([0.01, 0.99])]), Q.Divergence())
     assert thin.measure(text)[-1]
+
+
+def test_a_rare_language_has_a_reference_of_its_own(spark):
+    """Three clean texts in another script, a two-thousandth of all words, are kept; gibberish of that script is not compared
+    with Latin references only."""
+    letters = "αβγδεζηθικλμνξοπρστυφχψω"
+    r = random.Random(4)
+    words = ["".join(r.choice(letters) for _ in range(r.randint(3, 8))) for _ in range(60)]
+    greek = [(10_000 + i, " ".join(r.choice(words) for _ in range(200)) + ".", "el") for i in range(3)]
+    docs = filings(spark, [(i, prose(400, i), "en") for i in range(3000)] + greek)
+    verdict = Q.quality("document", Q.language_references(docs))
+    got = {x[0]: (x[1], x[2]) for x in docs.where("filing_id >= 10000").select("filing_id", verdict.alias("q"))
+           .select("filing_id", "q.language", "q.kept").collect()}
+    assert got == {i: ("el", True) for i, _, _ in greek}
