@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.lineage import materialize
 from .kinds import INT, LONG, struct
+from .worker import held, key_of
 
 WORD = re.compile(r"\w+")
 ERROR_RATE = 0.05      # edits allowed per character of an item
@@ -161,16 +162,15 @@ def leaks(document: Column | str, items: list[tuple[int, str]], rate: float = ER
     whole. NULL and empty documents contain nothing; NULL and empty items are contained nowhere; items of fewer than
     SHORT_CHARS characters must occur exactly, as whole words.
     """
-    state: list[Matcher] = []
+    key = key_of("items", items, rate)
     kind = to_arrow_type(MATCHES)
 
     @F.arrow_udf(MATCHES)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if not state:
-            state.append(Matcher(items, rate))
+        matcher = held(key, lambda: Matcher(items, rate))
         names = MATCHES.elementType.names
         for batch in batches:
-            yield pa.array([[dict(zip(names, m)) for m in state[0].matches(t or "")] for t in batch.to_pylist()],
+            yield pa.array([[dict(zip(names, m)) for m in matcher.matches(t.as_py() or "")] for t in batch],
                            type=kind)
     return run(document)
 

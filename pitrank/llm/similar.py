@@ -10,14 +10,26 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.lineage import materialize
+from ..sources.landed import settings
 from .components import component_roots
-from .kinds import LONG
+from .kinds import LONG, arrays, struct
 from .words import WordHashes, mix, words_of
+from .worker import held, key_of
 
-BLOCK = 512          # texts of a cell compared in one task; larger cells are compared block by block
+CHUNK_SHINGLES = 2_000_000   # shingles, 8 bytes each, of the texts that one comparison holds
+# Whole texts and sets go to workers in small batches. Before texts are shuffled to find those that have candidates, most
+# others are dropped by a Bloom filter on their ids; it has a fixed size and lets more pass where ids are very many.
+SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+            "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+            "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+            "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1t",
+            "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
+            "spark.sql.optimizer.runtime.bloomFilter.numBits": "67108864",
+            "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": "67108864"}
+BLOCK = 512                  # texts of a cell that is part of a larger group; its cells are compared block by block
 
 
 @dataclass(frozen=True)
@@ -62,10 +74,10 @@ class Sketcher:
         self.plus = r.integers(0, 2**64, n, dtype=np.uint64)
 
     def sketch(self, text: bytes) -> np.ndarray:
-        """The text's own hash, then one cell key per band (none without words)."""
+        """The text's own hash, the number of its shingles, then one cell key per band (none without words)."""
         words = normal(text)
         shingles = shingle_set(words, self.p.words, self.hashes)
-        body = np.array([body_of(words)], np.uint64)
+        body = np.array([body_of(words), len(shingles)], np.uint64)
         if not len(shingles):
             return body
         least = np.full(len(self.times), np.iinfo(np.uint64).max, np.uint64)
@@ -78,15 +90,14 @@ class Sketcher:
 
 
 def sketch(document: Column | str, p: Similar = Similar()) -> Column:
-    """Array of longs: the hash of the lower-cased words first, then the text's cells; NULL is a text without words."""
-    state: list[Sketcher] = []
+    """Array of longs: the hash of the lower-cased words, the number of shingles, the text's cells; NULL has no words."""
+    key = key_of("sketch", p)
 
     @F.arrow_udf("array<bigint>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if not state:
-            state.append(Sketcher(p))
+        sketcher = held(key, lambda: Sketcher(p))
         for batch in batches:
-            yield pa.array([state[0].sketch(t or b"").view(np.int64) for t in batch.cast(pa.binary()).to_pylist()],
+            yield pa.array([sketcher.sketch(t.as_py() or b"").view(np.int64) for t in batch.cast(pa.binary())],
                            pa.list_(pa.int64()))
     return run(document)
 
@@ -103,19 +114,81 @@ def body(document: Column | str) -> Column:
     return _body(document)
 
 
+WHOLE = struct(body=LONG, shingles=T.BinaryType())
+
+
 def _sets(document: Column | str, p: Similar) -> Column:
-    state: list[WordHashes] = []
+    """A text's own hash and its whole shingle set."""
+    key = key_of("shingles", p)
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf(WHOLE)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if not state:
-            state.append(WordHashes())
+        hashes = held(key, WordHashes)
         for batch in batches:
-            yield pa.array([shingle_set(normal(t or b""), p.words, state[0]).tobytes()
-                            for t in batch.cast(pa.binary()).to_pylist()], pa.binary())
+            bodies, sets = np.empty(len(batch), np.uint64), []
+            for i, t in enumerate(batch.cast(pa.binary())):  # one text's words at a time
+                words = normal(t.as_py() or b"")
+                bodies[i] = body_of(words)
+                sets.append(shingle_set(words, p.words, hashes).tobytes())
+            yield arrays(WHOLE, [pa.array(bodies.view(np.int64)), pa.array(sets, pa.binary())])
     return run(document)
 
 
+def classes(sets: list[np.ndarray], cells: list[np.ndarray], least: float) -> np.ndarray:
+    """For each text the number of its class: texts that share a cell are compared, by whole sets, unless they are
+    connected already."""
+    sizes = np.array([len(s) for s in sets])
+    _, tokens = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    root, marked = np.arange(len(sets)), np.zeros(tokens.max() + 1, bool)
+    keys, row = np.concatenate(cells), np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+    order = np.lexsort((row, keys))
+    for members in np.split(row[order], np.flatnonzero(np.diff(keys[order])) + 1):
+        for at, i in enumerate(members):
+            others = members[at + 1:]
+            others = others[root[others] != root[i]]
+            if not len(others):
+                if (root[members] == root[i]).all():
+                    break
+                continue
+            own = tokens[starts[i]:starts[i] + sizes[i]]
+            marked[own] = True
+            ends = np.cumsum(sizes[others])
+            firsts = ends - sizes[others]
+            inside = np.arange(ends[-1]) + np.repeat(starts[others] - firsts, sizes[others])
+            both = np.add.reduceat(marked[tokens[inside]].astype(np.int64), firsts)
+            marked[own] = False
+            near = others[both >= least * (sizes[others] + sizes[i] - both) - 1e-9]
+            for old in np.unique(root[near]):
+                root[root == old] = root[i]
+    return root
+
+
+def _classes_of_chunks(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group; each run of one group is one comparison. Repeated rows of a body count once."""
+        group, members = None, {}
+
+        def out() -> pa.RecordBatch:
+            bodies = np.array(list(members), np.int64)
+            root = classes([s for s, _ in members.values()], [c for _, c in members.values()], least)
+            first = np.full(len(bodies), np.iinfo(np.int64).max)
+            np.minimum.at(first, root, bodies)
+            return pa.RecordBatch.from_arrays([pa.array(bodies), pa.array(first[root])], names=["node", "root"])
+
+        for batch in batches:
+            for of, body, cells, shingles in zip(*batch.columns, strict=True):
+                if of.as_py() != group:
+                    if members:
+                        yield out()
+                    group, members = of.as_py(), {}
+                if body.as_py() not in members:
+                    members[body.as_py()] = (np.frombuffer(shingles.as_py(), np.uint64), np.array(cells.as_py(), np.int64))
+        if members:
+            yield out()
+    return run
+
+
 def spanning_links(bodies: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect exactly the texts whose similarity is ``least`` or more; at most n - 1.
 
@@ -165,30 +238,73 @@ def _links(least: float):
     return run
 
 
-def similar_links(filings: DataFrame, sketches: DataFrame, p: Similar) -> DataFrame:
-    """Links (a, b) between bodies of texts that are similar.
+def _whole_sets(filings: DataFrame, wanted: DataFrame, p: Similar) -> DataFrame:
+    """(body, shingles) of the rows named by ``wanted`` (filing_id, body), found by id and told by body.
 
-    Texts that share a cell are candidates; of cells with the same members one is compared. Only texts that have
-    candidates get their shingle sets, of one row per body, and pairs are decided by the whole sets. Cells over BLOCK
-    are compared in pairs of blocks, each in a task of its own; a spanning set of links leaves a task.
+    Rows without id, and rows of an id that stands for several texts, are found by the body's hash, computed again: by id,
+    each of them would meet all texts of that id.
+    """
+    texts = filings.select(F.col("filing_id").alias("_id"), "document")
+    wanted = wanted.where("n_rows >= 1")  # always so: a filter on that side is what makes Spark build the Bloom filter
+    shared = materialize(wanted.groupBy("filing_id").agg(F.count("*").alias("_n"))
+                         .where("_n > 1 OR filing_id IS NULL").select(F.col("filing_id").alias("_shared")))
+    if shared.isEmpty():
+        alone, together = wanted, None
+    else:
+        same = F.col("filing_id").eqNullSafe(F.col("_shared"))
+        alone, together = wanted.join(shared, same, "left_anti"), wanted.join(shared, same, "left_semi")
+    found = (texts.join(alone, F.col("_id") == F.col("filing_id"))
+             .select("body", _sets("document", p).alias("_s")).where("_s.body = body"))
+    if together is not None:
+        again = (texts.join(shared, F.col("_id").eqNullSafe(F.col("_shared")), "left_semi")
+                 .select("document", body("document").alias("_body")))
+        found = found.union(again.join(together, F.col("_body") == F.col("body")).select("body", _sets("document", p).alias("_s")))
+    return found.select("body", "_s.shingles")
+
+
+def similar_roots(filings: DataFrame, sketches: DataFrame, p: Similar) -> DataFrame:
+    """(node, root) of all bodies that share a cell with another: bodies with equal root are connected by similar texts.
+
+    Texts that share a cell are candidates; texts connected by cells form a group, found from ids alone. Every text's
+    shingle set is then sent once, to its group's comparison. Groups of more than CHUNK_SHINGLES shingles are compared
+    cell by cell, and cells over BLOCK texts in pairs of blocks; these leave links whose components are taken.
     """
-    cells = materialize(sketches.select(F.get("sketch", F.lit(0)).alias("body"), F.explode(
-        F.slice("sketch", 2, p.bands)).alias("cell")).distinct())
-    crowded = (cells.groupBy("cell").agg(F.count("*").alias("_n"), F.sum(F.xxhash64("body") % (1 << 40)).alias("_s"),
+    cells = materialize(sketches.where(F.size("sketch") > 2).select(
+        F.get("sketch", F.lit(0)).alias("body"), F.get("sketch", F.lit(1)).alias("n_shingles"),
+        F.explode(F.slice("sketch", 3, p.bands)).alias("cell")).distinct())
+    crowded = (cells.groupBy("cell").agg(F.count("*").alias("_n"), F.min("body").alias("_first"),
+                                         F.sum(F.xxhash64("body") % (1 << 40)).alias("_s"),
                                          F.bit_xor(F.xxhash64("body")).alias("_x")).where("_n > 1")
-               .groupBy("_n", "_s", "_x").agg(F.min("cell").alias("cell")))
-    members = materialize(cells.join(crowded, "cell").select("cell", "_n", "body"))
-    wanted = (sketches.select("filing_id", F.get("sketch", F.lit(0)).alias("body"))
-              .join(members.select("body").distinct(), "body")
-              .groupBy("body").agg(F.min("filing_id").alias("_least")))
-    texts = filings.select("filing_id", "document", body("document").alias("_body"))
-    sets = (texts.join(wanted, (F.col("_body") == F.col("body")) & F.col("filing_id").eqNullSafe(F.col("_least")))
-            .select("body", _sets("document", p).alias("shingles")))
+               .groupBy("_n", "_s", "_x").agg(F.min(F.struct("cell", "_first")).alias("_c")).select("_n", "_c.*"))
+    members = materialize(cells.join(crowded, "cell").select("cell", "_n", "_first", "body", "n_shingles"))
+    groups = component_roots(members.select(F.col("body").alias("a"), F.col("_first").alias("b")))
+    own = (members.groupBy("body").agg(F.max("n_shingles").alias("n_shingles"), F.collect_set("cell").alias("cells"))
+           .join(groups.select(F.col("node").alias("body"), F.col("root").alias("group")), "body"))
+    own = materialize(own)
+    large = materialize(own.groupBy("group").agg(F.sum("n_shingles").alias("_size")).where(F.col("_size") > CHUNK_SHINGLES))
+    wanted = materialize(sketches.select("filing_id", F.get("sketch", F.lit(0)).alias("body"))
+                         .join(own.select("body"), "body").groupBy("body").agg(F.min("filing_id").alias("filing_id"), F.count("*").alias("n_rows")))
+    sets = _whole_sets(filings, wanted, p)
+    parts = int(filings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if large.isEmpty():
+        chunked, rest = own, None
+    else:
+        sets = materialize(sets)
+        chunked, rest = own.join(large, "group", "left_anti"), own.join(large, "group", "left_semi")
+    found = (chunked.join(sets, "body").select("group", "body", "cells", "shingles")
+             .repartition(parts, "group").sortWithinPartitions("group")
+             .mapInArrow(_classes_of_chunks(p.least), "node bigint, root bigint"))
+    if rest is None:
+        return found
+    links = _links_by_cell(members.join(rest.select("body"), "body"), sets, p, parts)
+    return found.union(component_roots(links))
+
+
+def _links_by_cell(members: DataFrame, sets: DataFrame, p: Similar, parts: int) -> DataFrame:
     tasks = (members.withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int"))
              .withColumn("_own", F.pmod(F.xxhash64("body"), F.col("_blocks")).cast("int"))
              .withColumn("_other", F.explode(F.expr("sequence(0, _blocks - 1)")))
              .select("cell", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "body"))
-    parts = int(filings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (tasks.join(sets, "body").select("cell", "i", "j", "body", "shingles")
             .repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
             .mapInArrow(_links(p.least), "a bigint, b bigint"))
@@ -200,8 +316,36 @@ def similar_groups(filings: DataFrame, p: Similar = Similar()) -> DataFrame:
     Copies share a body and enter the search as one. NULL, empty and blank texts are one group. Other columns are not
     read; an empty table gives an empty one.
     """
-    sketches = materialize(filings.select("filing_id", sketch("document", p).alias("sketch")))
-    roots = materialize(component_roots(similar_links(filings, sketches, p)))
+    with settings(filings.sparkSession, SETTINGS):
+        sketches = materialize(filings.select("filing_id", sketch("document", p).alias("sketch")))
+        roots = materialize(similar_roots(filings, sketches, p))
     bodies = sketches.select("filing_id", F.get("sketch", F.lit(0)).alias("body"))
     return bodies.join(roots, bodies.body == roots.node, "left").select(
         "filing_id", "body", F.coalesce("root", "body").alias("root"))
+
+
+def one_of_each_group(filings: DataFrame, p: Similar = Similar()) -> DataFrame:
+    """Filings, with all their columns, of which one of every group of similar texts stays.
+
+    It is the one with the smallest id (no id comes last, then the smaller text hash decides), and one row of it. Rows
+    are told by id and text together. An empty table stays empty; NULL and blank texts are one group.
+    """
+    rows = materialize(similar_groups(filings, p).groupBy("filing_id", "body", "root").agg(F.count("*").alias("n")))
+    stays = rows.groupBy("root").agg(F.min(F.struct(F.col("filing_id").isNull(), "filing_id", "body")).alias("s")).select(
+        "root", F.col("s.filing_id").alias("id"), F.col("s.body").alias("first"))
+    rows = materialize(rows.join(stays, "root").select(
+        "filing_id", "body", "n",
+        (F.col("filing_id").eqNullSafe(F.col("id")) & (F.col("body") == F.col("first"))).alias("stays")))
+    # whole rows travel as one column, so no name of theirs can be in the way
+    named = filings.select(F.struct(*filings.columns).alias("row"), body("document").alias("text"))
+
+    def among(side: DataFrame, how: str) -> DataFrame:
+        side = side.select(F.col("filing_id").alias("id"), "body")
+        return named.join(side, F.col("row.filing_id").eqNullSafe(F.col("id")) & (F.col("text") == F.col("body")), how)
+
+    repeated = rows.where("stays AND n > 1")
+    if repeated.isEmpty():
+        return among(rows.where("NOT stays"), "left_anti").select("row.*")
+    once = (among(repeated, "left_semi").groupBy(F.col("row.filing_id").alias("id"), "text")
+            .agg(F.min_by("row", F.col("row.document")).alias("row")).select("row.*"))
+    return among(rows.where("NOT stays OR n > 1"), "left_anti").select("row.*").union(once)

@@ -11,10 +11,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .kinds import DOUBLE, INT, struct
 from .words import HASH_SLOTS, likely_first, mix
+from .worker import held, key_of
 
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6, 7)   # first characters of a word, a stem where words are compounds
@@ -25,7 +26,8 @@ WEIGHTS = struct(slot=INT, weight=DOUBLE)
 
 @dataclass(frozen=True)
 class Ftrl:
-    """Learning parameters. ``per_class`` bounds the labelled rows of each class that are learned from."""
+    """Learning parameters. ``per_class`` bounds the labelled rows of each class that are learned from, ``max_chars`` the
+    characters of their texts together: of more, those with the smallest hashes that fit are taken."""
     bits: int = 20
     alpha: float = 2.0
     beta: float = 1.0
@@ -33,6 +35,7 @@ class Ftrl:
     l2: float = 1.0
     epochs: int = 6
     per_class: int = 2000
+    max_chars: int = 20_000_000
 
 
 class WordGrams:
@@ -132,12 +135,12 @@ class Scorer:
         return float(sigmoid(self.bias + self.weight[slots] @ strength(counts, n)))
 
 
-def learning_sample(filings: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
+def learning_sample(filings: DataFrame, labels: DataFrame, per_class: int, max_chars: int = Ftrl.max_chars) -> DataFrame:
     """(document, toxic, weight): at most ``per_class`` labelled filings of each class, chosen by a hash of their id.
 
     ``weight`` restores the share of the class. The chosen ids are bounded, so they are broadcast; texts aren't
     shuffled but for the sample. Labels other than 0 and 1, NULL ids and documents without a label are left out.
-    A filing labelled twice counts as its larger label.
+    A filing labelled twice counts as its larger label; of texts with one id the smallest is learned from.
     """
     known = (labels.where("toxic IN (0, 1) AND filing_id IS NOT NULL")
              .groupBy("filing_id").agg(F.max("toxic").cast("int").alias("toxic")))
@@ -150,13 +153,21 @@ def learning_sample(filings: DataFrame, labels: DataFrame, per_class: int) -> Da
         chosen = part if chosen is None else chosen.union(part)
     if chosen is None:
         return filings.select("document", F.lit(0).alias("toxic"), F.lit(1.0).alias("weight")).limit(0)
-    return (filings.select("filing_id", "document").join(F.broadcast(chosen), "filing_id")
-            .select("filing_id", "document", "toxic", "weight"))
+    # one text per id, however often a labelled id is repeated; then a class is no more than per_class rows
+    texts = (filings.select("filing_id", "document").join(F.broadcast(chosen), "filing_id")
+             .groupBy("filing_id", "toxic", "weight").agg(F.min("document").alias("document")))
+    upto = (Window.partitionBy("toxic").orderBy(F.pmod(F.xxhash64("filing_id"), F.lit(HASH_SLOTS)), "filing_id")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (texts.withColumn("_upto", F.sum(F.coalesce(F.length("document"), F.lit(0))).over(upto))
+            .where(F.col("_upto") <= max_chars // 2).select("filing_id", "document", "toxic", "weight"))
 
 
 def fit(filings: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> tuple[np.ndarray, np.ndarray]:
-    """Learns weights from a bounded sample, in one task; the result has at most 2 ** bits entries, few are not zero."""
-    sample = learning_sample(filings, labels, p.per_class)
+    """Learns weights from a bounded sample, in one task; the result has at most 2 ** bits entries, few are not zero.
+
+    Rows without label, id or text teach nothing or an empty text; without labels the model is empty. Other columns are
+    not read."""
+    sample = learning_sample(filings, labels, p.per_class, p.max_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in b.to_pylist()]
@@ -179,12 +190,11 @@ def toxicity(document: Column | str, slots: np.ndarray, weights: np.ndarray, bit
     Texts are read whole; NULL, empty and wordless texts get the model's base rate, which is also what a model
     without any examples gives (0.5). Repeated rows get equal scores and other columns are not looked at.
     """
-    state: list[Scorer] = []
+    key = key_of("toxicity", slots, weights, bits)
 
     @F.arrow_udf(DOUBLE)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if not state:
-            state.append(Scorer(slots, weights, bits))
+        scorer = held(key, lambda: Scorer(slots, weights, bits))
         for batch in batches:
-            yield pa.array([state[0].score(t or "") for t in batch.to_pylist()], type=pa.float64())
+            yield pa.array([scorer.score(t.as_py() or "") for t in batch], type=pa.float64())
     return run(document)
