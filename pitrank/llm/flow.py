@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 
 
 class Network:
@@ -29,9 +30,9 @@ class Network:
         """Arcs of a cheapest path with room (label correcting, since reverse arcs have negative costs)."""
         best = [math.inf] * len(self.out)
         via = [-1] * len(self.out)
-        best[source], queue, waiting = 0, [source], {source}
+        best[source], queue, waiting = 0, deque([source]), {source}
         while queue:
-            a = queue.pop(0)
+            a = queue.popleft()
             waiting.discard(a)
             for e in self.out[a]:
                 b = self.head[e]

@@ -113,9 +113,10 @@ def mixing_plan(sized: DataFrame, targets: DataFrame, p: Mix) -> DataFrame:
 
     ``full`` copies of everything, and one more of filings before (``cut_key``) and of those in ``fill``. The crossing
     point is found from sums of 4096 key ranges and then inside one of them, so no source is ordered as a whole. What is
-    missing at the crossing is closed by the ``refinements`` filings that fit best; where filings that fit are left then,
-    they are taken in seeded order, skipping what is larger than the gap, until none fits (``runs``: filings after
-    ``low`` up to ``high`` of at most ``most`` words), and one more filing is taken if that comes nearer.
+    missing at the crossing is closed by the ``refinements`` filings that fit best; while filings of at most half the gap are
+    left then, they are taken in seeded order until the next one would not fit (``runs``: filings after ``low`` up to ``high``
+    of at most ``most`` words). Such a run takes half the gap or all of them, so there are no more runs than the gap has
+    binary digits. Of what is left only one can fit: one more filing is taken if that comes nearer.
     """
     by_pattern = sized.groupBy("pattern").agg(F.sum("size").alias("size"))
     flows = pattern_flows(by_pattern, targets, p)
@@ -154,7 +155,7 @@ def mixing_plan(sized: DataFrame, targets: DataFrame, p: Mix) -> DataFrame:
     while True:
         plan = materialize(plan)
         fits = by_key.join(plan.where("gap > 0"), "pattern").where(
-            (F.col("size") > 0) & (F.col("size") <= F.col("gap")) & ~is_extra(F.col("key"), F.col("size"), plan_of()))
+            (F.col("size") > 0) & (2 * F.col("size") <= F.col("gap")) & ~is_extra(F.col("key"), F.col("size"), plan_of()))
         if fits.isEmpty():
             return materialize(best_fit(by_key, plan).select("pattern", "full", "cut_key", "fill", "runs"))
         plan = next_run(fits, plan)
@@ -189,7 +190,7 @@ def best_fit(by_key: DataFrame, plan: DataFrame) -> DataFrame:
 def next_run(fits: DataFrame, plan: DataFrame) -> DataFrame:
     """The plan with one more run per pattern: the filings that fit, in seeded order, before their sum exceeds the gap.
 
-    The first of them fits alone, so every run takes something. Sums of key ranges find the crossing here too.
+    None of them is more than half the gap. Sums of key ranges find the crossing here too.
     """
     ranged = fits.select("pattern", "key", "size", "gap", F.shiftright("key", 60 - BUCKET_BITS).alias("_b"))
     along = Window.partitionBy("pattern").orderBy("_b")
@@ -204,7 +205,7 @@ def next_run(fits: DataFrame, plan: DataFrame) -> DataFrame:
         F.max(F.when(F.col("_at") <= F.col("gap"), F.col("key"))).alias("_last"),
         F.max(F.when(F.col("_at") <= F.col("gap"), F.col("_at"))).alias("_sum"))
     found = upto.join(cross, "pattern", "left").select(
-        "pattern", F.floor("_g").cast("long").alias("_most"),
+        "pattern", F.floor(F.col("_g") / 2).cast("long").alias("_most"),
         F.when(F.col("_c").isNull(), F.lit((1 << 60) - 1)).otherwise(
             F.coalesce("_last", F.shiftleft(F.col("_c._b").cast("long"), 60 - BUCKET_BITS) - 1)).alias("_high"),
         F.when(F.col("_c").isNull(), F.col("_all")).otherwise(F.coalesce("_sum", F.col("_c._before"))).alias("_taken"))
@@ -266,16 +267,18 @@ def mixture(filings: DataFrame, p: Mix = Mix()) -> DataFrame:
 def mixed_filings(filings: DataFrame, p: Mix = Mix()) -> DataFrame:
     """The mix itself: every filing with all its columns, as many times as it is taken.
 
-    Only the plan, a row per pattern, is joined to the texts.
+    Only the plan, a row per pattern, is joined to the texts. Rows travel as one column, so their columns may have any
+    names. NULL and empty documents have no words and stand in the mix as often as those around them.
     """
     sized = materialize(sized_filings(filings, p))
     plan = mixing_plan(sized, materialize(source_targets(sized, p)), p)
-    marked = (filings.withColumn("_pattern", sources_of(F.col("exchanges")))
-              .withColumn("_key", seeded_key(F.col("filing_id"), F.col("document"), p.seed))
-              .withColumn("_size", n_words("document")))
+    row = F.struct(*filings.columns).alias("row")
+    marked = (filings.select(row, sources_of(F.col("exchanges")).alias("_pattern"),
+                             seeded_key(F.col("filing_id"), F.col("document"), p.seed).alias("_key"),
+                             n_words("document").alias("_size")))
     marked = with_key_sizes(marked, sized, plan)
     plan = plan.select(F.struct("pattern", *PLAN).alias("_plan"))
     return (marked.join(plan, F.col("_pattern") == F.col("_plan.pattern"))
             .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies_taken(F.col("_key"), F.col("_together"),
                                                                                   F.col("_plan"), p).cast("int"))))
-            .select(*filings.columns))
+            .select("row.*"))

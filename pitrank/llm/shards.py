@@ -70,6 +70,6 @@ def place(records: DataFrame, shards: list[str], key: str = "security_id", size:
     size = size or prime_from(SLOTS_PER_SHARD * len(shards))
     table = slot_table(records.sparkSession, shards, size)
     kept = [c for c in records.columns if c not in ("slot", "shard")]
-    rows = records.withColumn("_slot", slot_of(F.col(key), size)).select(*kept, "_slot")
-    return (rows.join(F.broadcast(table), rows["_slot"] == table["slot"], "left")
-            .select(*[rows[c] for c in kept], table["slot"], table["shard"]))
+    # rows travel as one column, so their columns may have any names
+    rows = records.select(F.struct(*kept).alias("row"), slot_of(F.col(key), size).alias("at"))
+    return rows.join(F.broadcast(table), F.col("at") == F.col("slot"), "left").select("row.*", "slot", "shard")

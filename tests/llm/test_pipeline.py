@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as C
 from pitrank.llm import decontaminate as D, mixing, queries, shards
 
+from conftest import SF
 from test_decontaminate import distance
 from test_simhash import classes, plain_fingerprint
 from texts import prose, table
@@ -88,10 +89,26 @@ def test_every_query_runs_on_empty_tables(spark, folder, tmp_path):
     path = str(tmp_path / "empty")
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{path}/{t}.parquet")
+    spark.read.parquet(f"{SF}/embeddings.parquet").limit(0).write.parquet(f"{path}/embeddings.parquet")
     for name, fn in queries.QUERIES.items():
         assert fn(spark, path).count() == 0, name
 
 
+@pytest.mark.parametrize("stage", ["near_duplicates", "decontamination", "mixing", "sharding"])
+def test_columns_of_any_name_pass_through(spark, folder, stage):
+    names = ["_size", "_key", "_pattern", "_plan", "_copy", "_together", "_slot", "_b", "_id", "_body", "document", "filing_id",
+             "exchanges", "row", "text_", "at"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").drop("slot").limit(60)  # slot is what sharding adds
+    wide = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    run = dict(C.STAGES)[stage]
+    got = run(spark, wide, folder)
+    assert got.columns[:len(wide.columns)] == wide.columns
+    for r in got.collect():
+        assert all(r[n] == f"{n}{r['doc_id']}" for n in names)
+    plain = run(spark, docs, folder)
+    assert table(got.select(plain.columns)) == table(plain)
+
+
 def test_labels_of_held_out_rows_are_not_read(spark, folder):
     ids = [r[0] for r in spark.range(500).where(queries.held_out(F.col("id"), 5, 0)).collect()]
     assert ids == [i for i in range(500) if zlib.crc32(str(i).encode()) % 5 == 0]
