@@ -10,9 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.lineage import materialize
+from ..sources.landed import settings
 from .kinds import INT, LONG, STRING, rows, struct
 from .tokens import encoder
 
@@ -193,6 +195,26 @@ def edited(document: Column | str, tree: Column | str, edits: Column | str, toke
     return run(document, tree, edits)
 
 
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}  # whole texts go to workers in these
+
+
+def with_kept_trees(filings: DataFrame, tokenizer: str) -> DataFrame:
+    """(filing_id, document, tree), written to the shared folder: the state that later edits start from.
+
+    Every text is encoded once, here. NULL and empty texts have one empty leaf, repeated rows a tree each; an empty table
+    gives an empty one. Other columns are not read.
+    """
+    with settings(filings.sparkSession, SMALL_BATCHES):
+        return materialize(filings.select("filing_id", "document", token_trees("document", tokenizer).alias("tree")))
+
+
+def edited_filings(kept: DataFrame, edits: Column, tokenizer: str) -> DataFrame:
+    """(filing_id, edited): the struct of :func:`edited` for rows with kept trees, which are read, not built."""
+    with settings(kept.sparkSession, SMALL_BATCHES):
+        return materialize(kept.withColumn("edits", edits)
+                           .select("filing_id", edited("document", "tree", "edits", tokenizer).alias("edited")))
+
+
 LONG_NUMBER = re.compile(r"[0-9](?:[ -]?[0-9]){6,}")
 
 

@@ -21,7 +21,6 @@ class Gru:
     rate: float = 0.02
     per_language: int = 600
     windows: int = 12
-    max_languages: int = 200
 
 
 Model = dict[str, np.ndarray]  # e (2, 256, 3h), u (2, h, 3h), b (2, 3h), w (2, h, c), d (c)

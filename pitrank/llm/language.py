@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .gru import WINDOW, Gru, Model, Reader, cut_windows, train
 from .kinds import DOUBLE, STRING, arrays, struct
 from .words import HASH_SLOTS, likely_first
+from .worker import held, key_of
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -23,19 +24,27 @@ BLOCK_BYTES = 2_000_000
 
 
 def learning_sample(filings: DataFrame, p: Gru) -> DataFrame:
-    """At most ``per_language`` filings of each of the ``max_languages`` most frequent languages, chosen by id hash.
+    """(language, filing_id, windows): at most ``per_language`` filings of every language, chosen by id hash.
 
-    Only ids with a small hash are ranked, some thousands per language; the chosen ones are broadcast to fetch texts.
+    Only ids with a small hash are ranked, some thousands per language; the chosen ones are broadcast to fetch texts, of
+    which only the windows that are learned from leave their task. An id that is repeated is learned from once.
     """
     known = filings.where("language IS NOT NULL AND document IS NOT NULL AND filing_id IS NOT NULL")
-    frequent = (known.groupBy("language").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "language")
-                .limit(p.max_languages))
+    frequent = known.groupBy("language").agg(F.count("*").alias("_n"))
     order = Window.partitionBy("language").orderBy(F.pmod(F.xxhash64("filing_id"), F.lit(HASH_SLOTS)), "filing_id")
     chosen = (known.select("language", "filing_id").join(F.broadcast(frequent), "language")
               .where(likely_first("filing_id", p.per_language, F.col("_n")))
               .withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= p.per_language)
               .select("filing_id").distinct())
-    return known.select("filing_id", "language", "document").join(F.broadcast(chosen), "filing_id")
+    most = p.windows
+
+    @F.arrow_udf("binary")
+    def windows(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([spread_windows(t.as_py().encode(), most).tobytes() for t in batch], pa.binary())
+
+    return (known.select("filing_id", "language", "document").join(F.broadcast(chosen), "filing_id")
+            .groupBy("language", "filing_id").agg(F.min(windows("document")).alias("windows")))
 
 
 def spread_windows(data: bytes, most: int) -> np.ndarray:
@@ -50,12 +59,17 @@ def spread_windows(data: bytes, most: int) -> np.ndarray:
 
 
 def fit(filings: DataFrame, p: Gru = Gru()) -> tuple[list[str], Model]:
-    """The languages learned, sorted, and the trained network (some thousand numbers); training is one task."""
+    """The languages learned, sorted, and the trained network (some thousand numbers); training is one task.
+
+    Every language with a labelled text is learned, from ``per_language`` filings at most and ``windows`` short windows
+    of each. Rows without language, id or text teach nothing; without any the model is empty. Other columns are not read.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r["language"], r["filing_id"], r["document"]) for b in batches for r in b.to_pylist())
+        rows = sorted((r["language"], r["filing_id"], r["windows"]) for b in batches for r in b.to_pylist())
         languages = sorted({r[0] for r in rows})
-        windows = [spread_windows(r[2].encode(), p.windows) for r in rows]
-        labels = np.repeat([languages.index(r[0]) for r in rows], [len(w) for w in windows])
+        number = {name: i for i, name in enumerate(languages)}
+        windows = [np.frombuffer(r[2], np.uint8).reshape(-1, WINDOW) for r in rows]
+        labels = np.repeat([number[r[0]] for r in rows], [len(w) for w in windows])
         if not len(labels):
             return
         m = train(np.concatenate(windows), labels.astype(int), len(languages), p)
@@ -99,12 +113,11 @@ def language_of(document: Column | str, languages: list[str], model: Model) -> C
     first language). NULL texts and texts without a letter are ``und`` with score 0, and so is everything if no
     language was learned. Repeated rows get equal results; other columns are not looked at.
     """
-    state: list[Reader | None] = []
+    key = key_of("language", languages, model)
 
     @F.arrow_udf(PREDICTION)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if not state:
-            state.append(Reader(model) if languages else None)
+        reader = held(key, lambda: Reader(model) if languages else None)
         for batch in batches:
-            yield arrays(PREDICTION, predict_texts(batch.to_pylist(), languages, state[0]))
+            yield arrays(PREDICTION, predict_texts(batch.to_pylist(), languages, reader))
     return run(document)

@@ -69,11 +69,9 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("op3_edit_counts")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
-    # the tables hold no trees yet: they are built in the pass that applies the edits
-    rows = (filings(spark, sf).withColumn("edits", edit_counts.redactions("document"))
-            .withColumn("tree", F.lit(None).cast(edit_counts.TREE)))
-    return (rows.select(F.col("filing_id").alias("doc_id"),
-                        edit_counts.edited("document", "tree", "edits", vocabulary()).alias("_e"))
+    kept = edit_counts.with_kept_trees(filings(spark, sf), vocabulary())
+    return (edit_counts.edited_filings(kept, edit_counts.redactions("document"), vocabulary())
+            .select(F.col("filing_id").alias("doc_id"), F.col("edited").alias("_e"))
             .select("doc_id", F.col("_e.n_tokens_before").alias("n_tokens"), F.col("_e.n_leaves_before").alias("n_leaves"),
                     "_e.n_edits", F.col("_e.n_tokens").alias("n_tokens_edited"), F.col("_e.n_chars").alias("n_chars_edited"),
                     "_e.n_chars_reencoded"))

@@ -41,7 +41,8 @@ class UnitEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # texts that hold the string of a special token, which is one id, are encoded as a whole
+        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values() if t.content]
         self._merge = self._tokenizer.model.tokenize
         letters = byte_letters()
         # every character that is taken the short way, as the letters that stand for its bytes
@@ -110,7 +111,8 @@ class UnitEncoder:
         Cutting, finding distinct units and putting ids together are vectorised; only distinct units are looked up.
         """
         odd = pc.match_substring_regex(pa.array(texts, pa.string()), RUN).to_pylist()
-        short = [bool(t) and self._plain and BARE not in t and not o for t, o in zip(texts, odd)]
+        short = [bool(t) and self._plain and BARE not in t and not o and not any(s in t for s in self._special)
+                 for t, o in zip(texts, odd)]
         marked = pc.replace_substring(pa.array([BARE + t for t, s in zip(texts, short) if s], pa.string()), "\n", " \n")
         cut = pc.split_pattern(pc.replace_substring_regex(marked, ENDING, rf"\1 {BARE}\2\3"), " ")
         coded = cut.flatten().dictionary_encode()

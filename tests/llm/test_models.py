@@ -111,3 +111,12 @@ def test_language_on_rows_not_learned_from(spark):
     assert all(0 <= x[3] <= 1 for x in got) and len(got) == len(rows[160:]) + 10
     assert {x[0] for x in table(docs.select(L.language_of("document", [], {})["language"]))} == {"und"}
     assert L.fit(learned.limit(0), p)[0] == []
+
+
+def test_every_language_is_learned(spark):
+    """250 languages: none is left out for being one of many."""
+    from pitrank.llm import language as G
+    from pitrank.llm.gru import Gru
+    docs = filings(spark, [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 40, f"l{i:03d}") for i in range(250)])
+    languages, model = G.fit(docs, Gru(steps=3, windows=1))
+    assert languages == [f"l{i:03d}" for i in range(250)] and model

@@ -20,12 +20,11 @@ ODD = "a  b\n c  d  e\x1c f \n\n  g's don't 12 3.4 é😀 <|endoftext|> \t x"
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
 def random_text(r: random.Random, n: int) -> str:
-    return "".join(r.choice(["a", "B", "é", "1", " ", " ", "  ", "\n", ".", "'s", "the ", " ", "\x1c", "😀", "中"])
+    return "".join(r.choice(["a", "B", "é", "1", " ", " ", "  ", "\n", ".", "'s", "the ", " ", "\x1c", "😀", "中", "<|endoftext|>"])
                    for _ in range(n))
 
 
@@ -109,3 +108,22 @@ def test_stored_trees_and_edits_of_odd_rows(spark, plain):
     none = filings(spark, [(1, "a b")]).withColumn("edits", F.lit(None).cast(E.EDITS)).withColumn("tree", F.lit(None).cast(E.TREE))
     assert table(none.select(E.edited("document", "tree", "edits", VOCABULARY)["n_tokens"])) == [(2,)]
     assert df.limit(0).select(E.edited("document", "tree", "edits", VOCABULARY)).count() == 0
+
+
+def test_kept_trees_are_read_by_the_edits(spark, plain, monkeypatch):
+    """The edit pass starts from the stored trees: it encodes nothing but touched regions."""
+    docs = filings(spark, [r[:2] for r in odd_rows()] + [(50, "call 123 456 789 now\nsame line\nsame line\n" + prose(900, 3)),
+                                                        (51, "x <|endoftext|> 12345678901 y")])
+    kept = E.with_kept_trees(docs, VOCABULARY)
+    assert kept.columns == ["filing_id", "document", "tree"] and len(kept.inputFiles()) > 0
+    for r in kept.collect():
+        assert sum(r["tree"]["leaf_tokens"]) == len(plain(r["document"] or "")), r["filing_id"]
+    got = E.edited_filings(kept, E.redactions("document"), VOCABULARY).collect()
+    assert len(got) == kept.count()
+    by = {r["filing_id"]: r["edited"] for r in got if r["filing_id"] in (50, 51)}
+    texts = {r["filing_id"]: r["document"] for r in kept.collect()}
+    for i, e in by.items():
+        changed = E.edited_text(texts[i], [{"start": a, "stop": b, "replacement": t} for a, b, t in E.redactions_of(texts[i])])
+        assert e["n_tokens"] == len(plain(changed)) and e["n_edits"] > 0 and e["n_tokens_before"] == len(plain(texts[i]))
+    assert by[50]["n_chars_reencoded"] < len(texts[50]) / 2
+    assert E.edited_filings(E.with_kept_trees(docs.limit(0), VOCABULARY), E.redactions("document"), VOCABULARY).count() == 0
